@@ -18,11 +18,18 @@ def scale(v: Column, by: Column) -> Column:
     return F.transform(v, lambda x: x * by)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also inside nested lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def usable_norm(n: Column) -> Column:
+    return (n >= F.lit(1e-9)) & ~F.isnan(n) & (n < F.lit(float("inf")))
+
+
 def unit(v: Column) -> Column:
     """L2-normalised vector; NULL where the norm is zero or not finite."""
-    n = norm(v)
-    ok = (n >= F.lit(1e-9)) & ~F.isnan(n) & (n < F.lit(float("inf")))
-    return F.when(ok, F.transform(v, lambda x: x / n))
+    return let(norm(v), lambda n: F.when(usable_norm(n), F.transform(v, lambda x: x / n)))
 
 
 def minus(a: Column, b: Column) -> Column:

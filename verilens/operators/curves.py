@@ -20,10 +20,11 @@ NEG_INF = float("-inf")
 
 def histogram(trials: DataFrame, groups: Sequence[str]) -> DataFrame:
     """(groups, t, n_gen, n_imp); vetoed trials keep the score -Infinity."""
-    return (
-        trials.filter(F.col("score").isNotNull())
-        .groupBy(*groups, F.col("score").alias("t"))
-        .agg(F.count_if("is_genuine").alias("n_gen"), F.count_if(~F.col("is_genuine")).alias("n_imp"))
+    # A NULL score falls into a cell of zero counts: filtering it here would be pushed
+    # into the scoring join and compute every score twice.
+    known = F.col("score").isNotNull()
+    return trials.groupBy(*groups, F.col("score").alias("t")).agg(
+        F.count_if(F.col("is_genuine") & known).alias("n_gen"), F.count_if(~F.col("is_genuine") & known).alias("n_imp")
     )
 
 
@@ -32,28 +33,28 @@ def curve(trials: DataFrame, groups: Sequence[str], anchor: bool = True) -> Data
 
     Accept when score >= t. -Infinity is rejected at every threshold.
     """
-    hist = histogram(trials, groups).withColumn("_b", value_bucket(F.col("t")))
+    hist = histogram(trials, groups).withColumn("_b", F.coalesce(value_bucket(F.col("t")), F.lit(0)))
     finite = F.col("t") > NEG_INF
     cum = running(
         hist, groups, "_b", ["t"],
         {"cum_gen": ("sum", F.col("n_gen")), "cum_imp": ("sum", F.col("n_imp"))},
         {"g": ("sum", F.col("n_gen")), "i": ("sum", F.col("n_imp")), "lowest": ("min", F.when(finite, F.col("t")))},
     )
-    rows = cum.select(
-        *groups, "t", "n_gen", "n_imp", "g", "i", "lowest",
-        (F.col("cum_gen") - F.col("n_gen")).alias("below_gen"), (F.col("cum_imp") - F.col("n_imp")).alias("below_imp"),
-        "cum_gen", "cum_imp",
-    )
-    observed = rows.filter(finite & (F.col("g") > 0) & (F.col("i") > 0)).withColumn("observed", F.lit(True))
+    zero = F.lit(0).cast("long")
+    below_gen, below_imp = F.col("cum_gen") - F.col("n_gen"), F.col("cum_imp") - F.col("n_imp")
+
+    def point(t, n_gen, n_imp, observed):
+        return F.struct(t.alias("t"), n_gen.alias("n_gen"), n_imp.alias("n_imp"), F.lit(observed).alias("observed"))
+
+    here = point(F.col("t"), F.col("n_gen"), F.col("n_imp"), True)
+    rows = F.array(here)
     if anchor:
-        # The row of the lowest finite score also yields the anchor: everything below it is a veto.
-        low = observed.filter(F.col("t") == F.col("lowest")).select(
-            *groups, (F.col("t") - 1).alias("t"), F.lit(0).cast("long").alias("n_gen"), F.lit(0).cast("long").alias("n_imp"),
-            "g", "i", "lowest", "below_gen", "below_imp", F.col("below_gen").alias("cum_gen"),
-            F.col("below_imp").alias("cum_imp"), F.lit(False).alias("observed"),
-        )
-        observed = observed.unionByName(low)
-    return observed.withColumn("far", (F.col("i") - F.col("below_imp")) / F.col("i")).withColumn(
+        # The row of the lowest finite score also yields the anchor: all that lies below it is a veto.
+        rows = F.when(F.col("t") == F.col("lowest"), F.array(here, point(F.col("t") - 1, zero, zero, False))).otherwise(rows)
+    out = cum.filter(finite & (F.col("g") > 0) & (F.col("i") > 0)).select(
+        *groups, "g", "i", below_gen.alias("below_gen"), below_imp.alias("below_imp"), F.inline(rows)
+    )
+    return out.withColumn("far", (F.col("i") - F.col("below_imp")) / F.col("i")).withColumn(
         "frr", F.col("below_gen") / F.col("g")
     )
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +57,14 @@ def running(
     ``bucket`` must be a column of ``df`` that never decreases along ``order``;
     keys and bucket must not be NULL. ``overall`` adds whole-key aggregates,
     taken from the cell totals so that no second join is needed.
+
+    The placed rows feed both the scan and the totals. They are persisted
+    (memory, then disk) because filters and column pruning pushed into the two
+    branches would otherwise make them differ and run the input twice.
     """
     overall = overall or {}
     cell = [*keys, bucket]
-    placed = df.repartition(*[F.col(c) for c in cell])
+    placed = df.repartition(*[F.col(c) for c in cell]).persist(StorageLevel.MEMORY_AND_DISK)
     here = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     scanned = placed.select("*", *[_COMBINE[how][0](c).over(here).alias(n) for n, (how, c) in outputs.items()])
     totals = placed.groupBy(*cell).agg(

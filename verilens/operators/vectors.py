@@ -14,13 +14,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verilens.functions.vector import dot, minus, norm, unit
+from verilens.functions.vector import dot, let, minus, norm, unit, usable_norm
 from verilens.operators.pairs import each_with_each
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """Replace ``v`` by its unit vector; invalid vectors become NULL and are dropped."""
-    return vectors.withColumn("v", unit(F.col("v"))).filter(F.col("v").isNotNull())
+    return vectors.filter(usable_norm(norm(F.col("v")))).withColumn("v", unit(F.col("v")))
 
 
 def group_sums(units: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,8 +98,5 @@ def self_consistency(units: DataFrame, keys: Sequence[str]) -> DataFrame:
 def own_rest_cosine(units: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each vector's cosine to the centroid of the *other* vectors of its group, without a pairwise join."""
     sums = group_sums(units, keys)
-    rest = minus(F.col("s"), F.col("v"))
-    return units.join(sums, list(keys)).withColumn("rest", rest).select(
-        *units.columns, "n",
-        F.when(F.col("n") > 1, dot(F.col("rest"), F.col("v")) / norm(F.col("rest"))).alias("own"),
-    )
+    own = let(minus(F.col("s"), F.col("v")), lambda rest: dot(rest, F.col("v")) / norm(rest))
+    return units.join(sums, list(keys)).select(*units.columns, "n", F.when(F.col("n") > 1, own).alias("own"))

@@ -94,3 +94,114 @@ def metrics(groups: str, name: str = "cv", out: str = "mt") -> str:
   (u + veto_gen * veto_imp / 2.0::DOUBLE) / (n_gen * n_imp) AS auc,
   CASE WHEN gen_min > imp_max THEN (gen_min + imp_max) / 2 ELSE coalesce(x.eer_t, near_t) END AS thr_eer
   FROM {out}_a a LEFT JOIN {out}_x x USING ({g}))"""
+
+
+COUNTS = ["n_a", "n_b", "t_aa", "t_ab", "t_ba", "t_bb"]
+
+
+def cells(src: str, key: str, name: str) -> str:
+    """CTE: six counts per (key, class) from choice tokens ``src``."""
+    return f"""{name} AS (SELECT {key}, cls, count(*) FILTER (lang = 'A') AS n_a, count(*) FILTER (lang = 'B') AS n_b,
+  count(*) FILTER (prev = 'A' AND lang = 'A') AS t_aa, count(*) FILTER (prev = 'A' AND lang = 'B') AS t_ab,
+  count(*) FILTER (prev = 'B' AND lang = 'A') AS t_ba, count(*) FILTER (prev = 'B' AND lang = 'B') AS t_bb
+  FROM {src} GROUP BY ALL)"""
+
+
+def dense(src: str, key: str, name: str) -> str:
+    return f"""{name} AS (SELECT {key}, cls, ord, sup, low, elicitable, {", ".join(f"coalesce({c}, 0) AS {c}" for c in COUNTS)}
+  FROM (SELECT DISTINCT {key} FROM {src}) CROSS JOIN dim_cls LEFT JOIN {src} USING ({key}, cls))"""
+
+
+def smooth(src: str, key: str, name: str) -> str:
+    """CTEs: the smoothed graph of dense counts ``src``."""
+    return f"""{name}_0 AS (SELECT *, (sum(n_a) OVER w + 1.0::DOUBLE) / (sum(n_a + n_b) OVER w + 2.0::DOUBLE) AS marginal,
+  sum(n_a) OVER g AS ga, sum(n_a + n_b) OVER g AS gn FROM {src}
+  WINDOW w AS (PARTITION BY {key}), g AS (PARTITION BY {key}, sup)),
+{name}_1 AS (SELECT *, (n_a + 4 * ((ga + 8 * marginal) / (gn + 8.0::DOUBLE))) / (n_a + n_b + 4.0::DOUBLE) AS p_a FROM {name}_0),
+{name} AS (SELECT *, (t_aa + 6 * p_a) / (t_aa + t_ab + 6.0::DOUBLE) AS pt_a, (t_ba + 6 * p_a) / (t_ba + t_bb + 6.0::DOUBLE) AS pt_b FROM {name}_1)"""
+
+
+def loo(src: str, key: str, name: str, outer: str = "") -> str:
+    p = f"PARTITION BY {outer + ', ' if outer else ''}cls"
+    return f"""{name} AS (SELECT * FROM (SELECT {outer + ', ' if outer else ''}{key}, cls, ord, sup, low, elicitable,
+  {", ".join(f"sum({c}) OVER w - {c} AS {c}" for c in COUNTS)}, count(*) OVER w AS speakers FROM {src} WINDOW w AS ({p})) WHERE speakers >= 3)"""
+
+
+def mixing(src: str, utts: str, key: str, name: str) -> str:
+    """CTEs: code-mixing metrics of choice tokens ``src`` (with prev), every key of ``utts`` kept."""
+    return f"""{name}_r AS (SELECT {key}, utt, pos, lang, sum(CASE WHEN prev IS NULL OR prev <> lang THEN 1 ELSE 0 END)
+  OVER (PARTITION BY utt ORDER BY pos) AS run FROM {src}),
+{name}_l AS (SELECT {key}, utt, run, count(*) AS len FROM {name}_r GROUP BY ALL),
+{name}_b AS (SELECT {key}, count(*) AS n_runs, avg(len) AS m, stddev_pop(len) AS s FROM {name}_l GROUP BY ALL),
+{name}_c AS (SELECT {key}, count(*) AS n_choice, count(*) FILTER (lang = 'A') AS n_first, count(*) FILTER (prev <> lang) AS n_switches,
+  count(prev) AS n_bounds FROM {src} GROUP BY ALL),
+{name} AS (SELECT u.{key}, coalesce(n_choice, 0) AS n_choice, coalesce(n_first, 0) AS n_first, coalesce(n_switches, 0) AS n_switches,
+  coalesce(n_bounds, 0) AS n_bounds, coalesce(n_runs, 0) AS n_runs,
+  CASE WHEN n_choice > 0 THEN 100 * (1 - greatest(n_first, n_choice - n_first) / n_choice::DOUBLE) ELSE 0 END AS cmi,
+  CASE WHEN n_first > 0 AND n_first < n_choice THEN 1 / ((n_first / n_choice::DOUBLE) ** 2 + (1 - n_first / n_choice::DOUBLE) ** 2) - 1 ELSE 0 END AS m_index,
+  CASE WHEN n_bounds > 0 THEN n_switches / n_bounds::DOUBLE ELSE 0 END AS i_index,
+  CASE WHEN n_runs >= 2 THEN (s / m - 1) / (s / m + 1) ELSE 0 END AS burstiness,
+  CASE WHEN n_choice > 0 THEN n_first / n_choice::DOUBLE ELSE 0 END AS first_share
+  FROM (SELECT DISTINCT {key} FROM {utts}) u LEFT JOIN {name}_c c ON c.{key} = u.{key} LEFT JOIN {name}_b b ON b.{key} = u.{key})"""
+
+
+GRAPH = CHOICE + ", " + CLS + ", " + cells("ch", "speaker", "cl") + ", " + dense("cl", "speaker", "dn") + ", " + smooth("dn", "speaker", "gr")
+
+_LN = "ln(greatest({a}, 1e-12)) - ln(greatest({b}, 1e-12))"
+
+
+def ratios(own: str, rest: str, key: str, name: str) -> str:
+    def two(c, x, y):
+        return f"{_LN.format(a='o.' + c, b='r.' + c)} AS {x}, {_LN.format(a='1 - o.' + c, b='1 - r.' + c)} AS {y}"
+
+    on = " AND ".join(f"o.{k.strip()} = r.{k.strip()}" for k in key.split(","))
+    return f"""{name} AS (SELECT {", ".join("o." + k.strip() for k in key.split(","))}, o.cls, o.ord, o.low, o.p_a,
+  {two('p_a', 'l_a', 'l_b')}, {two('pt_a', 'l_aa', 'l_ab')}, {two('pt_b', 'l_ba', 'l_bb')}
+  FROM {own} o JOIN {rest} r ON {on} AND o.cls = r.cls)"""
+
+
+# Sessions 0-2 enrol, session 3 probes.
+SPEECH = CHOICE + ", " + CLS + """,
+en AS (SELECT * FROM ch WHERE session < 3), pr AS (SELECT * FROM ch WHERE session = 3),
+""" + cells("en", "speaker", "ecl") + ", " + dense("ecl", "speaker", "edn") + ", " + smooth("edn", "speaker", "eg") + ", " \
+    + loo("edn", "speaker", "eloo") + ", " + smooth("eloo", "speaker", "ebg") + ", " + ratios("eg", "ebg", "speaker", "mo") + ", " \
+    + cells("pr", "utt, speaker", "pcl") + ", " \
+    + mixing("en", "(SELECT speaker FROM utt WHERE session < 3)", "speaker", "emx") + ", " \
+    + mixing("pr", "(SELECT utt FROM utt WHERE session = 3)", "utt", "pmx")
+
+
+def streams(name: str = "st", low: bool = False) -> str:
+    use = "true" if low else "NOT low"
+    return f"""{name}_u AS (SELECT u.utt, u.speaker AS probe_speaker, c.speaker AS claimed FROM utt u CROSS JOIN (SELECT DISTINCT speaker FROM mo) c WHERE session = 3),
+{name}_s AS (SELECT p.utt, m.speaker AS claimed, sum(CASE WHEN {use} THEN n_a * l_a + n_b * l_b ELSE 0 END) AS lx,
+  sum(CASE WHEN {use} THEN n_a + n_b ELSE 0 END) AS nl, sum(CASE WHEN {use} THEN t_aa * l_aa + t_ab * l_ab + t_ba * l_ba + t_bb * l_bb ELSE 0 END) AS tx,
+  sum(CASE WHEN {use} THEN t_aa + t_ab + t_ba + t_bb ELSE 0 END) AS nt FROM pcl p JOIN mo m USING (cls) GROUP BY ALL),
+{name}_1 AS (SELECT u.utt, probe_speaker, u.claimed, probe_speaker = u.claimed AS is_genuine, coalesce(nl, 0) AS n_scored,
+  CASE WHEN nl > 0 THEN lx / nl ELSE 0 END AS lex, CASE WHEN nt > 0 THEN tx / nt ELSE 0 END AS trans,
+  greatest(0, least(1, (coalesce(nl, 0) - 20) / 40.0::DOUBLE)) AS confidence,
+  (abs(p.cmi - e.cmi) / 100 + abs(p.i_index - e.i_index)) / 2 AS dist
+  FROM {name}_u u LEFT JOIN {name}_s s ON s.utt = u.utt AND s.claimed = u.claimed JOIN pmx p ON p.utt = u.utt JOIN emx e ON e.speaker = u.claimed),
+{name} AS (SELECT *, CASE WHEN confidence > 0 THEN -25 * dist ELSE 0 END AS met FROM {name}_1)"""
+
+
+def mixed(src: str = "st", name: str = "lt", lexical: float = 0.6, transition: float = 0.3, met: float = 0.1) -> str:
+    both = lexical + transition
+    return f"""{name} AS (SELECT *, CASE WHEN n_scored >= 5 THEN 1 / (1 + exp(-raw / 2)) END AS score FROM
+  (SELECT *, ({lexical / both!r} * lex + {transition / both!r} * trans) * (1 - {met!r} * confidence) + {met!r} * confidence * met AS raw FROM {src}))"""
+
+
+def parts(src: str, a: str, b: str, name: str = "sp", share: float = 0.4) -> str:
+    """CTEs: dev speakers by seeded digest rank, and the part of each trial."""
+    return f"""{name}_k AS (SELECT DISTINCT k FROM (SELECT {a} AS k FROM {src} UNION ALL SELECT {b} FROM {src})),
+{name}_d AS (SELECT k, row_number() OVER (ORDER BY md5('0|' || k), k) <= least(greatest(2, round_even(n * {share}::DOUBLE, 0)), n - 2) AS dev
+  FROM {name}_k, (SELECT count(*) AS n FROM {name}_k) WHERE n >= 4),
+{name} AS (SELECT t.*, CASE WHEN x.dev AND y.dev THEN 'dev' WHEN NOT x.dev AND NOT y.dev THEN 'test' ELSE 'cohort' END AS part,
+  x.dev AS probe_dev FROM {src} t JOIN {name}_d x ON x.k = t.{a} JOIN {name}_d y ON y.k = t.{b})"""
+
+
+LLR = SPEECH + ", " + streams() + ", " + mixed()
+ZN = LLR + ", " + parts("lt", "probe_speaker", "claimed") + """,
+zs AS (SELECT claimed, CASE WHEN count(*) < 2 THEN 0 ELSE avg(raw) END AS mean,
+  CASE WHEN count(*) >= 2 AND stddev_samp(raw) > 1e-6 THEN stddev_samp(raw) ELSE 1 END AS std FROM sp WHERE NOT is_genuine AND probe_dev GROUP BY ALL),
+zt AS (SELECT sp.* REPLACE (CASE WHEN score IS NOT NULL THEN 1 / (1 + exp(-((raw - coalesce(mean, 0)) / coalesce(std, 1)) / 1.5::DOUBLE)) END AS score),
+  (raw - coalesce(mean, 0)) / coalesce(std, 1) AS z FROM sp LEFT JOIN zs USING (claimed))"""
