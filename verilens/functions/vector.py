@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verilens.functions.arrays import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -18,11 +20,6 @@ def scale(v: Column, by: Column) -> Column:
     return F.transform(v, lambda x: x * by)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, also inside nested lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def usable_norm(n: Column) -> Column:
     return (n >= F.lit(1e-9)) & ~F.isnan(n) & (n < F.lit(float("inf")))
 

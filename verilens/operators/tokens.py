@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verilens.functions.arrays import compute_once, let
+
 FIRST, SECOND = "A", "B"
 
 
@@ -21,27 +23,36 @@ def is_choice(lang: Column) -> Column:
 
 def choice_arrays(utts: DataFrame, floor: float = 0.0) -> DataFrame:
     """Add ``ch``: the utterance's choice tokens (confidence at least ``floor``) with the previous choice label."""
-    kept = utts.withColumn("_ch", F.filter("toks", lambda t: is_choice(t["lang"]) & (t["conf"] >= floor)))
-    return kept.withColumn(
-        "ch", F.transform("_ch", lambda t, i: t.withField("prev", F.get(F.col("_ch"), i - 1)["lang"]))
-    ).drop("_ch")
+    ch = let(
+        F.filter("toks", lambda t: is_choice(t["lang"]) & (t["conf"] >= floor)),
+        lambda c: F.transform(c, lambda t, i: t.withField("prev", F.get(c, i - 1)["lang"])),
+    )
+    return compute_once(utts, utts.columns, ch=ch)
 
 
 def utterance_stats(choices: DataFrame) -> DataFrame:
     """Per utterance: token, choice, switch, boundary and run counts (run lengths as sum and sum of squares)."""
-    starts = F.filter(
-        F.transform("ch", lambda t, i: F.when(t["prev"].isNull() | (t["prev"] != t["lang"]), i)), lambda i: i.isNotNull()
-    )
-    base = choices.select(
-        *[c for c in choices.columns if c not in ("toks", "ch")], F.size("toks").alias("n_tokens"), F.size("ch").alias("n_choice"),
-        F.size(F.filter("ch", lambda t: t["lang"] == FIRST)).alias("n_first"), starts.alias("_s"),
+    # One fold over the choice sequence: (current run, runs, sum of squares of closed runs).
+    start = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("runs"), F.lit(0).cast("long").alias("sq"))
+
+    def step(s, t):
+        opens = t["prev"].isNull() | (t["prev"] != t["lang"])
+        return F.struct(
+            F.when(opens, F.lit(1).cast("long")).otherwise(s["run"] + 1).alias("run"),
+            F.when(opens, s["runs"] + 1).otherwise(s["runs"]).alias("runs"),
+            F.when(opens, s["sq"] + s["run"] * s["run"]).otherwise(s["sq"]).alias("sq"),
+        )
+
+    keep = [c for c in choices.columns if c not in ("toks", "ch")]
+    base = compute_once(
+        choices, keep, n_tokens=F.size("toks"), n_choice=F.size("ch"),
+        n_first=F.size(F.filter("ch", lambda t: t["lang"] == FIRST)), _f=F.aggregate("ch", start, step),
     )
-    ends = F.when(F.size("_s") > 0, F.concat(F.slice("_s", F.lit(2), F.size("_s")), F.array(F.col("n_choice"))))
-    lengths = F.zip_with("_s", ends, lambda a, b: b - a)
+    f = F.col("_f")
     return base.select(
-        *[c for c in base.columns if c != "_s"], F.greatest(F.size("_s") - 1, F.lit(0)).alias("n_switches"),
-        F.greatest(F.col("n_choice") - 1, F.lit(0)).alias("n_bounds"), F.size("_s").alias("n_runs"),
-        F.coalesce(F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x * x), F.lit(0)).alias("run_sq"),
+        *keep, "n_tokens", "n_choice", "n_first", F.greatest(f["runs"] - 1, F.lit(0)).alias("n_switches"),
+        F.greatest(F.col("n_choice") - 1, F.lit(0)).alias("n_bounds"), f["runs"].alias("n_runs"),
+        (f["sq"] + f["run"] * f["run"]).alias("run_sq"),
     )
 
 

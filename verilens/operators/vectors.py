@@ -14,13 +14,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verilens.functions.vector import dot, let, minus, norm, unit, usable_norm
+from verilens.functions.arrays import compute_once, let
+from verilens.functions.vector import dot, minus, norm, unit
 from verilens.operators.pairs import each_with_each
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """Replace ``v`` by its unit vector; invalid vectors become NULL and are dropped."""
-    return vectors.filter(usable_norm(norm(F.col("v")))).withColumn("v", unit(F.col("v")))
+    rest = [c for c in vectors.columns if c != "v"]
+    return compute_once(vectors, rest, v=unit(F.col("v"))).filter(F.col("v").isNotNull())
 
 
 def group_sums(units: DataFrame, keys: Sequence[str]) -> DataFrame:

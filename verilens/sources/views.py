@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verilens.functions.text import TOKEN_PATTERN
+from verilens.functions.arrays import compute_once
+from verilens.functions.text import tokenise
 from verilens.sources.tables import spread, table
 
 CHOICES = ("A", "B")
@@ -36,19 +37,15 @@ def rule_label(token: Column) -> Column:
 
 def token_arrays(spark: SparkSession, sf: str) -> DataFrame:
     """Utterances with ``toks``: array of (pos, text, lang, cls, sup, low, conf)."""
-    u = utterances(spark, sf).withColumn("_w", F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0))
     size = lambda w: F.least(F.length(w), F.lit(N_CLASSES))
-    return u.select(
-        "utt", "speaker", "session", "prompt", "doc_lang",
-        F.transform(
-            "_w",
-            lambda w, i: F.struct(
-                (i + 1).alias("pos"), w.alias("text"), rule_label(w).alias("lang"),
-                F.concat(F.lit("C"), size(w)).alias("cls"), ((size(w) - 1) / 4).cast("int").alias("sup"),
-                (F.length(w) >= 19).alias("low"), (1 - (i + 1) % 10 / 20.0).alias("conf"),
-            ),
-        ).alias("toks"),
+    toks = F.transform(
+        tokenise(F.col("text")),
+        lambda w, i: F.struct(
+            (i + 1).alias("pos"), w.alias("text"), rule_label(w).alias("lang"), F.concat(F.lit("C"), size(w)).alias("cls"),
+            ((size(w) - 1) / 4).cast("int").alias("sup"), (F.length(w) >= 19).alias("low"), (1 - (i + 1) % 10 / 20.0).alias("conf"),
+        ),
     )
+    return compute_once(utterances(spark, sf), ["utt", "speaker", "session", "prompt", "doc_lang"], toks=toks)
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
