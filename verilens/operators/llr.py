@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verilens.functions.stats import ramp, squash
 from verilens.operators import graph as G
-from verilens.operators.tokens import mixing
 from verilens.sources.tables import small_side
 
 
@@ -39,20 +39,35 @@ class StreamWeights:
 METRICS_SCALE, METRICS_LOW, METRICS_FULL, MIN_TOKENS = 25.0, 20.0, 60.0, 5
 
 
-def models(choices: DataFrame, keys: Sequence[str] = ("speaker",)) -> DataFrame:
+def utterance_cells(choices: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Class counts per utterance: the only table scoring needs, read several times and therefore persisted."""
+    return G.cells(choices, ["utt", "speaker", "session", *extra]).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def cell_mixing(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """CMI and I-index straight from class counts: a switch is a transition that changes language."""
+    s = cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in G.COUNTS])
+    n, bounds = F.col("n_a") + F.col("n_b"), sum((F.col(c) for c in G.COUNTS[3:]), F.col("t_aa"))
+    return s.select(
+        *keys, F.when(n > 0, 100 * (1 - F.greatest("n_a", "n_b") / n)).otherwise(F.lit(0.0)).alias("cmi"),
+        F.when(bounds > 0, (F.col("t_ab") + F.col("t_ba")) / bounds).otherwise(F.lit(0.0)).alias("i_index"),
+    )
+
+
+def models(cells: DataFrame, keys: Sequence[str] = ("speaker",)) -> DataFrame:
     """Log ratios of each enrolled speaker against everyone else. Extra keys (a budget, say) come first."""
-    counts = G.dense(G.cells(choices, list(keys)), list(keys))
+    pooled = cells.groupBy(*keys, "cls").agg(*[F.sum(c).cast("long").alias(c) for c in G.COUNTS])
+    counts = G.dense(pooled, list(keys))
     own = G.smooth(counts, keys)
     rest = G.smooth(G.leave_one_out(counts, keys[-1], keys[:-1]), keys)
     return G.log_ratios(own, rest, keys)
 
 
 def streams(
-    probes: DataFrame, probe_stats: DataFrame, ratios: DataFrame, enrol_mix: DataFrame, extra: Sequence[str] = (),
-    low_signal: bool = False,
+    probe_cells: DataFrame, enrol_cells: DataFrame, ratios: DataFrame, extra: Sequence[str] = (), low_signal: bool = False,
 ) -> DataFrame:
     """Every probe against every model: mean lexical and transition log ratios and metric distances."""
-    cell = G.cells(probes, ["utt", "speaker"]).withColumnRenamed("speaker", "probe_speaker")
+    cell = probe_cells.drop("session").withColumnRenamed("speaker", "probe_speaker")
     model = ratios.withColumnRenamed("speaker", "claimed")
     use = F.lit(True) if low_signal else ~F.col("low")
 
@@ -71,8 +86,8 @@ def streams(
         weighted([("t_aa", "l_aa"), ("t_ab", "l_ab"), ("t_ba", "l_ba"), ("t_bb", "l_bb")]).alias("_tr"),
         counted(["t_aa", "t_ab", "t_ba", "t_bb"]).alias("_ntr"),
     )
-    pm = mixing(probe_stats, ["utt"]).select("utt", F.col("cmi").alias("_pc"), F.col("i_index").alias("_pi"))
-    em = enrol_mix.select(*extra, F.col("speaker").alias("claimed"), F.col("cmi").alias("_ec"), F.col("i_index").alias("_ei"))
+    pm = cell_mixing(probe_cells, ["utt"]).select("utt", F.col("cmi").alias("_pc"), F.col("i_index").alias("_pi"))
+    em = cell_mixing(enrol_cells, [*extra, "speaker"]).select(*extra, F.col("speaker").alias("claimed"), F.col("cmi").alias("_ec"), F.col("i_index").alias("_ei"))
     s = s.join(pm, "utt").join(em, [*extra, "claimed"])
     dist = (F.abs(F.col("_pc") - F.col("_ec")) / 100 + F.abs(F.col("_pi") - F.col("_ei"))) / 2
     conf = ramp(F.col("n_scored"), METRICS_LOW, METRICS_FULL)

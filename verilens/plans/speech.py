@@ -279,14 +279,13 @@ def prompt_coverage(spark, sf):
 # ---------------------------------------------------------------- scoring
 
 def enrol_probe(spark, sf):
-    ch = choices(spark, sf)
-    return ch.filter("session < 3"), ch.filter("session = 3")
+    cells = L.utterance_cells(choices(spark, sf))
+    return cells.filter("session < 3"), cells.filter("session = 3")
 
 
 def llr_streams(spark, sf, low_signal=False):
     enrol, probe = enrol_probe(spark, sf)
-    mix = T.mixing(T.utterance_stats(enrol), ["speaker"])
-    return L.streams(probe, T.utterance_stats(probe), L.models(enrol), mix, low_signal=low_signal)
+    return L.streams(probe, enrol, L.models(enrol), low_signal=low_signal)
 
 
 def llr_trials(spark, sf):
@@ -315,7 +314,7 @@ SELECT * FROM (SELECT utt, claimed, cls, n, llr, CASE WHEN p_a >= 1 - p_a THEN '
 def llr_contributions(spark, sf):
     """Evidence per class for the claimed speaker of each genuine probe, worst first."""
     enrol, probe = enrol_probe(spark, sf)
-    cell = G.cells(probe, ["utt", "speaker"]).filter("n_a + n_b > 0")
+    cell = probe.filter("n_a + n_b > 0")
     m = L.models(enrol).filter("not low")
     first = F.col("n_a") >= F.col("n_b")
     j = cell.join(m, ["speaker", "cls"]).select(

@@ -205,3 +205,45 @@ zs AS (SELECT claimed, CASE WHEN count(*) < 2 THEN 0 ELSE avg(raw) END AS mean,
   CASE WHEN count(*) >= 2 AND stddev_samp(raw) > 1e-6 THEN stddev_samp(raw) ELSE 1 END AS std FROM sp WHERE NOT is_genuine AND probe_dev GROUP BY ALL),
 zt AS (SELECT sp.* REPLACE (CASE WHEN score IS NOT NULL THEN 1 / (1 + exp(-((raw - coalesce(mean, 0)) / coalesce(std, 1)) / 1.5::DOUBLE)) END AS score),
   (raw - coalesce(mean, 0)) / coalesce(std, 1) AS z FROM sp LEFT JOIN zs USING (claimed))"""
+
+TS = """ts AS (SELECT l_orderkey AS item, l_linenumber::BIGINT AS line, l_suppkey AS probe_speaker,
+  CASE WHEN l_linestatus = 'F' THEN l_suppkey ELSE l_suppkey + 1 + l_partkey % 7 END AS claimed, l_linestatus = 'F' AS is_genuine,
+  l_discount * 6 + CASE WHEN l_linestatus = 'F' THEN 0.35::DOUBLE ELSE 0 END AS s_voice,
+  CASE WHEN l_orderkey % 7 <> 0 THEN l_tax / 0.08::DOUBLE * 0.6::DOUBLE + CASE WHEN l_linestatus = 'F' THEN 0.25::DOUBLE ELSE 0 END END AS s_graph,
+  CASE WHEN l_partkey % 11 <> 0 THEN l_quantity / 100 + CASE WHEN l_linestatus = 'F' THEN 0.4::DOUBLE ELSE 0 END END AS s_know,
+  l_returnflag AS device, l_suppkey % 4 AS region, l_shipdate AS at FROM lineitem)"""
+
+
+def configs(table: dict, veto, name: str = "cfg") -> str:
+    rows = []
+    for i, (k, w) in enumerate(table.items()):
+        v = veto.get(k) if isinstance(veto, dict) else veto
+        rows.append(f"('{k}', {i}, {w[0]!r}::DOUBLE, {w[1]!r}::DOUBLE, {w[2]!r}::DOUBLE, {'NULL' if v is None else repr(v)}::DOUBLE)")
+    return f"{name} AS (SELECT * FROM (VALUES {', '.join(rows)}) v(config, ord, w_voice, w_graph, w_know, veto))"
+
+
+_ON = {b: f"CASE WHEN s_{b} IS NOT NULL THEN w_{b} ELSE 0 END" for b in ("voice", "graph", "know")}
+_NUM = " + ".join(f"{on} * coalesce(s_{b}, 0)" for b, on in _ON.items())
+_DEN = " + ".join(_ON.values())
+
+
+def fused(src: str, cfg: str = "cfg", name: str = "fu") -> str:
+    return f"""{name}_0 AS (SELECT *, CASE WHEN {_DEN} > 0 THEN ({_NUM}) / ({_DEN}) END AS mean,
+  coalesce(w_graph > 0 AND s_graph < veto, false) AS vetoed FROM {src} CROSS JOIN {cfg}),
+{name} AS (SELECT *, CASE WHEN vetoed OR mean IS NULL THEN '-inf'::DOUBLE ELSE mean END AS score FROM {name}_0)"""
+
+
+def decided(src: str, name: str = "de", phrase: bool = False) -> str:
+    """CTE: plain gates and weighted decision (no voice gate) over rows with fused parts."""
+    ph = "WHEN phrase < 0.6 THEN 'phrase'" if phrase else ""
+    return f"""{name} AS (SELECT *, CASE WHEN reason = 'reached' THEN 'ACCEPT' WHEN reason = 'near' THEN 'BORDERLINE' ELSE 'REJECT' END AS decision,
+  CASE WHEN reason IN ('liveness', 'integrity', 'phrase', 'unmeasured') THEN 0 ELSE mean END AS fused FROM
+  (SELECT *, CASE WHEN NOT liveness_ok THEN 'liveness' WHEN integrity < 0.25 THEN 'integrity' {ph} WHEN mean IS NULL THEN 'unmeasured'
+   WHEN vetoed THEN 'veto' WHEN abs(mean - 0.55) <= 0.05 THEN 'near' WHEN mean >= 0.55 THEN 'reached' ELSE 'below' END AS reason FROM {src}))"""
+
+
+def wilson(k: str, n: str) -> tuple[str, str]:
+    p = f"({k} / {n}::DOUBLE)"
+    mid = f"({p} + 3.8416 / (2 * {n})) / (1 + 3.8416 / {n})"
+    half = f"(1.96 * sqrt({p} * (1 - {p}) / {n} + 3.8416 / (4.0 * {n} * {n})) / (1 + 3.8416 / {n}))"
+    return f"CASE WHEN {n} = 0 THEN 0 ELSE greatest(0, {mid} - {half}) END", f"CASE WHEN {n} = 0 THEN 1 ELSE least(1, {mid} + {half}) END"

@@ -84,3 +84,18 @@ def attack_trials(spark: SparkSession, sf: str) -> DataFrame:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events")
+
+
+def trial_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled verification trials with three branch scores, one per line item."""
+    li = spread(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+    gen = F.col("l_linestatus") == "F"
+    lift = lambda by: F.when(gen, F.lit(by)).otherwise(F.lit(0.0))
+    return li.select(
+        F.col("l_orderkey").alias("item"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_suppkey").alias("probe_speaker"),
+        F.when(gen, F.col("l_suppkey")).otherwise(F.col("l_suppkey") + 1 + F.col("l_partkey") % 7).alias("claimed"), gen.alias("is_genuine"),
+        (F.col("l_discount") * 6 + lift(0.35)).alias("s_voice"),
+        F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax") / 0.08 * 0.6 + lift(0.25)).alias("s_graph"),
+        F.when(F.col("l_partkey") % 11 != 0, F.col("l_quantity") / 100 + lift(0.4)).alias("s_know"),
+        F.col("l_returnflag").alias("device"), (F.col("l_suppkey") % 4).alias("region"), F.col("l_shipdate").alias("at"),
+    )
