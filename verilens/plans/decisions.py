@@ -250,18 +250,25 @@ def fitted(spark, sf):
     return dev.join(F.broadcast(thr))
 
 
-@query("veto_fit", "floor:d far_removed:d frr_cost:d", f"{_FIT} SELECT floor, far_removed, frr_cost FROM sw WHERE floor < thr AND frr_cost <= 0.02 AND far_removed > 0 ORDER BY floor DESC LIMIT 1")
+_BEST = "best AS (SELECT * FROM sw WHERE floor < thr AND frr_cost <= {b} AND far_removed > 0 ORDER BY floor DESC LIMIT 1)"
+
+
+def fit(spark, sf, budget):
+    sweep = M.veto_sweep(fitted(spark, sf), F.col("threshold"), GRID, ["threshold"])
+    return M.veto_fit(sweep, F.col("threshold"), budget, ["threshold"])
+
+
+@query("veto_fit", "floor:d far_removed:d frr_cost:d", f"{_FIT}, {_BEST.format(b=0.15)} SELECT floor, far_removed, frr_cost FROM best")
 def veto_fit(spark, sf):
-    d = fitted(spark, sf)
-    sweep = M.veto_sweep(d, F.col("threshold"), GRID, ["threshold"])
-    return M.veto_fit(sweep, F.col("threshold"), 0.02, ["threshold"])
+    """Highest floor inside a 15% reject budget (graph scores here take nine values, so each step is wide)."""
+    return fit(spark, sf, 0.15)
 
 
-@query("fit_policy", "threshold:d floor:d far_removed:d frr_cost:d", f"""{_FIT}, best AS (SELECT * FROM sw WHERE floor < thr AND frr_cost <= 0.02 AND far_removed > 0 ORDER BY floor DESC LIMIT 1)
+@query("fit_policy", "threshold:d floor:d far_removed:d frr_cost:d", f"""{_FIT}, {_BEST.format(b=0.02)}
  SELECT mt.eer_t AS threshold, floor, coalesce(far_removed, 0) AS far_removed, coalesce(frr_cost, 0) AS frr_cost FROM mt LEFT JOIN best ON true""")
 def fit_policy(spark, sf):
     """Threshold on dev first, then the veto floor under that threshold (weights given)."""
-    return veto_fit(spark, sf)
+    return fit(spark, sf, 0.02)
 
 
 @query("fusion_weights", "branch weight:d")
@@ -457,7 +464,7 @@ def yield_summary(spark, sf):
 
 @query("blockers", "rule blocked:b n:l", f"""WITH {Q.ATT}, {Q.TS} SELECT 'simulated' AS rule, count(*) FILTER (simulated) > 0 AS blocked, count(*) FILTER (simulated) AS n FROM att
  UNION ALL SELECT 'graph_coverage', count(s_graph) / count(*)::DOUBLE < 0.5, count(*) - count(s_graph) FROM ts UNION ALL SELECT 'knowledge_coverage', count(s_know) / count(*)::DOUBLE < 0.5, count(*) - count(s_know) FROM ts
- UNION ALL SELECT 'within_session', (SELECT count(*) FROM (SELECT probe_speaker FROM ts GROUP BY 1 HAVING count(DISTINCT date_trunc('month', at)) < 2)) > 0, (SELECT count(*) FROM (SELECT probe_speaker FROM ts GROUP BY 1 HAVING count(DISTINCT date_trunc('month', at)) < 2))""")
+ UNION ALL SELECT 'within_session', (SELECT count(*) FROM (SELECT probe_speaker FROM ts GROUP BY 1 HAVING count(DISTINCT date_trunc('month', ts."at")) < 2)) > 0, (SELECT count(*) FROM (SELECT probe_speaker FROM ts GROUP BY 1 HAVING count(DISTINCT date_trunc('month', ts."at")) < 2))""")
 def blockers(spark, sf):
     """Reasons a run may not be reported, each a one-row check."""
     sim = views.attack_trials(spark, sf).agg(F.count_if("simulated").alias("n")).select(F.lit("simulated").alias("rule"), (F.col("n") > 0).alias("blocked"), "n")
