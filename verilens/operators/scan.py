@@ -16,6 +16,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verilens.functions.times import micros
+
 # Cells per factor of two in magnitude: neighbours in one cell differ by under 0.07%.
 RESOLUTION = 1024
 _FLOOR = 2.0**-40
@@ -29,7 +31,7 @@ def value_bucket(x: Column, resolution: int = RESOLUTION) -> Column:
 
 
 def time_bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
+    return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
 def hash_bucket(hex_digest: Column, digits: int = 2) -> Column:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verilens.functions.times import micros
+
 
 @dataclass(frozen=True)
 class Throttle:
@@ -28,14 +30,14 @@ def throttle_waits(attempts: DataFrame, p: Throttle) -> DataFrame:
     Only the last ``forget`` seconds matter, so a series is cut into blocks of that
     length, each seen with the block before it. A hot identity is split over time.
     """
-    micros = p.forget * 1_000_000
-    us = F.unix_micros("ts")
-    home = F.floor(us / micros)
+    span = p.forget * 1_000_000
+    us = micros("ts")
+    home = F.floor(us / span)
     a = attempts.withColumn("us", us).select("*", F.inline(F.array(
         F.struct(home.alias("blk"), F.lit(True).alias("own")), F.struct((home + 1).alias("blk"), F.lit(False).alias("own")))))
     block = Window.partitionBy("identity", "blk").orderBy("us")
     a = a.withColumn("era", F.coalesce(F.sum(F.when(~F.col("failed"), 1)).over(block.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    recent = Window.partitionBy("identity", "blk", "era").orderBy("us").rangeBetween(-(micros - 1), -1)
+    recent = Window.partitionBy("identity", "blk", "era").orderBy("us").rangeBetween(-(span - 1), -1)
     a = a.withColumn("n_live", F.count(F.when(F.col("failed"), 1)).over(recent)).withColumn("last", F.max(F.when(F.col("failed"), F.col("us"))).over(recent))
     wait = F.greatest(F.lit(0.0), (F.col("last") - F.col("us")) / 1e6 + p.delay(F.col("n_live")))
     return a.filter("own").select("identity", "id", "ts", "failed", "n_live", F.when(p.delay(F.col("n_live")) > 0, wait).otherwise(F.lit(0.0)).alias("wait"))
@@ -47,10 +49,10 @@ def consume_challenges(issued: DataFrame, answers: DataFrame, ttl: int) -> DataF
     The interval join is an equi-join on (identity, time slot): a challenge looks at
     its own slot and the next, so a hot identity is split by time.
     """
-    slot = lambda c: F.floor(F.unix_micros(c) / (ttl * 1_000_000))
+    slot = lambda c: F.floor(micros(c) / (ttl * 1_000_000))
     i = issued.withColumn("_s", F.explode(F.array(slot("issued"), slot("issued") + 1)))
     a = answers.withColumn("_s", slot("answered"))
-    gap = F.unix_micros("answered") - F.unix_micros("issued")
+    gap = micros("answered") - micros("issued")
     m = i.join(a, ["identity", "_s"]).filter((gap > 0) & (gap <= ttl * 1_000_000))
     # The latest open challenge takes the answer; each challenge keeps its first.
     by_answer = m.groupBy("identity", "answer", "answered").agg(F.max(F.struct("issued", "challenge")).alias("c"))
@@ -58,5 +60,5 @@ def consume_challenges(issued: DataFrame, answers: DataFrame, ttl: int) -> DataF
     out = issued.join(first, ["identity", "challenge"], "left")
     return out.select(
         "identity", "challenge", "issued", F.when(F.col("a").isNull(), "expired").otherwise("consumed").alias("status"),
-        F.col("a.answer").alias("answer"), ((F.unix_micros("a.answered") - F.unix_micros("issued")) / 1e6).alias("latency"),
+        F.col("a.answer").alias("answer"), ((micros("a.answered") - micros("issued")) / 1e6).alias("latency"),
         F.coalesce(F.col("n") - 1, F.lit(0)).alias("replays"))

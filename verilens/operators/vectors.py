@@ -102,3 +102,69 @@ def own_rest_cosine(units: DataFrame, keys: Sequence[str]) -> DataFrame:
     sums = group_sums(units, keys)
     own = let(minus(F.col("s"), F.col("v")), lambda rest: dot(rest, F.col("v")) / norm(rest))
     return units.join(sums, list(keys)).select(*units.columns, "n", F.when(F.col("n") > 1, own).alias("own"))
+
+
+def mean_subtracted(units: DataFrame, norm_units: DataFrame) -> DataFrame:
+    """Unit vectors with the norm cohort's mean taken out, renormalised. The mean is one row."""
+    mu = norm_units.agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("_mu"))
+    moved = units.join(F.broadcast(mu))
+    return compute_once(moved, [c for c in units.columns if c != "v"], v=unit(minus(F.col("v"), F.col("_mu"))))
+
+
+def top_k_stats(items: DataFrame, cohort: DataFrame, key: Sequence[str], k: int, vec: str) -> DataFrame:
+    """Mean and deviation (ddof 0, plus 1e-6) of each item's k best cohort scores; ranking keeps k rows per item before any shuffle."""
+    from pyspark.sql import Window
+
+    pairs = each_with_each(items, cohort.select(F.col("vec_id").alias("_cid"), F.col("v").alias("_cv")), cohort.select("vec_id"), ["_cid"], list(key))
+    s = pairs.select(*key, "_cid", dot(F.col(vec), F.col("_cv")).alias("_s"))
+    w = Window.partitionBy(*key).orderBy(F.desc("_s"), "_cid")
+    top = s.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    return top.groupBy(*key).agg(F.avg("_s").alias("mu"), (F.stddev_pop("_s") + 1e-6).alias("sd"))
+
+
+def adaptive_norm(trials: DataFrame, templates: DataFrame, probes: DataFrame, cohort: DataFrame, k: int) -> DataFrame:
+    """Average of the z-scores against the template's and the probe's nearest cohort vectors."""
+    t = top_k_stats(templates, cohort, ["claimed", "fold"], k, "c").select("claimed", "fold", F.col("mu").alias("_mt"), F.col("sd").alias("_st"))
+    p = top_k_stats(probes, cohort, ["vec_id"], k, "v").select("vec_id", F.col("mu").alias("_mp"), F.col("sd").alias("_sp"))
+    s = F.col("score")
+    z = ((s - F.col("_mt")) / F.col("_st") + (s - F.col("_mp")) / F.col("_sp")) / 2
+    return trials.join(t, ["claimed", "fold"]).join(p, "vec_id").withColumn("score", z).drop("_mt", "_st", "_mp", "_sp")
+
+
+def trimmed_templates(units: DataFrame, trim: float = 0.2) -> DataFrame:
+    """Held-out templates re-averaged without the share of enrolment vectors farthest from the centroid."""
+    from verilens.operators.scan import exact_quantiles
+    from verilens.sources.tables import small_side
+
+    t = small_side(holdout_templates(units))
+    own = units.join(t, (F.col("speaker") == F.col("claimed")) & (F.col("session") != F.col("fold"))).select(
+        "claimed", "fold", "v", dot(F.col("v"), F.col("c")).alias("own")).persist()
+    cut = exact_quantiles(own, ["claimed", "fold"], "own", {"cut": trim})
+    kept = own.join(small_side(cut), ["claimed", "fold"]).filter(F.col("own") >= F.col("cut"))
+    return centroids(kept, ["claimed", "fold"]).select("claimed", "fold", "c")
+
+
+def trials_against(probes: DataFrame, templates: DataFrame, sized_by: DataFrame) -> DataFrame:
+    """Held-out trials against given (claimed, fold, c) templates."""
+    pairs = each_with_each(probes, templates, sized_by, ["claimed", "fold"], ["vec_id"])
+    return pairs.filter((F.col("speaker") != F.col("claimed")) | (F.col("session") == F.col("fold"))).select(
+        "vec_id", F.col("speaker").alias("probe_speaker"), "session", "claimed", "fold",
+        (F.col("speaker") == F.col("claimed")).alias("is_genuine"), dot(F.col("v"), F.col("c")).alias("score"))
+
+
+def sitting_matrix(units: DataFrame) -> DataFrame:
+    """(speaker, probe session, template session, mean cosine); the diagonal leaves the probe out of its own template."""
+    s = group_sums(units, ["speaker", "session"]).select("speaker", F.col("session").alias("template"), "s", "n")
+    j = units.join(s, "speaker")
+    same = F.col("session") == F.col("template")
+    rest = F.when(same, minus(F.col("s"), F.col("v"))).otherwise(F.col("s"))
+    cos = let(rest, lambda r: dot(r, F.col("v")) / norm(r))
+    return j.withColumn("_x", F.when(~same | (F.col("n") > 1), cos)).groupBy("speaker", F.col("session").alias("probe"), "template").agg(F.avg("_x").alias("mean"))
+
+
+def nearest_remembered(units: DataFrame, memory_size: int, threshold: float) -> DataFrame:
+    """Best earlier remembered vector of each vector at or above the threshold. Memory is the latest ``memory_size`` items."""
+    memory = units.orderBy(F.desc("vec_id")).limit(memory_size).select(F.col("vec_id").alias("mid"), F.col("v").alias("mv"))
+    s = units.join(F.broadcast(memory), F.col("mid") < F.col("vec_id")).select("vec_id", "mid", dot(F.col("v"), F.col("mv")).alias("sim"))
+    best = s.groupBy("vec_id").agg(F.max(F.struct("sim", (-F.col("mid")).alias("m"))).alias("b"))
+    return best.select("vec_id", (-F.col("b.m")).alias("match"), F.col("b.sim").alias("sim")).filter(F.col("sim") >= threshold)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verilens.functions.text import slug
+from verilens.functions.times import micros
 from verilens.operators import corpus as H
 from verilens.operators import series as R
 from verilens.operators import state as ST
@@ -43,7 +44,7 @@ def curvature_spikes(spark, sf):
 def series_quality(spark, sf):
     x = F.col("value")
     return views.events(spark, sf).groupBy("user_id").agg(
-        ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("seconds"), F.sqrt(F.avg(x * x)).alias("rms"), F.max(F.abs(x)).alias("peak"),
+        ((micros(F.max("ts")) - micros(F.min("ts"))) / 1e6).alias("seconds"), F.sqrt(F.avg(x * x)).alias("rms"), F.max(F.abs(x)).alias("peak"),
         F.avg((x >= 200).cast("int")).alias("clip_share")).withColumn("silent", F.col("rms") < 1e-4).withColumn("too_short", F.col("seconds") < 86400)
 
 
@@ -103,7 +104,7 @@ def gaps(spark, sf):
     """Time to the next event of the series, from numbered rows in blocks that see one row ahead."""
     b = R.blocks(series(spark, sf), 512, after=1)
     w = Window.partitionBy("user_id", "blk").orderBy("rn")
-    g = b.withColumn("gap", (F.unix_micros(F.lead("ts").over(w)) - F.unix_micros("ts")) / 1e6)
+    g = b.withColumn("gap", (micros(F.lead("ts").over(w)) - micros("ts")) / 1e6)
     return g.filter("own and gap is not null")
 
 
@@ -173,7 +174,7 @@ def stepup_state(spark, sf):
 def span_filter(spark, sf):
     """Rows inside the matched span (padded), or all rows when the span is too short."""
     e = views.events(spark, sf)
-    us = F.unix_micros("ts")
+    us = micros("ts")
     buy = F.when(F.col("event_type") == "purchase", us)
     s = e.groupBy("user_id").agg((F.min(buy) - 200_000).alias("a"), (F.max(buy) + 200_000).alias("b"))
     long = F.coalesce(F.col("b") - F.col("a"), F.lit(0)) > 864_000_000_000
