@@ -14,7 +14,7 @@ from verilens.sources.tables import small_side
 
 def dev_speakers(trials: DataFrame, a: str, b: str, share: float = 0.4, seed: int = 0) -> DataFrame:
     """(k, dev): the seeded first ``share`` of speakers, at least 2 and leaving at least 2; empty under 4 speakers."""
-    names = trials.select(F.col(a).alias("k")).unionByName(trials.select(F.col(b).alias("k"))).distinct()
+    names = trials.select(F.explode(F.array(a, b)).alias("k")).distinct()
     ranked = rank_by_digest(names.withColumn("_h", hashed(seed, F.col("k"))), [], "_h", ["k"], "rn", "n")
     n_dev = F.least(F.greatest(F.lit(2), F.bround(F.col("n") * share, 0)), F.col("n") - 2)
     return ranked.filter("n >= 4").select("k", (F.col("rn") <= n_dev).alias("dev"))

@@ -140,8 +140,8 @@ _KLO, _KHI = Q.wilson("false_rejects", "n_gen")
 
 
 @query("operating_points", "variant rule threshold:d false_rejects:l n_gen:l false_accepts:l n_imp:l frr_lo:d frr_hi:d", f"""WITH {_VAR},
- kd AS (SELECT variant, score, row_number() OVER (PARTITION BY variant ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY variant) AS n FROM vd WHERE NOT is_genuine),
- th AS (SELECT variant, 'eer' AS rule, thr_eer AS threshold FROM dm UNION ALL SELECT variant, 'far1', score FROM kd WHERE r = least(floor(0.01::DOUBLE * n), n - 1) + 1),
+ ko AS (SELECT variant, score, row_number() OVER (PARTITION BY variant ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY variant) AS n FROM vd WHERE NOT is_genuine),
+ th AS (SELECT variant, 'eer' AS rule, thr_eer AS threshold FROM dm UNION ALL SELECT variant, 'far1', score FROM ko WHERE r = least(floor(0.01::DOUBLE * n), n - 1) + 1),
  op AS (SELECT variant, rule, threshold, count(*) FILTER (is_genuine AND (score < threshold OR (rule = 'far1' AND score = threshold))) AS false_rejects, count(*) FILTER (is_genuine) AS n_gen,
   count(*) FILTER (NOT is_genuine AND (score > threshold OR (rule = 'eer' AND score = threshold))) AS false_accepts, count(*) FILTER (NOT is_genuine) AS n_imp FROM ve JOIN th USING (variant) GROUP BY ALL)
  SELECT *, {_KLO} AS frr_lo, {_KHI} AS frr_hi FROM op""")
@@ -326,7 +326,7 @@ def identify(spark, sf):
     return t.select("vec_id", (-F.col("b.m")).alias("best"), F.col("b.score").alias("score"), (-F.col("b.m") == F.col("probe_speaker")).alias("correct"))
 
 
-@query("nearest_impostors", "claimed:l probe_speaker:l top:d rank:l", f"WITH {Q.CENT} SELECT * FROM (SELECT claimed, probe_speaker, max(score) AS top, row_number() OVER (PARTITION BY claimed ORDER BY max(score) DESC, probe_speaker) AS rank FROM ctrials WHERE NOT is_genuine GROUP BY ALL) WHERE rank <= 5")
+@query("nearest_impostors", "claimed:l probe_speaker:l top:d rank:l", f"WITH {Q.CENT} SELECT *, row_number() OVER (PARTITION BY claimed ORDER BY top DESC, probe_speaker) AS rank FROM (SELECT claimed, probe_speaker, max(score) AS top FROM ctrials WHERE NOT is_genuine GROUP BY claimed, probe_speaker) QUALIFY rank <= 5")
 def nearest_impostors(spark, sf):
     t = V.centroid_trials(units(spark, sf)).filter("not is_genuine").groupBy("claimed", "probe_speaker").agg(F.max("score").alias("top"))
     return S.rank_first(t, ["claimed"], [F.desc("top"), "probe_speaker"], 5).withColumnRenamed("rn", "rank")

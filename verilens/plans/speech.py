@@ -329,13 +329,13 @@ def llr_contributions(spark, sf):
 
 def llr_split(spark, sf):
     """Trials with their part and cohort-normalised scores: statistics come from impostor trials of dev probes only."""
-    t = S.trial_parts(llr_trials(spark, sf)).persist()
+    t = S.trial_parts(llr_trials(spark, sf).persist())
     return L.apply_znorm(t, L.cohort_stats(t.filter("probe_dev")))
 
 
 @query("trial_split", "part is_genuine:b n:l n_claimed:l", f"WITH {Q.ZN} SELECT part, is_genuine, count(*) AS n, count(DISTINCT claimed) AS n_claimed FROM zt GROUP BY ALL")
 def trial_split(spark, sf):
-    return S.trial_parts(llr_trials(spark, sf)).groupBy("part", "is_genuine").agg(
+    return S.trial_parts(llr_trials(spark, sf).persist()).groupBy("part", "is_genuine").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("claimed").alias("n_claimed"))
 
 
