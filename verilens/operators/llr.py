@@ -81,7 +81,9 @@ def streams(
     def counted(names):
         return F.sum(F.when(use, sum((F.col(n) for n in names[1:]), F.col(names[0]))).otherwise(F.lit(0))).cast("long")
 
-    s = cell.join(small_side(model), "cls").groupBy(*extra, "utt", "probe_speaker", "claimed").agg(
+    # 21 rows per model; counting the enrolled keys also fills the persisted cells.
+    enrolled = enrol_cells.select(*extra, "speaker").distinct()
+    s = cell.join(small_side(model, 10_000, enrolled), "cls").groupBy(*extra, "utt", "probe_speaker", "claimed").agg(
         weighted([("n_a", "l_a"), ("n_b", "l_b")]).alias("_lex"), counted(["n_a", "n_b"]).alias("n_scored"),
         weighted([("t_aa", "l_aa"), ("t_ab", "l_ab"), ("t_ba", "l_ba"), ("t_bb", "l_bb")]).alias("_tr"),
         counted(["t_aa", "t_ab", "t_ba", "t_bb"]).alias("_ntr"),

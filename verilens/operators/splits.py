@@ -12,9 +12,8 @@ from verilens.operators.scan import rank_by_digest
 from verilens.sources.tables import small_side
 
 
-def dev_speakers(trials: DataFrame, a: str, b: str, share: float = 0.4, seed: int = 0) -> DataFrame:
-    """(k, dev): the seeded first ``share`` of speakers, at least 2 and leaving at least 2; empty under 4 speakers."""
-    names = trials.select(F.explode(F.array(a, b)).alias("k")).distinct()
+def dev_speakers(names: DataFrame, share: float = 0.4, seed: int = 0) -> DataFrame:
+    """(k, dev): the seeded first ``share`` of speakers ``k``, at least 2 and leaving at least 2; empty under 4 speakers."""
     ranked = rank_by_digest(names.withColumn("_h", hashed(seed, F.col("k"))), [], "_h", ["k"], "rn", "n")
     n_dev = F.least(F.greatest(F.lit(2), F.bround(F.col("n") * share, 0)), F.col("n") - 2)
     return ranked.filter("n >= 4").select("k", (F.col("rn") <= n_dev).alias("dev"))
@@ -24,8 +23,12 @@ def trial_parts(
     trials: DataFrame, a: str = "probe_speaker", b: str = "claimed", share: float = 0.4, seed: int = 0,
     speakers: DataFrame | None = None,
 ) -> DataFrame:
-    """Mark each trial dev or test when both its speakers are on that side, else cohort."""
-    d = small_side(dev_speakers(trials, a, b, share, seed) if speakers is None else speakers)
+    """Mark each trial dev or test when both its speakers are on that side, else cohort.
+
+    ``speakers`` (column k) saves reading the trials for their names.
+    """
+    names = trials.select(F.explode(F.array(a, b)).alias("k")).distinct() if speakers is None else speakers
+    d = small_side(dev_speakers(names, share, seed), sized_by=names)
     out = trials.join(d.select(F.col("k").alias(a), F.col("dev").alias("probe_dev")), a).join(
         d.select(F.col("k").alias(b), F.col("dev").alias("_cd")), b
     )

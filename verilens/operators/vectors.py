@@ -136,11 +136,12 @@ def trimmed_templates(units: DataFrame, trim: float = 0.2) -> DataFrame:
     from verilens.operators.scan import exact_quantiles
     from verilens.sources.tables import small_side
 
-    t = small_side(holdout_templates(units))
+    size = units.select("speaker", "session").distinct()
+    t = small_side(holdout_templates(units), 20_000, size)
     own = units.join(t, (F.col("speaker") == F.col("claimed")) & (F.col("session") != F.col("fold"))).select(
         "claimed", "fold", "v", dot(F.col("v"), F.col("c")).alias("own")).persist()
     cut = exact_quantiles(own, ["claimed", "fold"], "own", {"cut": trim})
-    kept = own.join(small_side(cut), ["claimed", "fold"]).filter(F.col("own") >= F.col("cut"))
+    kept = own.join(small_side(cut, 20_000, size), ["claimed", "fold"]).filter(F.col("own") >= F.col("cut"))
     return centroids(kept, ["claimed", "fold"]).select("claimed", "fold", "c")
 
 

@@ -57,7 +57,7 @@ def population_assemble(spark, sf):
     both = v.filter("vec_id % 4 = 0").withColumn("kind", F.lit("whole")).withColumn("ord", F.lit(1)).withColumn("src", F.lit("whole")).unionByName(
         v.filter("vec_id % 4 <> 0").withColumn("kind", F.lit("probe")).withColumn("ord", F.lit(2)).withColumn("src", F.lit("chunks")))
     src = both.groupBy("speaker").agg(F.min_by("src", "ord").alias("source"))
-    return both.groupBy("speaker", "session", "kind").agg(F.count("*").alias("n")).join(small_side(src), "speaker")
+    return both.groupBy("speaker", "session", "kind").agg(F.count("*").alias("n")).join(src, "speaker")
 
 
 @query("log_overlay", "event_id:l user_id:l k:l corrected:b", """WITH e AS (SELECT event_id, user_id, ts, event_type, json_extract(props, '$.k')::BIGINT AS k FROM events),
@@ -395,7 +395,7 @@ def same_prompt_join(spark, sf):
     c = table(spark, sf, "conversations")
     a = H.first(c.select("role", "turn", "conv_id", "text"), ["role", "turn"], ["conv_id"]).select("role", "turn", F.col("conv_id").alias("first_conv"), F.col("text").alias("expected"))
     e = F.when(F.col("conv_id") != F.col("first_conv"), F.col("expected"))
-    return c.join(small_side(a), ["role", "turn"], "left").groupBy("role", "turn").agg(F.count("*").alias("probes"), F.count(e).alias("with_answer"), F.count_if(F.col("text") == e).alias("same"))
+    return c.join(a, ["role", "turn"], "left").groupBy("role", "turn").agg(F.count("*").alias("probes"), F.count(e).alias("with_answer"), F.count_if(F.col("text") == e).alias("same"))
 
 
 # ------------------------------------------------------------ aggregates

@@ -13,7 +13,7 @@ from verilens.operators.scan import exact_quantiles
 from verilens.plans import sqlviews as Q
 from verilens.plans.registry import query
 from verilens.sources import views
-from verilens.sources.tables import small_side, table
+from verilens.sources.tables import table
 
 P = M.Policy()
 ATT_W = M.weighted(P, M.ATTACK_CONFIGURATIONS)
@@ -330,7 +330,7 @@ def operating_point(spark, sf):
     e = e.withColumn("fl0", F.when(gap >= 0.04, thr - F.greatest(F.lit(0.02), (thr - F.col("edge")) / 2)).otherwise(F.least(F.col("owner"), F.col("edge") - 0.02)))
     e = e.withColumn("threshold", F.greatest(thr, F.lit(0.55))).withColumn("floor", F.greatest(F.least(F.col("fl0"), F.col("threshold") - 0.02), F.lit(0.0)))
     p = e.select("device", "threshold", "floor", (~enough | (F.col("ng") < 30)).alias("provisional"))
-    r = t.join(small_side(p), "device").groupBy("device", "threshold", "floor", "provisional").agg(
+    r = t.join(p, "device").groupBy("device", "threshold", "floor", "provisional").agg(
         F.avg(F.when(~F.col("is_genuine"), (F.col("score") >= F.col("threshold")).cast("int"))).alias("far_t"),
         F.avg(F.when(F.col("is_genuine"), (F.col("score") < F.col("threshold")).cast("int"))).alias("frr_t"))
     return r.withColumn("ready", (F.col("frr_t") <= 0.05) & ~F.col("provisional"))
@@ -371,7 +371,7 @@ def cues(spark, sf):
 def tpr_at_fpr(spark, sf):
     c = cues(spark, sf)
     q = exact_quantiles(c.filter("genuine"), ["cue"], "x", {"threshold": 0.95})
-    return c.filter(~F.col("genuine")).join(small_side(q), "cue").groupBy("cue", "threshold").agg(F.avg((F.col("x") > F.col("threshold")).cast("int")).alias("tpr"))
+    return c.filter(~F.col("genuine")).join(q, "cue").groupBy("cue", "threshold").agg(F.avg((F.col("x") > F.col("threshold")).cast("int")).alias("tpr"))
 
 
 @query("cue_calibration", "cue kind:l median:d p95:d auc:d tpr1:d tpr5:d", f"""WITH {Q.ATT}, {_CUES},
@@ -388,7 +388,7 @@ def cue_calibration(spark, sf):
     kind = F.when(F.col("genuine"), kinds).otherwise(F.array("attack"))
     t = rows.select("cue", F.explode(kind).alias("kind"), (~F.col("genuine")).alias("is_genuine"), F.col("x").alias("score"))
     m = C.metrics(t, ["cue", "kind"]).select("cue", "kind", "auc")
-    z = c.filter(~F.col("genuine")).join(F.broadcast(q), "cue").groupBy("cue", F.col("attack").alias("kind"), "median", "p95").agg(
+    z = c.filter(~F.col("genuine")).join(q, "cue").groupBy("cue", F.col("attack").alias("kind"), "median", "p95").agg(
         (F.sum(F.when(F.col("x") > F.col("p99"), F.col("w")).otherwise(0)) / F.sum("w")).alias("tpr1"), (F.sum(F.when(F.col("x") > F.col("p95"), F.col("w")).otherwise(0)) / F.sum("w")).alias("tpr5"))
     return m.join(z, ["cue", "kind"])
 

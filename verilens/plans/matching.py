@@ -12,7 +12,7 @@ from verilens.operators import matching as K
 from verilens.plans import sqlviews as Q
 from verilens.plans.registry import query
 from verilens.sources import views
-from verilens.sources.tables import small_side, spread, table
+from verilens.sources.tables import spread, table
 
 
 def words_of(spark, sf):
@@ -226,7 +226,7 @@ def phrase_pass_rate(spark, sf):
     r = phrase_rows(phrases(spark, sf)).persist()
     top = r.select("session", F.explode("_m").alias("w")).groupBy("session", "w").agg(F.count("*").alias("k")).groupBy("session").agg(F.min(F.struct((-F.col("k")).alias("k"), "w")).alias("t"))
     s = r.groupBy("session").agg(F.count("*").alias("n"), F.avg((F.col("score") >= 0.6).cast("int")).alias("pass_rate"), F.avg((F.col("score") >= 1).cast("int")).alias("pass_all"))
-    return s.join(small_side(top), "session", "left").withColumn("top_missing", F.col("t.w"))
+    return s.join(top, "session", "left").withColumn("top_missing", F.col("t.w"))
 
 
 @query("fuzzy_vocab_pairs", "a b ratio:d", """WITH v AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM benchmark) WHERE regexp_matches(lower(w), '^[a-z]{3,}$'))

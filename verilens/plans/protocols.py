@@ -13,7 +13,7 @@ from verilens.operators import vectors as V
 from verilens.operators.scan import exact_quantiles, rank_by_digest, rank_within
 from verilens.plans import sqlviews as Q
 from verilens.plans.registry import query
-from verilens.plans.speech import choices, enrol_probe, llr_split
+from verilens.plans.speech import enrol_probe, llr_split, speaker_names
 from verilens.plans.vectors import trials, units
 from verilens.sources import views
 from verilens.sources.tables import small_side
@@ -180,7 +180,7 @@ def population(spark, sf):
     u = units(spark, sf)
     k = rank_by_digest(u.select(F.col("speaker").alias("k")).distinct().withColumn("_h", hashed(7, F.col("k"))), [], "_h", ["k"], "rn", "n")
     parts = k.select("k", F.when(F.col("rn") <= F.bround(F.col("n") * 0.5, 0), "dev").otherwise("test").alias("part"))
-    p = small_side(parts)
+    p = small_side(parts, sized_by=u.select("speaker").distinct())
     t = V.holdout_trials(u)
     return t.join(p.select(F.col("k").alias("probe_speaker"), "part"), "probe_speaker").join(p.select(F.col("k").alias("claimed"), F.col("part").alias("_p")), "claimed").filter("part = _p")
 
@@ -200,7 +200,7 @@ def seed_sweep(spark, sf):
     u = units(spark, sf)
     k = u.select(F.col("speaker").alias("k")).distinct().select("k", F.explode(F.expr("sequence(1, 7)")).alias("seed"))
     k = k.withColumn("_h", F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("k").cast("string"))))
-    test = small_side(rank_by_digest(k, ["seed"], "_h", ["k"], "rn", "n").filter(F.col("rn") > F.bround(F.col("n") * 0.5, 0)).select("seed", "k"))
+    test = small_side(rank_by_digest(k, ["seed"], "_h", ["k"], "rn", "n").filter(F.col("rn") > F.bround(F.col("n") * 0.5, 0)).select("seed", "k"), sized_by=k)
     t = V.holdout_trials(u).join(test.withColumnRenamed("k", "probe_speaker"), "probe_speaker").join(test.withColumnRenamed("k", "claimed"), ["seed", "claimed"])
     m = C.metrics(t, ["seed"]).select("eer").persist()
     q = exact_quantiles(m, [], "eer", {"lowest": 0.0, "median": 0.5, "highest": 1.0})
@@ -283,7 +283,7 @@ def ablate_scoring(spark, sf):
     out = row(low, "low-signal in", ABLATIONS["full"], True).unionByName(row(s, "no z-norm", ABLATIONS["full"], False))
     for name, w in ABLATIONS.items():
         out = out.unionByName(row(s, name, w, True))
-    t = S.trial_parts(L.with_score(out), speakers=S.dev_speakers(s, "probe_speaker", "claimed")).persist()
+    t = S.trial_parts(L.with_score(out), speakers=speaker_names(enrol, probe)).persist()
     z = L.apply_znorm(t.withColumn("plain", F.col("score")), L.cohort_stats(t.filter("probe_dev"), ["config", "claimed"]), ["config", "claimed"])
     z = z.filter("part = 'test'").withColumn("score", F.when(F.col("zn"), F.col("score")).otherwise(F.col("plain")))
     m = C.metrics(z, ["config"]).select("config", "eer").persist()
@@ -365,7 +365,7 @@ def enrollee_eval(spark, sf):
     t = trials(spark, sf).persist()
     test, g = t.filter("fold = 2"), F.col("is_genuine")
     dev = t.filter("fold = 1 and (is_genuine or probe_speaker % 2 = 0)")
-    thr = small_side(C.metrics(dev, ["claimed"]).select("claimed", F.col("thr_eer").alias("threshold")))
+    thr = C.metrics(dev, ["claimed"]).select("claimed", F.col("thr_eer").alias("threshold"))
     r = test.join(thr, "claimed").groupBy("claimed", "threshold").agg(
         F.count_if(g & (F.col("score") < 0.05)).alias("fr"), F.count_if(g).alias("n_gen"), F.count_if(~g & (F.col("score") >= 0.05)).alias("fa"), F.count_if(~g).alias("n_imp"),
         F.avg(F.when(g, (F.col("score") < F.col("threshold")).cast("int"))).alias("fitted_frr"),

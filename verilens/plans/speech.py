@@ -283,11 +283,22 @@ def enrol_probe(spark, sf):
     return cells.filter("session < 3"), cells.filter("session = 3")
 
 
+def speaker_names(enrol, probe):
+    return enrol.select(F.col("speaker").alias("k")).union(probe.select("speaker")).distinct()
+
+
 def llr_streams(spark, sf, low_signal=False):
     enrol, probe = enrol_probe(spark, sf)
     return L.streams(probe, enrol, L.models(enrol), low_signal=low_signal)
 
 
+def llr_parts(spark, sf):
+    """Scored trials with their split part."""
+    enrol, probe = enrol_probe(spark, sf)
+    t = L.with_score(L.mix_streams(L.streams(probe, enrol, L.models(enrol))))
+    return S.trial_parts(t, speakers=speaker_names(enrol, probe))
+
+
 def llr_trials(spark, sf):
     return L.with_score(L.mix_streams(llr_streams(spark, sf)))
 
@@ -329,13 +340,13 @@ def llr_contributions(spark, sf):
 
 def llr_split(spark, sf):
     """Trials with their part and cohort-normalised scores: statistics come from impostor trials of dev probes only."""
-    t = S.trial_parts(llr_trials(spark, sf).persist())
+    t = llr_parts(spark, sf).persist()
     return L.apply_znorm(t, L.cohort_stats(t.filter("probe_dev")))
 
 
 @query("trial_split", "part is_genuine:b n:l n_claimed:l", f"WITH {Q.ZN} SELECT part, is_genuine, count(*) AS n, count(DISTINCT claimed) AS n_claimed FROM zt GROUP BY ALL")
 def trial_split(spark, sf):
-    return S.trial_parts(llr_trials(spark, sf).persist()).groupBy("part", "is_genuine").agg(
+    return llr_parts(spark, sf).groupBy("part", "is_genuine").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("claimed").alias("n_claimed"))
 
 

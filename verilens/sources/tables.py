@@ -28,6 +28,10 @@ def bounded(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint behind a row-count check; otherwise the join shuffles and AQE splits hot keys."""
-    return F.broadcast(df) if bounded(df, max_rows) else df
+def small_side(df: DataFrame, max_rows: int = 200_000, sized_by: DataFrame | None = None) -> DataFrame:
+    """Broadcast hint behind a row-count check; otherwise the join shuffles and AQE splits hot keys.
+
+    ``sized_by`` has as many rows as ``df`` (or a fixed share of them) and is
+    cheap to count; without it ``df`` itself is counted.
+    """
+    return F.broadcast(df) if bounded(df if sized_by is None else sized_by, max_rows) else df
