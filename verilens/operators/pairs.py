@@ -28,6 +28,6 @@ def each_with_each(
         "_c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))
     )
     right = few.withColumn("_c", F.pmod(F.xxhash64(*few_key), F.lit(columns)).cast("int")).withColumn(
-        "_r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long")
+        "_r", F.explode(F.expr(f"sequence(0L, {rows - 1}L)"))
     )
     return left.join(right, ["_r", "_c"]).drop("_r", "_c")

@@ -19,10 +19,11 @@ MANIFEST = (
 def read_manifest(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """One JSON document per corpus to four tables; NULL tokens (untagged) stay apart from an empty list."""
     doc = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
-    doc = doc.select("*", F.assert_true(F.col("manifest_version") == MANIFEST_VERSION, F.lit("unknown manifest version")).alias("_ok"))
-    utts = doc.select("_ok", F.inline("utterances")).drop("_ok")
+    known = F.col("manifest_version") == MANIFEST_VERSION
+    doc = doc.filter(F.when(known, F.lit(True)).otherwise(F.raise_error("unknown manifest version").cast("boolean")))
+    utts = doc.select(F.inline("utterances"))
     return {
-        "speakers": doc.select("_ok", F.inline("speakers")).drop("_ok"), "sessions": doc.select("_ok", F.inline("sessions")).drop("_ok"),
+        "speakers": doc.select(F.inline("speakers")), "sessions": doc.select(F.inline("sessions")),
         "utterances": utts.withColumn("n_tokens", F.when(F.col("tokens").isNotNull(), F.size("tokens"))).drop("tokens"),
         "tokens": utts.filter(F.col("tokens").isNotNull()).select("utterance_id", F.posexplode("tokens").alias("pos", "t")).select("utterance_id", "pos", "t.*"),
     }
@@ -38,7 +39,7 @@ def write_utterances(utterances: DataFrame, tokens: DataFrame, path: str) -> Non
 
 def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines as (rows, broken lines). A torn last line shows up among the broken ones, for the caller to accept or refuse."""
-    df = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    df = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).persist()
     return df.filter("_corrupt is null").drop("_corrupt"), df.select("_corrupt").filter("_corrupt is not null")
 
 
