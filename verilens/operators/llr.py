@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verilens.functions.stats import ramp, squash
 from verilens.operators import graph as G
 from verilens.sources.tables import small_side
+from verilens.sources.held import hold
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ METRICS_SCALE, METRICS_LOW, METRICS_FULL, MIN_TOKENS = 25.0, 20.0, 60.0, 5
 
 def utterance_cells(choices: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Class counts per utterance: the only table scoring needs, read several times and therefore persisted."""
-    return G.cells(choices, ["utt", "speaker", "session", *extra]).persist(StorageLevel.MEMORY_AND_DISK)
+    return G.cells(choices, ["utt", "speaker", "session", *extra]).transform(hold)
 
 
 def cell_mixing(cells: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verilens.functions.times import micros
+from verilens.sources.held import hold
 
 # Cells per factor of two in magnitude: neighbours in one cell differ by under 0.07%.
 RESOLUTION = 1024
@@ -66,7 +66,7 @@ def running(
     """
     overall = overall or {}
     cell = [*keys, bucket]
-    placed = df.repartition(*[F.col(c) for c in cell]).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = df.repartition(*[F.col(c) for c in cell]).transform(hold)
     here = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     scanned = placed.select("*", *[_COMBINE[how][0](c).over(here).alias(n) for n, (how, c) in outputs.items()])
     totals = placed.groupBy(*cell).agg(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from verilens.functions.arrays import compute_once, let
 from verilens.functions.vector import dot, minus, norm, unit
 from verilens.operators.pairs import each_with_each
+from verilens.sources.held import hold
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def trimmed_templates(units: DataFrame, trim: float = 0.2) -> DataFrame:
     size = units.select("speaker", "session").distinct()
     t = small_side(holdout_templates(units), 20_000, size)
     own = units.join(t, (F.col("speaker") == F.col("claimed")) & (F.col("session") != F.col("fold"))).select(
-        "claimed", "fold", "v", dot(F.col("v"), F.col("c")).alias("own")).persist()
+        "claimed", "fold", "v", dot(F.col("v"), F.col("c")).alias("own")).transform(hold)
     cut = exact_quantiles(own, ["claimed", "fold"], "own", {"cut": trim})
     kept = own.join(small_side(cut, 20_000, size), ["claimed", "fold"]).filter(F.col("own") >= F.col("cut"))
     return centroids(kept, ["claimed", "fold"]).select("claimed", "fold", "c")

@@ -17,6 +17,7 @@ from verilens.plans import sqlviews as Q
 from verilens.plans.registry import query
 from verilens.sources import views
 from verilens.sources.tables import small_side, spread, table
+from verilens.sources.held import hold
 
 
 
@@ -331,7 +332,7 @@ def gold_rows(spark, sf):
 def gold_scored(spark, sf):
     """Gold rows against predictions: one altered text or missing position excludes its whole utterance."""
     p = views.tokens(spark, sf).select("utt", "pos", "text", "speaker", F.col("lang").alias("pl"), F.col("cls").alias("pc"))
-    j = gold_rows(spark, sf).join(p, ["utt", "pos"], "left").persist()
+    j = gold_rows(spark, sf).join(p, ["utt", "pos"], "left").transform(hold)
     mis = j.groupBy("utt").agg(F.bool_or(F.col("text").isNull() | (F.col("text") != F.col("gtext"))).alias("bad")).filter("bad").select("utt")
     return j, mis
 

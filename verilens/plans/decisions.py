@@ -14,6 +14,7 @@ from verilens.plans import sqlviews as Q
 from verilens.plans.registry import query
 from verilens.sources import views
 from verilens.sources.tables import table
+from verilens.sources.held import hold
 
 P = M.Policy()
 ATT_W = M.weighted(P, M.ATTACK_CONFIGURATIONS)
@@ -245,7 +246,7 @@ _FIT = f"""{_SPLIT}, dv AS (SELECT * FROM sp WHERE part = 'dev'), {Q.curve('dv',
 
 def fitted(spark, sf):
     """Dev trials with the threshold fitted on dev attached (one row)."""
-    dev = split_scores(spark, sf).filter("part = 'dev'").persist()
+    dev = split_scores(spark, sf).filter("part = 'dev'").transform(hold)
     thr = C.metrics(dev, ["config"]).select(F.col("eer_t").alias("threshold"))
     return dev.join(F.broadcast(thr))
 
@@ -298,7 +299,7 @@ def fairness_eer(spark, sf):
  count(*) FILTER (NOT is_genuine) AS n_imp, count(*) FILTER (score = '-inf') AS n_vetoed FROM fu JOIN r USING (config) GROUP BY ALL""")
 def score_histogram(spark, sf):
     """40 equal bins between the lowest and highest finite score; vetoed trials in bin -1."""
-    h = C.histogram(scored(spark, sf), ["config"]).persist()
+    h = C.histogram(scored(spark, sf), ["config"]).transform(hold)
     fin = F.col("t") > C.NEG_INF
     r = h.groupBy("config").agg(F.min(F.when(fin, F.col("t"))).alias("lo"), F.max("t").alias("hi"))  # a row per configuration
     b = F.when(~fin, F.lit(-1)).otherwise(F.least(F.lit(39), F.floor((F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 40)))
@@ -381,7 +382,7 @@ def tpr_at_fpr(spark, sf):
  SELECT m.cue, m.kind, median, p95, auc, tpr1, tpr5 FROM mt m JOIN q USING (cue) JOIN (SELECT cue, attack AS kind, avg((x > p99)::INT) AS tpr1, avg((x > p95)::INT) AS tpr5 FROM cues JOIN q USING (cue) WHERE NOT genuine GROUP BY ALL) z ON z.cue = m.cue AND z.kind = m.kind""")
 def cue_calibration(spark, sf):
     """Each cue's genuine spread and how well it separates each kind of tampering."""
-    c = cues(spark, sf).groupBy("cue", "genuine", "attack", "x").agg(F.count(F.lit(1)).alias("w")).persist()
+    c = cues(spark, sf).groupBy("cue", "genuine", "attack", "x").agg(F.count(F.lit(1)).alias("w")).transform(hold)
     rows = cues(spark, sf)
     q = exact_quantiles(rows.filter("genuine"), ["cue"], "x", {"median": 0.5, "p95": 0.95, "p99": 0.99})
     kinds = F.array(*[F.lit(k).cast("long") for k in range(1, 6)])
@@ -412,7 +413,7 @@ def attack_vs_owner(spark, sf):
     """Attacks taken as the strangers: what blocking them costs the owner. Both sides enter as histograms."""
     own = views.trial_scores(spark, sf).filter("is_genuine").select(F.explode(F.array(*[F.lit(k).cast("long") for k in range(1, 6)])).alias("attack"), F.lit(True).alias("is_genuine"), F.col("s_voice").alias("score"))
     att = views.attack_trials(spark, sf).select("attack", F.lit(False).alias("is_genuine"), F.col("s_voice").alias("score"))
-    pts = C.curve(own.unionByName(att), ["attack"]).persist()
+    pts = C.curve(own.unionByName(att), ["attack"]).transform(hold)
     m = C.curve_metrics(pts, ["attack"], far_targets={"t5": 0.05, "t1": 0.01})
     cost = pts.join(F.broadcast(m.select("attack", "t5", "t1")), "attack").groupBy("attack").agg(*[
         (F.sum(F.when(F.col("t") <= F.col(t), F.col("n_gen")).otherwise(0)) / F.max("g")).alias(n) for t, n in (("t5", "frr_at_5"), ("t1", "frr_at_1"))])

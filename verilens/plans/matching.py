@@ -13,6 +13,7 @@ from verilens.plans import sqlviews as Q
 from verilens.plans.registry import query
 from verilens.sources import views
 from verilens.sources.tables import spread, table
+from verilens.sources.held import hold
 
 
 def words_of(spark, sf):
@@ -85,7 +86,7 @@ _LF = """wf AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(rege
 def latin_fraction(spark, sf):
     d = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", "text")
     w = compute_once(d, ["doc_id"], w=X.wer_words(F.col("text")))
-    f = compute_once(w, ["doc_id"], n=F.size("w"), k=F.size(F.filter("w", X.is_latin))).withColumn("fraction", F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.0)).persist()
+    f = compute_once(w, ["doc_id"], n=F.size("w"), k=F.size(F.filter("w", X.is_latin))).withColumn("fraction", F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.0)).transform(hold)
     m = f.agg(F.avg("fraction").alias("m"))  # one row
     return f.join(F.broadcast(m)).withColumn("comparable", F.abs(F.col("fraction") - F.col("m")) <= 0.5)
 
@@ -217,13 +218,13 @@ def phrase_match(spark, sf):
 def phrase_match_fuzzy(spark, sf):
     """The same with close spellings accepted (matching-block ratio of at least 0.8)."""
     p = phrases(spark, sf).withColumn("expected", F.transform("expected", lambda w: F.when(F.length(w) > 5, F.concat(w, F.lit("s"))).otherwise(w)))
-    return phrase_rows(K.with_close_words(p.persist(), "utt"), F.col("close"))
+    return phrase_rows(K.with_close_words(p.transform(hold), "utt"), F.col("close"))
 
 
 @query("phrase_pass_rate", "session:l n:l pass_rate:d pass_all:d top_missing", f"""WITH {_PHR}, ms AS (SELECT session, unnest(string_split(missing, ',')) AS w FROM ph WHERE missing <> ''), mc AS (SELECT session, w, count(*) AS k FROM ms GROUP BY ALL)
  SELECT session, count(*) AS n, avg((score >= 0.6)::INT) AS pass_rate, avg((score >= 1)::INT) AS pass_all, (SELECT arg_min(w, (-k, w)) FROM mc WHERE mc.session = ph.session) AS top_missing FROM ph GROUP BY ALL""")
 def phrase_pass_rate(spark, sf):
-    r = phrase_rows(phrases(spark, sf)).persist()
+    r = phrase_rows(phrases(spark, sf)).transform(hold)
     top = r.select("session", F.explode("_m").alias("w")).groupBy("session", "w").agg(F.count("*").alias("k")).groupBy("session").agg(F.min(F.struct((-F.col("k")).alias("k"), "w")).alias("t"))
     s = r.groupBy("session").agg(F.count("*").alias("n"), F.avg((F.col("score") >= 0.6).cast("int")).alias("pass_rate"), F.avg((F.col("score") >= 1).cast("int")).alias("pass_all"))
     return s.join(top, "session", "left").withColumn("top_missing", F.col("t.w"))

@@ -17,6 +17,7 @@ from verilens.plans.speech import enrol_probe, llr_split, speaker_names
 from verilens.plans.vectors import trials, units
 from verilens.sources import views
 from verilens.sources.tables import small_side
+from verilens.sources.held import hold
 
 NORM = (8, 9)
 _U = Q.unit
@@ -129,7 +130,7 @@ def variant_select(spark, sf):
  FROM tm t JOIN dm d USING (variant) CROSS JOIN (SELECT eer, min_dcf FROM tm WHERE variant = 'baseline') b""")
 def poc_protocol(spark, sf):
     """Held-out-session protocol for every variant at once: dev EER, test metrics and the change against the baseline."""
-    t = variant_trials(spark, sf).persist()
+    t = variant_trials(spark, sf).transform(hold)
     dev, test = dev_and_test(t)
     m = C.metrics(test, ["variant"]).select("variant", "eer", "min_dcf", "auc")
     b = m.filter("variant = 'baseline'").select(F.col("eer").alias("be"), F.col("min_dcf").alias("bd"))
@@ -147,7 +148,7 @@ _KLO, _KHI = Q.wilson("false_rejects", "n_gen")
  SELECT *, {_KLO} AS frr_lo, {_KHI} AS frr_hi FROM op""")
 def operating_points(spark, sf):
     """Thresholds fitted on dev and applied unchanged to test. The FAR rule accepts strictly above its order statistic."""
-    t = variant_trials(spark, sf).persist()
+    t = variant_trials(spark, sf).transform(hold)
     dev, test = dev_and_test(t)
     rules = dev.select("variant", F.expr("stack(2, 'eer', thr_eer, 'far1', far1) AS (rule, threshold)"))
     j = test.join(F.broadcast(rules), "variant")
@@ -164,7 +165,7 @@ def operating_points(spark, sf):
  SELECT variant, fold, n_trials AS n, n_accepted AS accepted, mean, top, {Q.wilson('n_accepted', 'n_trials')[0]} AS lo, {Q.wilson('n_accepted', 'n_trials')[1]} AS hi FROM g""")
 def attack_report(spark, sf):
     """Probes aimed at one enrollee's held-out templates, accepted under the dev threshold, per fold."""
-    t = variant_trials(spark, sf).persist()
+    t = variant_trials(spark, sf).transform(hold)
     dev, test = dev_and_test(t)
     lo, hi = wilson(F.col("accepted"), F.col("n"))
     return test.filter("not is_genuine and claimed = 0").join(F.broadcast(dev), "variant").groupBy("variant", "fold").agg(
@@ -202,7 +203,7 @@ def seed_sweep(spark, sf):
     k = k.withColumn("_h", F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("k").cast("string"))))
     test = small_side(rank_by_digest(k, ["seed"], "_h", ["k"], "rn", "n").filter(F.col("rn") > F.bround(F.col("n") * 0.5, 0)).select("seed", "k"), sized_by=k)
     t = V.holdout_trials(u).join(test.withColumnRenamed("k", "probe_speaker"), "probe_speaker").join(test.withColumnRenamed("k", "claimed"), ["seed", "claimed"])
-    m = C.metrics(t, ["seed"]).select("eer").persist()
+    m = C.metrics(t, ["seed"]).select("eer").transform(hold)
     q = exact_quantiles(m, [], "eer", {"lowest": 0.0, "median": 0.5, "highest": 1.0})
     return q.join(F.broadcast(m.agg(F.count("*").alias("n"))))  # one row
 
@@ -233,7 +234,7 @@ def budget_curve(spark, sf):
     sized = folds.select("claimed", "fold").withColumn("b", F.explode(budgets))
     pairs = V.each_with_each(u, t, sized, ["budget", "claimed", "fold"], ["vec_id"])
     s = pairs.filter((F.col("speaker") != F.col("claimed")) | (F.col("session") == F.col("fold"))).select(
-        "budget", (F.col("speaker") == F.col("claimed")).alias("is_genuine"), V.dot(F.col("v"), F.col("c")).alias("score")).persist()
+        "budget", (F.col("speaker") == F.col("claimed")).alias("is_genuine"), V.dot(F.col("v"), F.col("c")).alias("score")).transform(hold)
     mean = s.groupBy("budget").agg(F.avg(F.when(F.col("is_genuine"), F.col("score"))).alias("genuine_mean"))
     return C.metrics(s, ["budget"]).withColumn("eer", F.col("eer_nearest")).join(mean, "budget")
 
@@ -253,7 +254,7 @@ def stability_curve(spark, sf):
     u = enrol.select("utt", "speaker").distinct().withColumn("_b", F.floor(F.col("utt") / 4096))
     n = rank_within(u, ["speaker"], "_b", ["utt"], "rn").select("utt", "rn")
     budgets = F.array(*[F.lit(b).cast("long") for b in (3, 6, 1_000_000)])
-    e = enrol.join(n, "utt").withColumn("budget", F.explode(budgets)).filter("rn <= budget").drop("rn").persist()
+    e = enrol.join(n, "utt").withColumn("budget", F.explode(budgets)).filter("rn <= budget").drop("rn").transform(hold)
     s = L.streams(probe, e, L.models(e, ["budget", "speaker"]), ["budget"])
     t = L.with_score(L.mix_streams(s))
     return C.metrics(t, ["budget"]).filter("n_gen >= 5 and n_imp >= 5")
@@ -272,8 +273,8 @@ _ABL = Q.SPEECH + ", " + Q.streams() + ", " + Q.streams("sl", low=True) + ", al
 def ablate_scoring(spark, sf):
     """Streams are computed once and mixed per configuration; only the class set needs a second scoring pass."""
     enrol, probe = enrol_probe(spark, sf)
-    models = L.models(enrol).persist()
-    s = L.streams(probe, enrol, models).persist()
+    models = L.models(enrol).transform(hold)
+    s = L.streams(probe, enrol, models).transform(hold)
     low = L.streams(probe, enrol, models, low_signal=True)
     keep = ["config", "zn", "utt", "probe_speaker", "claimed", "is_genuine", "n_scored", "raw"]
 
@@ -283,10 +284,10 @@ def ablate_scoring(spark, sf):
     out = row(low, "low-signal in", ABLATIONS["full"], True).unionByName(row(s, "no z-norm", ABLATIONS["full"], False))
     for name, w in ABLATIONS.items():
         out = out.unionByName(row(s, name, w, True))
-    t = S.trial_parts(L.with_score(out), speakers=speaker_names(enrol, probe)).persist()
+    t = S.trial_parts(L.with_score(out), speakers=speaker_names(enrol, probe)).transform(hold)
     z = L.apply_znorm(t.withColumn("plain", F.col("score")), L.cohort_stats(t.filter("probe_dev"), ["config", "claimed"]), ["config", "claimed"])
     z = z.filter("part = 'test'").withColumn("score", F.when(F.col("zn"), F.col("score")).otherwise(F.col("plain")))
-    m = C.metrics(z, ["config"]).select("config", "eer").persist()
+    m = C.metrics(z, ["config"]).select("config", "eer").transform(hold)
     base_eer = m.agg(F.max(F.when(F.col("config") == "full", F.col("eer"))).alias("b"))  # one row
     return m.join(F.broadcast(base_eer)).withColumn("delta", F.col("eer") - F.col("b"))
 
@@ -362,7 +363,7 @@ def branch_scores(spark, sf):
  SELECT s.claimed, fr / n_gen::DOUBLE AS frr, fa / n_imp::DOUBLE AS far, n_gen, n_imp, {Q.wilson('fr', 'n_gen')[1]} AS frr_hi, {Q.wilson('fa', 'n_imp')[1]} AS far_hi, threshold, fitted_frr, fitted_far FROM s JOIN f ON f.claimed = s.claimed""")
 def enrollee_eval(spark, sf):
     """Held-out rates of each enrollee at a system threshold, and at one fitted on another session and half of the strangers."""
-    t = trials(spark, sf).persist()
+    t = trials(spark, sf).transform(hold)
     test, g = t.filter("fold = 2"), F.col("is_genuine")
     dev = t.filter("fold = 1 and (is_genuine or probe_speaker % 2 = 0)")
     thr = C.metrics(dev, ["claimed"]).select("claimed", F.col("thr_eer").alias("threshold"))
@@ -377,6 +378,6 @@ def enrollee_eval(spark, sf):
  SELECT kind, grp, count(*) AS n, avg(score) AS mean, quantile_cont(score, 0.99) AS p99, quantile_cont(score, 0.999) AS p999, max(score) AS top, avg((score >= 0.1)::INT) AS rate FROM c GROUP BY ALL""")
 def calibration_report(spark, sf):
     """Owner scores per held-out session and stranger scores per fold, with their tails."""
-    t = trials(spark, sf).select(F.when(F.col("is_genuine"), "owner").otherwise("strangers").alias("kind"), F.col("fold").alias("grp"), "score").persist()
+    t = trials(spark, sf).select(F.when(F.col("is_genuine"), "owner").otherwise("strangers").alias("kind"), F.col("fold").alias("grp"), "score").transform(hold)
     q = exact_quantiles(t, ["kind", "grp"], "score", {"p99": 0.99, "p999": 0.999})
     return t.groupBy("kind", "grp").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.max("score").alias("top"), F.avg((F.col("score") >= 0.1).cast("int")).alias("rate")).join(q, ["kind", "grp"])

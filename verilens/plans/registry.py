@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verilens.sources.held import let_go
+
 Build = Callable[["SparkSession", str], DataFrame]
 
 QUERIES: dict[str, Build] = {}
@@ -30,6 +32,7 @@ def query(name: str, cols: str, sql: str | None = None) -> Callable[[Build], Bui
 
     def wrap(build: Build) -> Build:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            let_go(spark)
             df = build(spark, sf_dir)
             shaped = []
             for c, kind in columns:

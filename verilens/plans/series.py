@@ -14,13 +14,14 @@ from verilens.operators.scan import exact_quantiles, running, time_bucket
 from verilens.plans.registry import query
 from verilens.sources import views
 from verilens.sources.tables import small_side, table
+from verilens.sources.held import hold
 
 _NUM = "e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS len FROM events)"
 
 
 def series(spark, sf):
     e = views.events(spark, sf).select("user_id", "event_id", "ts", "value")
-    return R.numbered(e, ["user_id"], "ts", "event_id").persist()
+    return R.numbered(e, ["user_id"], "ts", "event_id").transform(hold)
 
 
 @query("zero_runs", "user_id:l start:l stop:l n:l", """WITH g AS (SELECT *, row_number() OVER w AS rn, sum((value >= 40)::INT) OVER w AS bad FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
@@ -53,7 +54,7 @@ def series_quality(spark, sf):
  SELECT user_id, 20 * log10(lo + 1e-12) AS noise, 20 * log10(hi + 1e-12) AS speech, 20 * log10(hi + 1e-12) - 20 * log10(lo + 1e-12) AS snr FROM f""")
 def series_snr(spark, sf):
     """Loud percentile against the quietest sliding window, in dB."""
-    w = R.sliding_rms(series(spark, sf), "user_id", "value", 12, 2).persist()
+    w = R.sliding_rms(series(spark, sf), "user_id", "value", 12, 2).transform(hold)
     q = exact_quantiles(w, ["user_id"], "rms", {"lo": 0.0, "hi": 0.95})
     db = lambda c: 20 * F.log10(F.col(c) + 1e-12)
     return q.select("user_id", db("lo").alias("noise"), db("hi").alias("speech"), (db("hi") - db("lo")).alias("snr"))
@@ -93,7 +94,7 @@ def level_steps(spark, sf):
     """Quiet stretches whose background level changes by at least 4 dB from one side to the other."""
     f = R.frames(views.events(spark, sf), "user_id", "ts", "value")
     w = Window.partitionBy("user_id")  # one row per day
-    x = f.select("user_id", (10 * F.log10(F.col("ms") + 1e-12)).alias("le"), (F.row_number().over(w.orderBy("frame")) - 1).alias("idx"), F.count("*").over(w).alias("n_frames")).persist()
+    x = f.select("user_id", (10 * F.log10(F.col("ms") + 1e-12)).alias("le"), (F.row_number().over(w.orderBy("frame")) - 1).alias("idx"), F.count("*").over(w).alias("n_frames")).transform(hold)
     q = exact_quantiles(x, ["user_id"], "le", {"p10": 0.1, "p90": 0.9})
     cut = q.select("user_id", (F.col("p10") + 0.35 * F.greatest(F.col("p90") - F.col("p10"), F.lit(1.0))).alias("cut"))
     return R.level_steps(x, "user_id", cut, 2, 5, 4.0).select("user_id", F.col("s").alias("start"), F.col("e").alias("stop"), F.col("l").alias("before"), F.col("r").alias("after"), "step")

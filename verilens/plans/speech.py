@@ -16,6 +16,7 @@ from verilens.operators.scan import exact_quantiles
 from verilens.plans import sqlviews as Q
 from verilens.plans.registry import query
 from verilens.sources import views
+from verilens.sources.held import hold
 
 
 def toks(spark, sf):
@@ -340,7 +341,7 @@ def llr_contributions(spark, sf):
 
 def llr_split(spark, sf):
     """Trials with their part and cohort-normalised scores: statistics come from impostor trials of dev probes only."""
-    t = llr_parts(spark, sf).persist()
+    t = llr_parts(spark, sf).transform(hold)
     return L.apply_znorm(t, L.cohort_stats(t.filter("probe_dev")))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from verilens.sources.held import let_go
+
 
 def build(app: str = "verilens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; a cluster's own settings win over these."""
@@ -29,4 +31,4 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
 
 def release(spark: SparkSession) -> None:
     """Drop the persisted intermediates of finished queries."""
-    spark.catalog.clearCache()
+    let_go(spark)
