@@ -1,6 +1,7 @@
 """Streams agree with batch; files round trip."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def replay(spark, df, tmp, name, order="ts", pieces=3):
 
 def drain(spark, stream, tmp, name, mode="append"):
     root = checkpoint_root(spark, str(tmp))
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/ck_{name}").trigger(availableNow=True).start()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/ck_{name}_{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination(120)
     return spark.table(name)
 
