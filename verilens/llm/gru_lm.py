@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 
 from verilens.llm.common import stored, text_of
 
-HIDDEN, TOP, WIDE, TAIL = 16, 1024, 32, 64
+HIDDEN, TOP, WIDE, TAIL = 16, 1024, 32, 32
 FREQUENT = 1 << 18
-WINDOW, LANES, SEGMENT = 16, 64, 2048
-ROUNDS, ONE_IN, RATE = 2, 8, 0.02
+WINDOW, LANES, SEGMENT = 16, 128, 1024
+ROUNDS, ONE_IN, RATE = 2, 8, 0.03
+#: Weights of the output stay within this, so that with states below 1 no exponential overflows.
+MOST = 4.0
 #: Tokens of texts that a task scores side by side, and how many at most side by side.
-POOL, ABREAST = 2_000_000, 512
+POOL, ABREAST = 5_000_000, 512
 SMOOTH = 0.1
 END = b""
 CLASSES = TOP // WIDE + TAIL
@@ -77,16 +79,17 @@ def blank(class_bias: np.ndarray, word_bias: np.ndarray) -> dict[str, np.ndarray
             "W": put(TOP, h), "w": word_bias.astype(np.float32)}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """One token of each lane: new state, and what backpropagation needs."""
     n = HIDDEN
-    e = p["E"][x] + p["b"]
+    e = p["E"][x]
+    e += p["b"]
     hu = h @ p["U"]
-    zr = _sigmoid(e[:, :2 * n] + hu[:, :2 * n])
+    zr = e[:, :2 * n] + hu[:, :2 * n]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
     z, r = zr[:, :n], zr[:, n:]
     new = np.tanh(e[:, 2 * n:] + r * hu[:, 2 * n:])
     return new + z * (h - new), z, r, new, hu
@@ -95,12 +98,13 @@ def step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.nda
 def output(p: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log chance of each target's class and, for frequent tokens, of the token in it; with ``grads`` also d(-sum)/d states."""
     group = np.where(target < TOP, target // WIDE, _TAIL_FIRST + target - TOP)
-    logits = states @ p["C"] + p["c"]
-    logits -= logits.max(1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(1)
+    logits = states @ p["C"]
+    logits += p["c"]
     at = np.arange(len(target))
-    out = logits[at, group] - np.log(total)
+    chosen = logits[at, group]
+    e = np.exp(logits, out=logits)
+    total = e.sum(1)
+    out = chosen - np.log(total)
     d_states = None
     if grads is not None:
         d = e / total[:, None]
@@ -116,12 +120,13 @@ def output(p: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray, gra
             continue
         own = slice(k * WIDE, (k + 1) * WIDE)
         s = states[rows]
-        l = s @ p["W"][own].T + p["w"][own]  # noqa: E741
-        l -= l.max(1, keepdims=True)
-        e = np.exp(l)
+        inside = s @ p["W"][own].T
+        inside += p["w"][own]
+        i, t = at[:len(rows)], target[rows] - k * WIDE
+        chosen = inside[i, t]
+        e = np.exp(inside, out=inside)
         total = e.sum(1)
-        i, t = np.arange(len(rows)), target[rows] - k * WIDE
-        out[rows] += l[i, t] - np.log(total)
+        out[rows] += chosen - np.log(total)
         if grads is not None:
             d = e / total[:, None]
             d[i, t] -= 1
@@ -176,6 +181,8 @@ class Adam:
             m += np.float32(0.1) * (a - m)
             v += np.float32(0.01) * (a * a - v)
             p[k] -= fix * m / (np.sqrt(v) + np.float32(1e-6))
+            if k in "CW":
+                np.clip(p[k], -MOST, MOST, out=p[k])
 
 
 def train_on(p: dict[str, np.ndarray], texts: Iterator[np.ndarray]) -> int:
@@ -236,10 +243,14 @@ def score_all(p: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
         size[to] += len(texts[i])
     rank = np.argsort(-size, kind="stable")
     lanes, size = [lanes[i] for i in rank], size[rank]
-    y = np.concatenate([texts[i] for own in lanes for i in own])
-    owner = np.repeat([i for own in lanes for i in own], [len(texts[i]) for own in lanes for i in own])
-    new = np.concatenate([[True], owner[1:] != owner[:-1]])
-    x = np.where(new, TOP + TAIL, np.concatenate([[0], y[:-1]]))
+    flat = [i for own in lanes for i in own]
+    y = np.concatenate([texts[i] for i in flat])
+    owner = np.repeat(np.array(flat, np.int32), [len(texts[i]) for i in flat])
+    x = np.empty_like(y)
+    x[1:] = y[:-1]
+    new = np.ones(len(y), bool)
+    new[1:] = owner[1:] != owner[:-1]
+    x[new] = TOP + TAIL
     base = np.concatenate([[0], np.cumsum(size)[:-1]])
     h = np.zeros((len(lanes), HIDDEN), np.float32)
     states, places = [], []
@@ -255,7 +266,10 @@ def score_all(p: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
         while size[alive - 1] <= t:
             alive -= 1
         at = base[:alive] + t
-        h = np.where(new[at][:, None], np.float32(0), h[:alive])
+        h = h[:alive]
+        begins = new[at]
+        if begins.any():
+            h[begins] = 0
         h = step(p, x[at], h)[0]
         states.append(h)
         places.append(at)
