@@ -379,7 +379,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     learn = rows.filter(~F.col("held_out")).select("text")
     counts = stored(learn.mapInPandas(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]  # bounded
+    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()  # bounded
+    frequent = list(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
     all_tails = counts.groupBy(F.crc32(F.substring("word", -2, 2)).bitwiseAND(F.lit(TAIL - 1)).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     tails = {r.k: [r.n, r.v] for r in all_tails}
     for w, c in frequent[:TOP]:
