@@ -4,10 +4,13 @@ A text is the sequence of its five-word runs (k-mers), each labelled with its
 occurrence number, so that no labelled k-mer stands twice in a text. Each of
 ``sketches`` hash functions keeps the ``ell`` smallest labelled k-mers and
 hashes them in text order: texts agree on such a key if they share those
-k-mers in the same order. Texts with a common key are candidates. In each
+k-mers in the same order. Texts with a common key are candidates; a pair is aligned
+if it agrees on ``AGREE`` keys and its lengths allow the threshold. In each
 bucket of a key the text that shares most keys with others is compared with
 the others, and where a bucket still holds several classes, further texts are
-(more in each round) until its classes are settled or every text of it has been compared. A
+(more in each round) until its classes are settled or every text of it has been compared. From the
+second round on, k-mers that no other text of these buckets has are counted: a
+pair whose remaining k-mers cannot reach the threshold is no link. A
 candidate pair is a link if the best alignment of the two sequences within a
 band aligns at least ``threshold`` of their union:
 m / (n_a + n_b - m) >= threshold. Classes are the components of the links.
@@ -28,13 +31,16 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verilens.llm.common import stored, text_of
 from verilens.llm.components import components
 
 K, SKETCHES, ELL, THRESHOLD = 5, 32, 5, 0.8
+#: Keys on which a pair must agree to be aligned. At a similarity of 0.8 a key agrees with a chance of 0.8^5, so that
+#: a pair of 32 keys agrees on fewer than three with a chance of 0.0004; texts that share a passage seldom do.
+AGREE = 3
 #: Elements of the table of hashes made at once (32 MB).
 AT_ONCE = 4_000_000
 #: Words whose hashes a Python worker remembers.
@@ -42,6 +48,7 @@ REMEMBERED = 500_000
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_UPPER = np.uint64(0xFFFFFFFF00000000)
 
 
 class _WordHashes(dict):
@@ -87,9 +94,16 @@ def keys(h: np.ndarray) -> np.ndarray:
     step = max(1, AT_ONCE // max(1, len(h)))
     for a in range(0, SKETCHES, step):
         s = seeds[a:a + step]
-        table = ((h[None, :] ^ s[:, None]) * _MIX) >> np.uint64(32)
-        at = np.argpartition(table, ELL - 1, axis=1)[:, :ELL] if len(h) > ELL else np.broadcast_to(np.arange(len(h)), (len(s), len(h)))
-        picked = h[np.sort(at, axis=1)]
+        if len(h) > ELL:  # the upper half of a value is the hash, the lower half the place
+            table = h[None, :] ^ s[:, None]
+            table *= _MIX
+            table &= _UPPER
+            table |= np.arange(len(h), dtype=np.uint64)
+            table.partition(ELL - 1, axis=1)
+            at = np.sort(table[:, :ELL] & ~_UPPER, axis=1).astype(np.int64)
+        else:
+            at = np.broadcast_to(np.arange(len(h)), (len(s), len(h)))
+        picked = h[at]
         key = s.copy()
         for i in range(picked.shape[1]):
             key = _mix(key + picked[:, i] * _ODD)
@@ -127,15 +141,17 @@ def likeness(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> floa
 
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
-        nodes, sizes, found = [], [], []
+        nodes, sizes, found, marks = [], [], [], []
         for text in df["text"]:
             words = _WORD.findall(text.lower())
             raw = " ".join(words) if words else "\0" + text
             nodes.append(blake2b(raw.encode("utf-8", "surrogatepass"), digest_size=16).digest())
             h = kmers(words)
             sizes.append(len(h))
-            found.append(keys(h).view(np.int64) if len(h) else np.empty(0, np.int64))
-        yield pd.DataFrame({"id": df["id"], "place": df["place"], "node": nodes, "n": sizes, "keys": found})
+            own = keys(h) if len(h) else np.empty(0, np.uint64)
+            found.append(own.view(np.int64))
+            marks.append((own & np.uint64(0xFF)).astype(np.uint8).view(np.int64))
+        yield pd.DataFrame({"id": df["id"], "place": df["place"], "node": nodes, "n": sizes, "keys": found, "marks": marks})
 
 
 def _verified(threshold: float):
@@ -152,6 +168,20 @@ def _verified(threshold: float):
     return run
 
 
+def _kmer_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in batches:
+        found = [kmers(_WORD.findall(text.lower())).view(np.int64) for text in df["text"]]
+        if found:
+            yield pd.DataFrame({"kmer": np.concatenate(found), "owner": np.repeat(df["owner"].to_numpy(), [len(h) for h in found])})
+
+
+def _shared_kmers(texts: DataFrame) -> DataFrame:
+    """(node, lone): how many labelled k-mers of each text no other text has; nodes with none are left out."""
+    rows = texts.select(F.xxhash64("node").alias("owner"), "text").mapInPandas(_kmer_rows, "kmer bigint, owner bigint")
+    lone = rows.groupBy("kmer").agg(F.count("*").alias("texts"), F.min("owner").alias("owner")).filter("texts = 1").groupBy("owner").agg(F.count("*").alias("lone"))
+    return texts.select("node", F.xxhash64("node").alias("owner")).join(lone, "owner").select("node", "lone")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, place, class_id, first): a row per row of ``docs``.
 
@@ -160,7 +190,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("place", F.xxhash64("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    made = rows.select(F.col("id").cast("string").alias("id"), "place", "text").mapInPandas(_sketched, "id string, place bigint, node binary, n int, keys array<bigint>")
+    made = rows.select(F.col("id").cast("string").alias("id"), "place", "text").mapInPandas(_sketched, "id string, place bigint, node binary, n int, keys array<bigint>, marks array<bigint>")
     sketched = stored(made.withColumn("id", F.col("id").cast(id_type)), "sketches")
     rep = F.struct(F.col("id").isNull().alias("last"), "id", "place")
     links = stored(_links(rows, sketched, threshold), "links")
@@ -171,36 +201,52 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         "id", "place", F.col("head.id").alias("class_id"), rep.eqNullSafe(F.col("head")).alias("first"))
 
 
+def _agreeing(a: str, b: str) -> Column:
+    """How many of the keys of two texts have the same last byte: bytes of the difference that are zero."""
+    total = F.lit(SKETCHES)
+    for i in range(SKETCHES // 8):
+        d = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        for shift in (4, 2, 1):  # the lowest bit of a byte becomes 1 if any of its bits is
+            d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
+        total = total - F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
 def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
     """(a, b): verified pairs of different texts, enough of them to join each class."""
     where = F.struct("id", "place")
-    nodes = sketched.filter("n > 0").groupBy("node").agg(F.min_by("keys", "place").alias("keys"), F.max("n").alias("n"), F.min(where).alias("at"))
+    nodes = sketched.filter("n > 0").groupBy("node").agg(F.min_by("keys", "place").alias("keys"), F.min_by("marks", "place").alias("marks"), F.max("n").alias("n"), F.min(where).alias("at"))
     nodes = stored(nodes, "nodes")
-    held = nodes.select("node", "n", F.explode("keys").alias("key"))
+    held = nodes.select("node", "n", "marks", F.explode("keys").alias("key"))
     shared = held.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = held.join(shared, "key")
-    members = stored(members.join(members.groupBy("node").agg(F.sum("size").alias("central")), "node").select("key", "node", "n", F.struct("central", "node").alias("rank")), "members")
+    members = stored(members.join(members.groupBy("node").agg(F.sum("size").alias("central")), "node").select("key", "node", "n", "marks", F.struct("central", "node").alias("rank")), "members")
     needed = members.select("node").distinct().join(nodes.select("node", "at.*"), "node")
     at = needed.alias("q")
     texts = stored(rows.alias("r").join(at, F.col("r.id").eqNullSafe(F.col("q.id")) & (F.col("r.place") == F.col("q.place"))).select("node", "text").groupBy("node").agg(F.min("text").alias("text")), "texts")
 
     found = None
-    tested = used = comps = None
+    tested = used = comps = lone = None
     share = 1
     while True:
-        now = members if comps is None else members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if comps is None:
-            now = now.withColumn("comp", F.col("node"))
-        else:  # only buckets that still hold several classes, and texts that have not been compared with their whole bucket
+            now = members.withColumn("comp", F.col("node")).withColumn("usable", F.col("n"))
+        else:  # only buckets that still hold several classes
+            now = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             split = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
             now = now.join(split, "key")
+            if lone is None:
+                lone = stored(_shared_kmers(texts.join(now.select("node").distinct(), "node", "left_semi")), "lone")
+            # a text can only be linked if enough of its k-mers stand in other texts of these buckets
+            now = now.join(lone, "node", "left").withColumn("usable", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+            now = now.filter(F.col("usable") >= threshold * F.col("n"))
         fresh = now if used is None else now.join(used, ["key", "node"], "left_anti")
-        pivots = fresh.groupBy("key", F.pmod(F.xxhash64("node", F.lit(share)), F.lit(share)).alias("part")).agg(F.max(F.struct("rank", "n", "comp")).alias("p"))
-        pivots = stored(pivots.select("key", F.col("p.rank.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp")), "pivots")
+        pivots = fresh.groupBy("key", F.pmod(F.xxhash64("node", F.lit(share)), F.lit(share)).alias("part")).agg(F.max(F.struct("rank", "n", "comp", "marks", "usable")).alias("p"))
+        pivots = stored(pivots.select("key", F.col("p.rank.node").alias("pivot"), F.col("p.rank").alias("pivot_rank"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp"), F.col("p.marks").alias("pivot_marks"), F.col("p.usable").alias("pivot_usable")), "pivots")
         if comps is not None and pivots.isEmpty():
             return found
-        pairs = now.join(pivots, "key").filter((F.col("comp") != F.col("pivot_comp")) & (F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")))
-        # the text with the higher rank comes first in round 1, so that texts of one class meet around it
+        pairs = now.join(pivots, (now["key"] == pivots["key"]) & (F.col("comp") != F.col("pivot_comp")) & (F.col("rank") < F.col("pivot_rank")) & (F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")) & (_agreeing("marks", "pivot_marks") >= AGREE)
+                          & (F.least("usable", "pivot_usable") * (1 + threshold) >= threshold * (F.col("n") + F.col("pivot_n"))))
         pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -210,7 +256,7 @@ def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
         mine = pivots.select("key", F.col("pivot").alias("node"))
         used = mine if used is None else used.unionByName(mine)
         comps = components(found)
-        share *= 8
+        share *= 64
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
