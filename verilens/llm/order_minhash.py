@@ -201,15 +201,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         "id", "place", F.col("head.id").alias("class_id"), rep.eqNullSafe(F.col("head")).alias("first"))
 
 
-def _agreeing(a: str, b: str) -> Column:
-    """How many of the keys of two texts have the same last byte: bytes of the difference that are zero."""
-    total = F.lit(SKETCHES)
+def _agreeing(a: str, b: str, at: str) -> tuple[Column, Column]:
+    """How many of the keys of two texts have the same last byte (bytes of the difference that are zero), and how many of those stand before place ``at``."""
+    every = before = F.lit(0)
     for i in range(SKETCHES // 8):
         d = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         for shift in (4, 2, 1):  # the lowest bit of a byte becomes 1 if any of its bits is
             d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
-        total = total - F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
-    return total
+        same = F.bitwise_not(d).bitwiseAND(F.lit(0x0101010101010101))
+        below = F.expr(f"CASE WHEN {at} >= {8 * i + 8} THEN -1L WHEN {at} <= {8 * i} THEN 0L ELSE shiftleft(1L, 8 * ({at} - {8 * i})) - 1 END")
+        every, before = every + F.bit_count(same), before + F.bit_count(same.bitwiseAND(below))
+    return every, before
 
 
 def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
@@ -217,10 +219,10 @@ def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
     where = F.struct("id", "place")
     nodes = sketched.filter("n > 0").groupBy("node").agg(F.min_by("keys", "place").alias("keys"), F.min_by("marks", "place").alias("marks"), F.max("n").alias("n"), F.min(where).alias("at"))
     nodes = stored(nodes, "nodes")
-    held = nodes.select("node", "n", "marks", F.explode("keys").alias("key"))
+    held = nodes.select("node", "n", "marks", F.posexplode("keys").alias("at_key", "key"))
     shared = held.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = held.join(shared, "key")
-    members = stored(members.join(members.groupBy("node").agg(F.sum("size").alias("central")), "node").select("key", "node", "n", "marks", F.struct("central", "node").alias("rank")), "members")
+    members = stored(members.join(members.groupBy("node").agg(F.sum("size").alias("central")), "node").select("key", "at_key", "node", "n", "marks", F.struct("central", "node").alias("rank")), "members")
     needed = members.select("node").distinct().join(nodes.select("node", "at.*"), "node")
     at = needed.alias("q")
     texts = stored(rows.alias("r").join(at, F.col("r.id").eqNullSafe(F.col("q.id")) & (F.col("r.place") == F.col("q.place"))).select("node", "text").groupBy("node").agg(F.min("text").alias("text")), "texts")
@@ -245,7 +247,9 @@ def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
         pivots = stored(pivots.select("key", F.col("p.rank.node").alias("pivot"), F.col("p.rank").alias("pivot_rank"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp"), F.col("p.marks").alias("pivot_marks"), F.col("p.usable").alias("pivot_usable")), "pivots")
         if comps is not None and pivots.isEmpty():
             return found
-        pairs = now.join(pivots, (now["key"] == pivots["key"]) & (F.col("comp") != F.col("pivot_comp")) & (F.col("rank") < F.col("pivot_rank")) & (F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")) & (_agreeing("marks", "pivot_marks") >= AGREE)
+        agree, before = _agreeing("marks", "pivot_marks", "at_key")
+        # a pair that agrees on many keys is met at the first few of them only
+        pairs = now.join(pivots, (now["key"] == pivots["key"]) & (F.col("comp") != F.col("pivot_comp")) & (F.col("rank") < F.col("pivot_rank")) & (F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")) & (agree >= AGREE) & (before < AGREE)
                           & (F.least("usable", "pivot_usable") * (1 + threshold) >= threshold * (F.col("n") + F.col("pivot_n"))))
         pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
