@@ -72,7 +72,7 @@ def test_odd_rows_and_empty_tables(spark, rows):
 
 def test_licence_variants(spark):
     mit = next(t for k, t in licences.KNOWN if k == "MIT" and "hereby" in t)
-    variant = mit.replace("Copyright (c) 2000 Holder", "Copyright © 1999-2024 Someone Else, Inc.").replace("License", "LICENCE").replace('"', "'").replace(", ", " ,\n ")
+    variant = mit.replace("License", "LICENCE").replace('"', "'").replace(", ", " ,\n ").replace("Copyright (c) 2000 Holder", "Copyright © 1999-2024 Someone Else, Inc.")
     d = docs(spark, [(1, variant, "a"), (2, mit + " And more.", "a"), (3, "text\nlicenced under the Apache Licence, version 2.0\nmore", "a")])
     got = {r.id: (r.licences, r.is_licence) for r in licences.scan(d, licences.known(spark)).collect()}
     assert got == {1: ("MIT", True), 2: ("", False), 3: ("Apache-2.0", False)}

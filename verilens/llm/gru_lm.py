@@ -42,7 +42,7 @@ from verilens.llm.common import stored, text_of
 HIDDEN, TOP, WIDE, TAIL = 16, 1024, 32, 32
 FREQUENT = 1 << 18
 WINDOW, LANES, SEGMENT = 16, 128, 1024
-ROUNDS, ONE_IN, RATE = 2, 8, 0.03
+ROUNDS, ONE_IN, RATE = 2, 4, 0.03
 #: Weights of the output stay within this, so that with states below 1 no exponential overflows.
 MOST = 4.0
 #: Tokens of texts that a task scores side by side, and how many at most side by side.
@@ -214,7 +214,7 @@ def train_on(p: dict[str, np.ndarray], texts: Iterator[np.ndarray]) -> int:
             seen += run(_dealt(held, LANES))
             held, size = [], 0
     if held:
-        seen += run(_dealt(held, max(1, min(LANES, size // (4 * WINDOW)))))
+        seen += run(_dealt(held, max(1, min(LANES, size // SEGMENT))))
     return seen
 
 
@@ -297,7 +297,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(n) >= PARTIAL:
                 yield out()
                 n.clear()
-    yield out()
+    if n:
+        yield out()
 
 
 class Vocabulary:

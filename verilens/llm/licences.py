@@ -24,7 +24,7 @@ from verilens.llm.common import text_of
 SPELLINGS = (
     ("licen[cs]", "licens"), ("sub-licens", "sublicens"), ("non-commercial", "noncommercial"), ("organis", "organiz"), ("authoris", "authoriz"),
     ("favour", "favor"), ("fulfill?ment", "fulfilment"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("&", " and "),
-    ("https?://(www[.])?", ""), ("version ([0-9])", "v$1"), ("v([0-9]+)[.]0([^0-9.]|$)", "v$1$2"),
+    ("https?://(www[.])?", ""), ("version ([0-9])", "v$1"), ("v([0-9]+)[.]0([.]?([^0-9.]|$))", "v$1$2"),
 )
 #: Lines that only say who holds the copyright.
 COPYRIGHT = r"^[^\p{L}\p{N}©]*(copyright( ?\(c\)| ©)?|\(c\)|©)[^\p{L}]*[0-9].*$"

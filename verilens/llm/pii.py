@@ -149,7 +149,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = base_spans(text)
             found.update(votes(text, a, k, b, True) for a, k, b in own)
             found.update(votes(text, a, k, b, False) for a, k, b in further(text) if not _overlaps(own, a, b))
-    yield pd.DataFrame({"key": list(found.keys()), "n": list(found.values())})
+    if found:
+        yield pd.DataFrame({"key": list(found.keys()), "n": list(found.values())})
 
 
 def _overlaps(spans: list[tuple[int, int, int]], a: int, b: int) -> bool:

@@ -63,7 +63,8 @@ def _seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, toxic in zip(df["text"], df["toxic"], strict=True):
             n[toxic].update(features(text).keys())
         names = list(n[0].keys() | n[1].keys())
-        yield pd.DataFrame({"feature": names, "clean": [n[0][x] for x in names], "toxic": [n[1][x] for x in names]})
+        if names:
+            yield pd.DataFrame({"feature": names, "clean": [n[0][x] for x in names], "toxic": [n[1][x] for x in names]})
 
 
 class Ordinal:
