@@ -141,17 +141,15 @@ def likeness(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> floa
 
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
-        nodes, sizes, found, marks = [], [], [], []
+        nodes, sizes, found = [], [], []
         for text in df["text"]:
             words = _WORD.findall(text.lower())
             raw = " ".join(words) if words else "\0" + text
             nodes.append(blake2b(raw.encode("utf-8", "surrogatepass"), digest_size=16).digest())
             h = kmers(words)
             sizes.append(len(h))
-            own = keys(h) if len(h) else np.empty(0, np.uint64)
-            found.append(own.view(np.int64))
-            marks.append((own & np.uint64(0xFF)).astype(np.uint8).view(np.int64))
-        yield pd.DataFrame({"id": df["id"], "place": df["place"], "node": nodes, "n": sizes, "keys": found, "marks": marks})
+            found.append(keys(h).view(np.int64) if len(h) else np.empty(0, np.int64))
+        yield pd.DataFrame({"id": df["id"], "place": df["place"], "node": nodes, "n": sizes, "keys": found})
 
 
 def _verified(threshold: float):
@@ -190,7 +188,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("place", F.xxhash64("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    made = rows.select(F.col("id").cast("string").alias("id"), "place", "text").mapInPandas(_sketched, "id string, place bigint, node binary, n int, keys array<bigint>, marks array<bigint>")
+    made = rows.select(F.col("id").cast("string").alias("id"), "place", "text").mapInPandas(_sketched, "id string, place bigint, node binary, n int, keys array<bigint>")
     sketched = stored(made.withColumn("id", F.col("id").cast(id_type)), "sketches")
     rep = F.struct(F.col("id").isNull().alias("last"), "id", "place")
     links = stored(_links(rows, sketched, threshold), "links")
@@ -202,24 +200,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
 
 
 def _agreeing(a: str, b: str, at: str) -> tuple[Column, Column]:
-    """How many of the keys of two texts have the same last byte (bytes of the difference that are zero), and how many of those stand before place ``at``."""
-    every = before = F.lit(0)
-    for i in range(SKETCHES // 8):
-        d = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        for shift in (4, 2, 1):  # the lowest bit of a byte becomes 1 if any of its bits is
-            d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
-        same = F.bitwise_not(d).bitwiseAND(F.lit(0x0101010101010101))
-        below = F.expr(f"CASE WHEN {at} >= {8 * i + 8} THEN -1L WHEN {at} <= {8 * i} THEN 0L ELSE shiftleft(1L, 8 * ({at} - {8 * i})) - 1 END")
-        every, before = every + F.bit_count(same), before + F.bit_count(same.bitwiseAND(below))
-    return every, before
+    """On how many keys two texts agree, and on how many of those before place ``at``."""
+    same = [(F.col(a)[i] == F.col(b)[i]).cast("int") for i in range(SKETCHES)]
+    return sum(same[1:], same[0]), sum((F.when(F.col(at) > i, x).otherwise(0) for i, x in enumerate(same)), F.lit(0))
 
 
 def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
     """(a, b): verified pairs of different texts, enough of them to join each class."""
     where = F.struct("id", "place")
-    nodes = sketched.filter("n > 0").groupBy("node").agg(F.min_by("keys", "place").alias("keys"), F.min_by("marks", "place").alias("marks"), F.max("n").alias("n"), F.min(where).alias("at"))
+    nodes = sketched.filter("n > 0").groupBy("node").agg(F.min_by("keys", "place").alias("keys"), F.max("n").alias("n"), F.min(where).alias("at"))
     nodes = stored(nodes, "nodes")
-    held = nodes.select("node", "n", "marks", F.posexplode("keys").alias("at_key", "key"))
+    held = nodes.select("node", "n", F.col("keys").alias("marks"), F.posexplode("keys").alias("at_key", "key"))
     shared = held.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = held.join(shared, "key")
     members = stored(members.join(members.groupBy("node").agg(F.sum("size").alias("central")), "node").select("key", "at_key", "node", "n", "marks", F.struct("central", "node").alias("rank")), "members")
@@ -248,8 +239,8 @@ def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
         if comps is not None and pivots.isEmpty():
             return found
         agree, before = _agreeing("marks", "pivot_marks", "at_key")
-        # a pair that agrees on many keys is met at the first few of them only
-        pairs = now.join(pivots, (now["key"] == pivots["key"]) & (F.col("comp") != F.col("pivot_comp")) & (F.col("rank") < F.col("pivot_rank")) & (F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")) & (agree >= AGREE) & (before < AGREE)
+        # a pair is met once, at the first key it agrees on
+        pairs = now.join(pivots, (now["key"] == pivots["key"]) & (F.col("comp") != F.col("pivot_comp")) & (F.col("rank") < F.col("pivot_rank")) & (F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")) & (agree >= AGREE) & (before == 0)
                           & (F.least("usable", "pivot_usable") * (1 + threshold) >= threshold * (F.col("n") + F.col("pivot_n"))))
         pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
