@@ -140,7 +140,7 @@ def entity_match(a: Column, e: Column) -> Column:
 def phonetic_key(text: Column) -> Column:
     """Coarse sound key of a normalised text: fold spellings in order, drop doubles, keep a-z."""
     out = text
-    for src, dst in zip(fixed.FOLDINGS[0::2], fixed.FOLDINGS[1::2]):
+    for src, dst in fixed.FOLDINGS:
         out = F.replace(out, F.lit(src), F.lit(dst))
     return F.regexp_replace(F.regexp_replace(out, r"(.)\1+", "$1"), "[^a-z]", "")
 

@@ -385,7 +385,7 @@ def cue_calibration(spark, sf):
     c = cues(spark, sf).groupBy("cue", "genuine", "attack", "x").agg(F.count(F.lit(1)).alias("w")).transform(hold)
     rows = cues(spark, sf)
     q = exact_quantiles(rows.filter("genuine"), ["cue"], "x", {"median": 0.5, "p95": 0.95, "p99": 0.99})
-    kinds = F.array(*[F.lit(k).cast("long") for k in range(1, 6)])
+    kinds = F.array(*[F.lit(k).cast("long") for k in range(1, 8)])
     kind = F.when(F.col("genuine"), kinds).otherwise(F.array("attack"))
     t = rows.select("cue", F.explode(kind).alias("kind"), (~F.col("genuine")).alias("is_genuine"), F.col("x").alias("score"))
     m = C.metrics(t, ["cue", "kind"]).select("cue", "kind", "auc")
@@ -404,14 +404,14 @@ def cue_fit(spark, sf):
 
 
 @query("attack_vs_owner", "attack:l n_gen:l n_imp:l eer:d auc:d frr_at_5:d frr_at_1:d", f"""WITH {Q.ATT}, {Q.TS}, o AS (SELECT s_voice FROM ts WHERE is_genuine),
- v AS (SELECT attack, false AS is_genuine, s_voice AS score FROM att UNION ALL SELECT k, true, s_voice FROM o, range(1, 6) r(k)), {Q.curve('v', 'attack')}, {Q.metrics('attack')},
+ v AS (SELECT attack, false AS is_genuine, s_voice AS score FROM att UNION ALL SELECT k, true, s_voice FROM o, range(1, 8) r(k)), {Q.curve('v', 'attack')}, {Q.metrics('attack')},
  d AS (SELECT attack, score, row_number() OVER (PARTITION BY attack ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY attack) AS n FROM v WHERE NOT is_genuine),
  th AS (SELECT attack, max(score) FILTER (r = least(floor(0.05::DOUBLE * n), n - 1) + 1) AS t5, max(score) FILTER (r = least(floor(0.01::DOUBLE * n), n - 1) + 1) AS t1 FROM d GROUP BY ALL),
  fr AS (SELECT attack, avg((s_voice <= t5)::INT) AS frr_at_5, avg((s_voice <= t1)::INT) AS frr_at_1 FROM th CROSS JOIN o GROUP BY ALL)
  SELECT *, eer_nearest AS eer FROM (SELECT * EXCLUDE (eer) FROM mt) JOIN fr USING (attack)""")
 def attack_vs_owner(spark, sf):
     """Attacks taken as the strangers: what blocking them costs the owner. Both sides enter as histograms."""
-    own = views.trial_scores(spark, sf).filter("is_genuine").select(F.explode(F.array(*[F.lit(k).cast("long") for k in range(1, 6)])).alias("attack"), F.lit(True).alias("is_genuine"), F.col("s_voice").alias("score"))
+    own = views.trial_scores(spark, sf).filter("is_genuine").select(F.explode(F.array(*[F.lit(k).cast("long") for k in range(1, 8)])).alias("attack"), F.lit(True).alias("is_genuine"), F.col("s_voice").alias("score"))
     att = views.attack_trials(spark, sf).select("attack", F.lit(False).alias("is_genuine"), F.col("s_voice").alias("score"))
     pts = C.curve(own.unionByName(att), ["attack"]).transform(hold)
     m = C.curve_metrics(pts, ["attack"], far_targets={"t5": 0.05, "t1": 0.01})

@@ -31,10 +31,10 @@ def script_of(spark, sf):
 
 
 @query("suffix_split", "token n:l stem suffix", f"""WITH {_W}, s AS (SELECT *, regexp_extract(token, '^(.+)-([^-]*)$', 1) AS st, regexp_extract(token, '^(.+)-([^-]*)$', 2) AS tl FROM w)
- SELECT token, n, CASE WHEN st <> '' AND lower(tl) IN {_LIST(fixed.SUFFIXES)} THEN st ELSE token END AS stem, CASE WHEN st <> '' AND lower(tl) IN {_LIST(fixed.SUFFIXES)} THEN tl END AS suffix FROM s WHERE token LIKE '%e%'""".replace("token LIKE '%e%'", "length(token) > 3"))
+ SELECT token, n, CASE WHEN st <> '' AND lower(tl) IN {_LIST(fixed.SUFFIXES)} THEN st ELSE token END AS stem, CASE WHEN st <> '' AND lower(tl) IN {_LIST(fixed.SUFFIXES)} THEN tl END AS suffix FROM s""")
 def suffix_split(spark, sf):
     stem, suffix = X.split_suffix(F.col("token"))
-    return words_of(spark, sf).filter("length(token) > 3").select("token", "n", stem.alias("stem"), suffix.alias("suffix"))
+    return words_of(spark, sf).select("token", "n", stem.alias("stem"), suffix.alias("suffix"))
 
 
 @query("rule_labels", "token n:l lang conf:d reason", f"""WITH {_W}, t AS (SELECT *, regexp_replace(lower(token), '^[.,!?;:''"]+|[.,!?;:''"]+$', '', 'g') AS low FROM w),
@@ -142,7 +142,7 @@ def answers(spark, sf):
 
 
 def _fold(e):
-    for s, d in zip(fixed.FOLDINGS[0::2], fixed.FOLDINGS[1::2]):
+    for s, d in fixed.FOLDINGS:
         e = f"replace({e}, '{s}', '{d}')"
     # DuckDB's regex has no back references: doubles are dropped letter by letter.
     return f"array_to_string(list_filter(string_split({e}, ''), lambda x, i: i = 1 OR x <> string_split({e}, '')[i - 1]), '')"

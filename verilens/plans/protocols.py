@@ -20,6 +20,8 @@ from verilens.sources.tables import small_side
 from verilens.sources.held import hold
 
 NORM = (8, 9)
+#: A budget that no table can reach: everything.
+ALL = 9223372036854775807
 _U = Q.unit
 
 VEC_MS = Q.VEC.replace("uv AS (", "uv0 AS (").replace("dims AS", f"""mu AS (SELECT list(x ORDER BY d) AS mu FROM (SELECT d, avg(x) AS x FROM
@@ -217,7 +219,7 @@ def length_artefact(spark, sf):
     return C.metrics(trials(spark, sf).withColumn("kind", F.explode(tags)), ["kind"]).withColumn("eer", F.col("eer_nearest"))
 
 
-@query("budget_curve", "budget:l eer:d genuine_mean:d", f"""WITH {Q.VEC}, f AS (SELECT DISTINCT speaker, session AS fold FROM uv), b AS (SELECT unnest([1, 2, 5, 10, 1000000]) AS budget),
+@query("budget_curve", "budget:l eer:d genuine_mean:d", f"""WITH {Q.VEC}, f AS (SELECT DISTINCT speaker, session AS fold FROM uv), b AS (SELECT unnest([1, 2, 5, 10, 9223372036854775807]) AS budget),
  en AS (SELECT f.speaker, fold, vec_id, row_number() OVER (PARTITION BY f.speaker, fold ORDER BY vec_id) AS r FROM f JOIN uv ON uv.speaker = f.speaker AND session <> fold),
  bt AS (SELECT budget, claimed, fold, {_U('c')} AS c FROM (SELECT budget, claimed, fold, list(x ORDER BY d) AS c FROM (SELECT budget, en.speaker AS claimed, fold, d, avg(x) AS x FROM en JOIN dims USING (vec_id) JOIN b ON r <= budget GROUP BY ALL) GROUP BY ALL)),
  bs AS (SELECT budget, speaker = claimed AS is_genuine, list_dot_product(v, c) AS score FROM uv JOIN bt ON speaker <> claimed OR session = fold), {Q.curve('bs', 'budget')}, {Q.metrics('budget')}
@@ -228,7 +230,7 @@ def budget_curve(spark, sf):
     folds = small_side(u.select(F.col("speaker").alias("claimed"), F.col("session").alias("fold")).distinct())
     en = u.join(folds, (F.col("speaker") == F.col("claimed")) & (F.col("session") != F.col("fold"))).withColumn("_b", F.floor(F.col("vec_id") / 4096))
     r = rank_within(en, ["claimed", "fold"], "_b", ["vec_id"], "rn")
-    budgets = F.array(*[F.lit(b).cast("long") for b in (1, 2, 5, 10, 1_000_000)])
+    budgets = F.array(*[F.lit(b).cast("long") for b in (1, 2, 5, 10, ALL)])
     r = r.withColumn("budget", F.explode(budgets)).filter("rn <= budget")
     t = V.centroids(r, ["budget", "claimed", "fold"]).select("budget", "claimed", "fold", "c")
     sized = folds.select("claimed", "fold").withColumn("b", F.explode(budgets))
@@ -240,7 +242,7 @@ def budget_curve(spark, sf):
 
 
 _STAB = f"""{Q.CHOICE}, {Q.CLS}, un AS (SELECT utt, row_number() OVER (PARTITION BY speaker ORDER BY utt) AS r FROM utt WHERE session < 3),
- bud AS (SELECT unnest([3, 6, 1000000]) AS budget), en AS (SELECT ch.* REPLACE (budget || '/' || speaker AS speaker) FROM ch JOIN un USING (utt) JOIN bud ON r <= budget), pr AS (SELECT * FROM ch WHERE session = 3),
+ bud AS (SELECT unnest([3, 6, 9223372036854775807]) AS budget), en AS (SELECT ch.* REPLACE (budget || '/' || speaker AS speaker) FROM ch JOIN un USING (utt) JOIN bud ON r <= budget), pr AS (SELECT * FROM ch WHERE session = 3),
  {Q.cells('en', 'speaker', 'ecl')}, {Q.dense('ecl', 'speaker', 'edn')}, {Q.smooth('edn', 'speaker', 'eg')},
  edb AS (SELECT *, split_part(speaker, '/', 1) AS budget FROM edn), {Q.loo('edb', 'speaker', 'eloo', 'budget')}, {Q.smooth('eloo', 'speaker', 'ebg')}, {Q.ratios('eg', 'ebg', 'speaker', 'mo')}, {Q.cells('pr', 'utt, speaker', 'pcl')},
  {Q.mixing('en', "(SELECT DISTINCT speaker FROM en)", 'speaker', 'emx')}, {Q.mixing('pr', '(SELECT utt FROM utt WHERE session = 3)', 'utt', 'pmx')}, {Q.streams()}, {Q.mixed()},
@@ -253,7 +255,7 @@ def stability_curve(spark, sf):
     enrol, probe = enrol_probe(spark, sf)
     u = enrol.select("utt", "speaker").distinct().withColumn("_b", F.floor(F.col("utt") / 4096))
     n = rank_within(u, ["speaker"], "_b", ["utt"], "rn").select("utt", "rn")
-    budgets = F.array(*[F.lit(b).cast("long") for b in (3, 6, 1_000_000)])
+    budgets = F.array(*[F.lit(b).cast("long") for b in (3, 6, ALL)])
     e = enrol.join(n, "utt").withColumn("budget", F.explode(budgets)).filter("rn <= budget").drop("rn").transform(hold)
     s = L.streams(probe, e, L.models(e, ["budget", "speaker"]), ["budget"])
     t = L.with_score(L.mix_streams(s))

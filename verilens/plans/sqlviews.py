@@ -54,7 +54,7 @@ ATT = """att AS (SELECT l_orderkey AS item, l_linenumber::BIGINT AS attack, l_su
   CASE WHEN l_orderkey % 7 <> 0 THEN l_tax / 0.08::DOUBLE END AS s_graph, l_quantity / 50 AS s_know,
   l_discount >= 0.02::DOUBLE AS admissible, l_orderkey % 5 = 0 AS simulated, l_returnflag <> 'R' AS liveness_ok,
   CASE WHEN l_partkey % 4 <> 0 THEN (l_partkey % 100) / 100.0::DOUBLE END AS integrity,
-  l_linestatus AS status, l_returnflag AS flag, l_shipdate AS at FROM lineitem WHERE l_linenumber <= 5)"""
+  l_linestatus AS status, l_returnflag AS flag, l_shipdate AS at FROM lineitem)"""
 
 
 def curve(trials: str, groups: str, name: str = "cv") -> str:

@@ -71,7 +71,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def attack_trials(spark: SparkSession, sf: str) -> DataFrame:
     """One attack attempt per line item: three branch scores, one of them missing now and then."""
-    li = table(spark, sf, "lineitem").filter("l_linenumber <= 5")
+    li = table(spark, sf, "lineitem")
     return spread(li, "l_orderkey", "l_linenumber").select(
         F.col("l_orderkey").alias("item"), F.col("l_linenumber").cast("long").alias("attack"), F.col("l_suppkey").alias("speaker"),
         (F.col("l_discount") * 10).alias("s_voice"), F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax") / 0.08).alias("s_graph"),
