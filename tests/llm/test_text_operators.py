@@ -304,3 +304,18 @@ def test_pipeline_stages_do_their_work(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, d, SF).columns == d.columns, name
+
+
+def test_rows_of_one_id_with_different_texts_all_stay(spark):
+    d = docs(spark, [(None, "first text without an id", "a"), (None, "quite another one here", "a"), (7, "a third text of its own", "a"), (7, "and a fourth with that id", "a"), (7, "and a fourth with that id", "b")])
+    clash = d.withColumnRenamed("key", "place")
+    got = order_minhash.keep_one(clash)
+    assert got.columns == clash.columns and sorted(r.text for r in got.collect()) == sorted({r.text for r in d.collect()})
+
+
+def test_taken_stretches_against_all_spans():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        spans = sorted((int(a), 0, int(a + n)) for a, n in zip(rng.integers(0, 60, 6), rng.integers(1, 9, 6), strict=True))
+        a, n = map(int, (rng.integers(0, 60), rng.integers(1, 9)))
+        assert pii._overlaps(pii._merged(spans), a, a + n) == any(s < a + n and a < e for s, _, e in spans)

@@ -48,3 +48,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def own_names(df: DataFrame, *needed: str) -> DataFrame:
     """Only the columns an operator reads, so that further columns, whatever their names, cannot clash with its own."""
     return df.select(*needed)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verilens.llm.common import stored, text_of
+from verilens.llm.common import free_name, stored, text_of
 from verilens.llm.components import components
 
 K, SKETCHES, ELL, THRESHOLD = 5, 32, 5, 0.8
@@ -257,6 +257,7 @@ def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, the one with the smallest id; rows equal in id and text are reduced to one."""
     firsts = classes(docs, threshold, id_col, text_col).filter("first").select(F.col("id").alias("first_id"), F.col("place").alias("first_place")).distinct()
-    d = docs.alias("d")
-    kept = d.join(firsts.alias("f"), F.col(f"d.{id_col}").eqNullSafe(F.col("f.first_id")) & (F.xxhash64(text_of(f"d.{text_col}")) == F.col("f.first_place")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    place = free_name(docs, "place")
+    d = docs.withColumn(place, F.xxhash64(text_of(text_col))).alias("d")
+    kept = d.join(firsts.alias("f"), F.col(f"d.{id_col}").eqNullSafe(F.col("f.first_id")) & (F.col(f"d.{place}") == F.col("f.first_place")), "left_semi")
+    return kept.dropDuplicates([id_col, place]).drop(place)

@@ -20,6 +20,7 @@ gives an empty table.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
@@ -148,13 +149,28 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in df["text"]:
             own = base_spans(text)
             found.update(votes(text, a, k, b, True) for a, k, b in own)
-            found.update(votes(text, a, k, b, False) for a, k, b in further(text) if not _overlaps(own, a, b))
+            taken = _merged(own)
+            found.update(votes(text, a, k, b, False) for a, k, b in further(text) if not _overlaps(taken, a, b))
     if found:
         yield pd.DataFrame({"key": list(found.keys()), "n": list(found.values())})
 
 
-def _overlaps(spans: list[tuple[int, int, int]], a: int, b: int) -> bool:
-    return any(s < b and a < e for s, _, e in spans)
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that sorted spans cover."""
+    starts, ends = [], []
+    for a, _, b in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _overlaps(taken: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    """Whether one of the stretches (in order, apart from each other) meets a:b."""
+    i = bisect_left(taken[0], b) - 1
+    return i >= 0 and taken[1][i] > a
 
 
 def estimate(counts: dict[str, int], steps: int = 50) -> tuple[dict[str, float], dict[tuple[int, str], tuple[float, float]]]:
@@ -233,10 +249,11 @@ def find(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text_
         out = []
         for t in text:
             base = base_spans(t)
-            every = list(base)
-            for a, k, b in further(t):
-                if not _overlaps(every, a, b) and model.get(votes(t, a, k, b, False), 0.0) >= LIMIT:
+            every, taken, reached = list(base), _merged(base), 0
+            for a, k, b in further(t):  # in order, so that those added end where the last one does
+                if a >= reached and not _overlaps(taken, a, b) and model.get(votes(t, a, k, b, False), 0.0) >= LIMIT:
                     every.append((a, k, b))
+                    reached = b
             n = Counter(k for _, k, _ in base)
             said = _text(base)
             out.append((n[0], n[1], n[2], n[3], sha256(said.encode()).hexdigest() if base else none, _text(sorted(every)), len(every) - len(base)))
