@@ -23,6 +23,7 @@ an empty table.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ MAX_FEATURES = 4_096
 #: A feature is used if so many different texts of the sample have it.
 LEAST_TEXTS = 4
 GRADES = 3
+#: Words whose features a task remembers.
+REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 _CUTS = (3, 4, 5, 6, 7)
 
@@ -156,22 +159,25 @@ def scored(docs: DataFrame, model: Ordinal, limit: float = 0.5, text_col: str =
     weights = dict(zip(model.names, model.weights.tolist(), strict=True))
     cuts = model.cuts
 
+    known: dict[str, list[str]] = {}
+
+    def used(word: str) -> list[str]:
+        """The features of a word that the model has."""
+        if word not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[word] = [x for x in ("=" + word, *(word[:k] for k in _CUTS if len(word) >= k)) if x in weights]
+        return known[word]
+
     @F.pandas_udf("struct<severity: double, chance: double, is_toxic: boolean>")
     def score(text: pd.Series) -> pd.DataFrame:
         sums = np.zeros(len(text))
         for i, x in enumerate(text):
-            total, get = 0.0, weights.get
-            for word, n in Counter(_WORD.findall(x.lower())).items():
-                w = get("=" + word)
-                if w is not None:
-                    total += w * np.log1p(n)
-            # beginnings are counted over all words that share them
-            starts: Counter = Counter()
+            counts: dict[str, int] = {}
             for word, n in Counter(_WORD.findall(x.lower())).items():
-                for k in _CUTS:
-                    if len(word) >= k and word[:k] in weights:
-                        starts[word[:k]] += n
-            sums[i] = total + sum(weights[s] * np.log1p(n) for s, n in starts.items())
+                for feature in used(word):
+                    counts[feature] = counts.get(feature, 0) + n
+            sums[i] = math.fsum(weights[feature] * math.log1p(n) for feature, n in counts.items())
         chances = Ordinal([], np.empty(0), cuts).chances(sums)
         return pd.DataFrame({"severity": chances.sum(1), "chance": chances[:, 0], "is_toxic": chances[:, 0] >= limit})
 
