@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verilens.llm.common import text_of
+from verilens.llm.common import stored, text_of
 
 #: Labelled documents in the fit at most (on average; the hash decides).
 MAX_FIT = 40_000
@@ -42,6 +42,8 @@ MAX_FEATURES = 4_096
 #: A feature is used if so many different texts of the sample have it.
 LEAST_TEXTS = 4
 GRADES = 3
+#: Texts of the sample that a step of the fit takes at once.
+BLOCK = 2_000
 #: Words whose features a task remembers.
 REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -81,32 +83,36 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -50, 50)))
 
     @classmethod
-    def fit(cls, names: list[str], row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, steps: int = 400, ridge: float = 1e-4) -> Ordinal:
-        """Maximum penalised likelihood by Adam over the whole (sparse) sample.
+    def fit(cls, names: list[str], sizes: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, steps: int = 400, ridge: float = 1e-4) -> Ordinal:
+        """Maximum penalised likelihood by Adam over the whole (sparse) sample: ``sizes`` features a text, text after text.
 
         The likelihood of grade g is P(>= g) - P(>= g + 1). Thresholds stay in order as a first value and logs of gaps.
+        A step walks through the sample in blocks of texts, so that only one block's terms are held at a time.
         """
-        n, top = len(grade), max(1, int(grade.max(initial=0)))
+        n, top, f = len(grade), max(1, int(grade.max(initial=0))), len(names)
         base = np.clip(np.array([(grade >= k).mean() for k in range(1, top + 1)]), 1e-6, 1 - 1e-6)
         first = -np.log(base / (1 - base))
         gaps = np.maximum(np.diff(first), 1e-2)
-        p = np.concatenate([np.zeros(len(names)), first[:1], np.log(gaps)])
-        m, v, f = np.zeros_like(p), np.zeros_like(p), len(names)
+        p = np.concatenate([np.zeros(f), first[:1], np.log(gaps)])
+        m, v = np.zeros_like(p), np.zeros_like(p)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
         for step in range(1, steps + 1):
             t = np.cumsum(np.concatenate([p[f:f + 1], np.exp(p[f + 1:])]))
-            score = np.bincount(row, value * p[column], n)
-            c = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(t[None, :] - score[:, None], -50, 50))), np.zeros((n, 1))], 1)
-            upper, lower = c[np.arange(n), grade], c[np.arange(n), grade + 1]
-            chance = np.maximum(upper - lower, 1e-12)
-            du, dl = upper * (1 - upper) / chance, lower * (1 - lower) / chance  # d log chance / d (score - t)
-            d_score = -(du - dl) / n
-            d_t = np.zeros(top + 2)
-            np.add.at(d_t, grade, du / n)
-            np.add.at(d_t, grade + 1, -dl / n)
-            d_t = d_t[1:top + 1]
-            tail = np.cumsum(d_t[::-1])[::-1]
-            g = np.concatenate([np.bincount(column, value * d_score[row], f) + ridge * p[:f], tail[:1], tail[1:] * np.exp(p[f + 1:])])
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            d_w, d_t = np.zeros(f), np.zeros(top + 2)
+            for a in range(0, n, BLOCK):
+                b = min(n, a + BLOCK)
+                x, k, g = value[ends[a]:ends[b]].astype(float), column[ends[a]:ends[b]], grade[a:b]
+                row, at = np.repeat(np.arange(b - a), sizes[a:b]), np.arange(b - a)
+                score = np.bincount(row, x * p[k], b - a)
+                c = np.concatenate([np.ones((b - a, 1)), 1 / (1 + np.exp(np.clip(t[None, :] - score[:, None], -50, 50))), np.zeros((b - a, 1))], 1)
+                upper, lower = c[at, g], c[at, g + 1]
+                chance = np.maximum(upper - lower, 1e-12)
+                du, dl = upper * (1 - upper) / chance / n, lower * (1 - lower) / chance / n  # d log chance / d (score - t)
+                d_w += np.bincount(k, x * (dl - du)[row], f)
+                d_t += np.bincount(g, du, top + 2) - np.bincount(g + 1, dl, top + 2)
+            tail = np.cumsum(d_t[top:0:-1])[::-1]
+            step_g = np.concatenate([d_w + ridge * p[:f], tail[:1], tail[1:] * np.exp(p[f + 1:])])
+            m, v = 0.9 * m + 0.1 * step_g, 0.999 * v + 0.001 * step_g * step_g
             p = p - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return cls(names, p[:f], np.cumsum(np.concatenate([p[f:f + 1], np.exp(p[f + 1:])])))
 
@@ -121,7 +127,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     n = known.count()
     within = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, MAX_FIT / max(1, n)))
     text = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).filter(within)
-    sample = text.join(known.filter(within), "id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    few = known.filter(within)  # about MAX_FIT rows, whatever the number of labels
+    sample = stored(text.join(F.broadcast(few), "id").groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
     seen = sample.mapInPandas(_seen, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     both = sample.groupBy().agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).first()
     if not both.n or not both.a or both.a == both.n:
@@ -141,17 +148,18 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
             for text in df["text"]:
                 found = features(text)
                 own = [(place[x], c) for x, c in found.items() if x in place]
-                columns.append([i for i, _ in own])
-                values.append([float(np.log1p(c)) for _, c in own])
+                columns.append(np.array([i for i, _ in own], "<i4").tobytes())
+                values.append(np.log1p([c for _, c in own]).astype("<f4").tobytes())
                 hits.append(sum(c for w, c in Counter(_WORD.findall(text.lower())).items() if any(w[:k] in signs for k in _CUTS)))
             yield pd.DataFrame({"toxic": df["toxic"], "hits": hits, "columns": columns, "values": values})
 
-    rows = sample.mapInPandas(sparse, "toxic int, hits long, columns array<int>, values array<float>").toPandas()  # at most about MAX_FIT rows
-    sizes = rows["columns"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(rows)), sizes)
-    column = np.concatenate(rows["columns"].to_list() or [np.empty(0, int)]).astype(int)
-    value = np.concatenate(rows["values"].to_list() or [np.empty(0)]).astype(float)
-    return Ordinal.fit(names, row, column, value, graded(rows["toxic"].to_numpy(), rows["hits"].to_numpy()))
+    rows = sample.mapInPandas(sparse, "toxic int, hits long, columns binary, values binary").toArrow()  # at most about MAX_FIT rows
+    columns = rows["columns"].to_pylist()
+    sizes = np.array([len(x) // 4 for x in columns])
+    column, value = np.frombuffer(b"".join(columns), "<i4"), np.frombuffer(b"".join(rows["values"].to_pylist()), "<f4")
+    grade = graded(rows["toxic"].to_numpy(), rows["hits"].to_numpy())
+    del rows, columns
+    return Ordinal.fit(names, sizes, column, value, grade)
 
 
 def scored(docs: DataFrame, model: Ordinal, limit: float = 0.5, text_col: str = "text") -> DataFrame:
