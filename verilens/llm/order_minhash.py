@@ -210,10 +210,13 @@ def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
     where = F.struct("id", "place")
     nodes = sketched.filter("n > 0").groupBy("node").agg(F.min_by("keys", "place").alias("keys"), F.max("n").alias("n"), F.min(where).alias("at"))
     nodes = stored(nodes, "nodes")
-    held = nodes.select("node", "n", F.col("keys").alias("marks"), F.posexplode("keys").alias("at_key", "key"))
+    # the lists of keys meet only the texts that can be in a pair: those with AGREE keys that other texts have too
+    held = nodes.select("node", F.posexplode("keys").alias("at_key", "key"))
     shared = held.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = held.join(shared, "key")
-    members = stored(members.join(members.groupBy("node").agg(F.sum("size").alias("central")), "node").select("key", "at_key", "node", "n", "marks", F.struct("central", "node").alias("rank")), "members")
+    met = stored(held.join(shared, "key").select("node", "key", "at_key", "size"), "met")
+    central = met.groupBy("node").agg(F.sum("size").alias("central"), F.count("*").alias("met")).filter(F.col("met") >= AGREE)
+    ranked = central.join(nodes.select("node", "n", F.col("keys").alias("marks")), "node").select("node", "n", "marks", F.struct("central", "node").alias("rank"))
+    members = stored(met.select("key", "at_key", "node").join(ranked, "node").select("key", "at_key", "node", "n", "marks", "rank"), "members")
     needed = members.select("node").distinct().join(nodes.select("node", "at.*"), "node")
     at = needed.alias("q")
     texts = stored(rows.alias("r").join(at, F.col("r.id").eqNullSafe(F.col("q.id")) & (F.col("r.place") == F.col("q.place"))).select("node", "text").groupBy("node").agg(F.min("text").alias("text")), "texts")
