@@ -215,8 +215,9 @@ def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
     shared = held.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     met = stored(held.join(shared, "key").select("node", "key", "at_key", "size"), "met")
     central = met.groupBy("node").agg(F.sum("size").alias("central"), F.count("*").alias("met")).filter(F.col("met") >= AGREE)
-    ranked = central.join(nodes.select("node", "n", F.col("keys").alias("marks")), "node").select("node", "n", "marks", F.struct("central", "node").alias("rank"))
-    members = stored(met.select("key", "at_key", "node").join(ranked, "node").select("key", "at_key", "node", "n", "marks", "rank"), "members")
+    marks = stored(central.select("node").join(nodes.select("node", F.col("keys").alias("marks")), "node"), "marks")
+    ranked = central.join(nodes.select("node", "n"), "node").select("node", "n", F.struct("central", "node").alias("rank"), F.col("n").alias("usable"))
+    members = stored(met.select("key", "at_key", "node").join(ranked, "node"), "members")
     needed = members.select("node").distinct().join(nodes.select("node", "at.*"), "node")
     at = needed.alias("q")
     texts = stored(rows.alias("r").join(at, F.col("r.id").eqNullSafe(F.col("q.id")) & (F.col("r.place") == F.col("q.place"))).select("node", "text").groupBy("node").agg(F.min("text").alias("text")), "texts")
@@ -226,24 +227,29 @@ def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
     share = 1
     while True:
         if comps is None:
-            now = members.withColumn("comp", F.col("node")).withColumn("usable", F.col("n"))
-        else:  # only buckets that still hold several classes
+            now = members.withColumn("comp", F.col("node"))
+        else:  # only buckets that still hold several classes; a settled one stays settled
             now = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             split = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
             now = now.join(split, "key")
             if lone is None:
+                now = stored(now, "split")
                 lone = stored(_shared_kmers(texts.join(now.select("node").distinct(), "node", "left_semi")), "lone")
-            # a text can only be linked if enough of its k-mers stand in other texts of these buckets
-            now = now.join(lone, "node", "left").withColumn("usable", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
-            now = now.filter(F.col("usable") >= threshold * F.col("n"))
+                # a text can only be linked if enough of its k-mers stand in other texts of these buckets
+                now = now.join(lone, "node", "left").withColumn("usable", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+                now = now.filter(F.col("usable") >= threshold * F.col("n"))
+            now = stored(now, "open")
+            members = now.drop("comp")
         fresh = now if used is None else now.join(used, ["key", "node"], "left_anti")
-        pivots = fresh.groupBy("key", F.pmod(F.xxhash64("node", F.lit(share)), F.lit(share)).alias("part")).agg(F.max(F.struct("rank", "n", "comp", "marks", "usable")).alias("p"))
-        pivots = stored(pivots.select("key", F.col("p.rank.node").alias("pivot"), F.col("p.rank").alias("pivot_rank"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp"), F.col("p.marks").alias("pivot_marks"), F.col("p.usable").alias("pivot_usable")), "pivots")
+        pivots = fresh.groupBy("key", F.pmod(F.xxhash64("node", F.lit(share)), F.lit(share)).alias("part")).agg(F.max(F.struct("rank", "n", "comp", "usable")).alias("p"))
+        pivots = pivots.select("key", F.col("p.rank.node").alias("pivot"), F.col("p.rank").alias("pivot_rank"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp"), F.col("p.usable").alias("pivot_usable"))
+        pivots = stored(pivots.join(marks.select(F.col("node").alias("pivot"), F.col("marks").alias("pivot_marks")), "pivot"), "pivots")
         if comps is not None and pivots.isEmpty():
             return found
         agree, before = _agreeing("marks", "pivot_marks", "at_key")
         # a pair is met once, at the first key it agrees on
-        pairs = now.join(pivots, (now["key"] == pivots["key"]) & (F.col("comp") != F.col("pivot_comp")) & (F.col("rank") < F.col("pivot_rank")) & (F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")) & (agree >= AGREE) & (before == 0)
+        marked = now.join(marks, "node")
+        pairs = marked.join(pivots, (marked["key"] == pivots["key"]) & (F.col("comp") != F.col("pivot_comp")) & (F.col("rank") < F.col("pivot_rank")) & (F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")) & (agree >= AGREE) & (before == 0)
                           & (F.least("usable", "pivot_usable") * (1 + threshold) >= threshold * (F.col("n") + F.col("pivot_n"))))
         pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
