@@ -38,10 +38,6 @@ def centroids(units: DataFrame, keys: Sequence[str]) -> DataFrame:
     return group_sums(units, keys).select(*keys, "n", unit(F.col("s")).alias("c"))
 
 
-def add_vectors(a, b):
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
 def holdout_sums(units: DataFrame) -> DataFrame:
     """(speaker, session, s, n, rest, n_rest): own-session sum and the sum of the speaker's other sessions."""
     per = group_sums(units, ["speaker", "session"])
@@ -165,8 +161,16 @@ def sitting_matrix(units: DataFrame) -> DataFrame:
 
 
 def nearest_remembered(units: DataFrame, memory_size: int, threshold: float) -> DataFrame:
-    """Best earlier remembered vector of each vector at or above the threshold. Memory is the latest ``memory_size`` items."""
-    memory = units.orderBy(F.desc("vec_id")).limit(memory_size).select(F.col("vec_id").alias("mid"), F.col("v").alias("mv"))
-    s = units.join(F.broadcast(memory), F.col("mid") < F.col("vec_id")).select("vec_id", "mid", dot(F.col("v"), F.col("mv")).alias("sim"))
+    """Best remembered vector of each vector at or above the threshold. The memory of an arrival is the ``memory_size`` items before it.
+
+    Arrivals are numbered by id. A block of ``memory_size`` of them meets itself
+    and the block before, so that a task holds two blocks however many there are.
+    """
+    from verilens.operators.scan import rank_within
+
+    cells = units.select("vec_id", "v", F.lit(0).alias("_all"), F.floor(F.col("vec_id") / 4096).alias("_b"))
+    placed = rank_within(cells, ["_all"], "_b", ["vec_id"], "pos").select("vec_id", "v", "pos").withColumn("block", F.floor((F.col("pos") - 1) / memory_size)).transform(hold)
+    memory = placed.select(F.col("vec_id").alias("mid"), F.col("v").alias("mv"), F.col("pos").alias("mpos"), F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+    s = placed.join(memory, "block").filter((F.col("mpos") < F.col("pos")) & (F.col("mpos") >= F.col("pos") - memory_size)).select("vec_id", "mid", dot(F.col("v"), F.col("mv")).alias("sim"))
     best = s.groupBy("vec_id").agg(F.max(F.struct("sim", (-F.col("mid")).alias("m"))).alias("b"))
     return best.select("vec_id", (-F.col("b.m")).alias("match"), F.col("b.sim").alias("sim")).filter(F.col("sim") >= threshold)

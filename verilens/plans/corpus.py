@@ -235,17 +235,17 @@ def unique_match(spark, sf):
 @query("integrity_audit", "rule key detail", """SELECT 'duplicate_order' AS rule, o_orderkey::VARCHAR AS key, count(*)::VARCHAR AS detail FROM orders GROUP BY o_orderkey HAVING count(*) > 1
  UNION ALL SELECT 'duplicate_line', l_orderkey || ':' || l_linenumber, count(*)::VARCHAR FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
  UNION ALL SELECT 'orphan_order', o_orderkey::VARCHAR, o_custkey::VARCHAR FROM orders ANTI JOIN customer ON c_custkey = o_custkey
- UNION ALL SELECT 'orphan_line', l_linenumber::VARCHAR, l_orderkey::VARCHAR FROM lineitem ANTI JOIN orders ON o_orderkey = l_orderkey
+ UNION ALL SELECT 'orphan_line', l_orderkey || ':' || l_linenumber, l_orderkey::VARCHAR FROM lineitem ANTI JOIN orders ON o_orderkey = l_orderkey
  UNION ALL SELECT 'orphan_supplier', s_suppkey::VARCHAR, s_nationkey::VARCHAR FROM supplier ANTI JOIN nation ON n_nationkey = s_nationkey
  UNION ALL SELECT 'shipped_before_order', l_orderkey::VARCHAR, l_linenumber::VARCHAR FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate""")
 def integrity_audit(spark, sf):
     """Duplicate keys, orphans and cross-table disagreements as (rule, key, detail) rows."""
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    line = li.select(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("line"))
+    line = li.select("l_orderkey", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("line"))
     late = li.select("l_orderkey", "l_linenumber", "l_shipdate").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey").filter("l_shipdate < o_orderdate")
     out = H.duplicate_keys("duplicate_order", o, "o_orderkey").unionByName(H.duplicate_keys("duplicate_line", line, "line"))
     out = out.unionByName(H.orphans("orphan_order", o, "o_custkey", table(spark, sf, "customer"), "c_custkey", "o_orderkey"))
-    out = out.unionByName(H.orphans("orphan_line", li, "l_orderkey", o, "o_orderkey", "l_linenumber"))
+    out = out.unionByName(H.orphans("orphan_line", line, "l_orderkey", o, "o_orderkey", "line"))
     out = out.unionByName(H.orphans("orphan_supplier", table(spark, sf, "supplier"), "s_nationkey", table(spark, sf, "nation"), "n_nationkey", "s_suppkey"))
     return out.unionByName(H.violations("shipped_before_order", late, F.col("l_orderkey"), F.col("l_linenumber")))
 

@@ -274,7 +274,8 @@ def fit_policy(spark, sf):
 
 @query("fusion_weights", "branch weight:d")
 def fusion_weights(spark, sf):
-    return M.fit_weights(views.trial_scores(spark, sf))
+    """Weights fitted on the dev part alone."""
+    return M.fit_weights(S.trial_parts(views.trial_scores(spark, sf)).filter("part = 'dev'"))
 
 
 @query("threshold_rules", "config thr_eer:d far1:d far01:d", _CONF + """, k AS (SELECT config, score, row_number() OVER (PARTITION BY config ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY config) AS n FROM fu WHERE NOT is_genuine)
@@ -439,13 +440,13 @@ _PW = "CASE " + " ".join(f"WHEN u < {p} THEN {k}" for k, p in enumerate(I.POISSO
 
 
 @query("cluster_bootstrap", "device n_clusters:l rate:d lo:d hi:d", f"""WITH {Q.TS}, c AS (SELECT device, probe_speaker, count(*) FILTER (s_voice < 0.5) AS k, count(*) AS n FROM ts WHERE is_genuine GROUP BY ALL),
- r AS (SELECT *, {_PW} AS w FROM (SELECT *, (('0x' || substr(md5(concat_ws('|', '7', rep, device, probe_speaker)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM c CROSS JOIN range(1, 201) z(rep))),
+ r AS (SELECT *, {_PW} AS w FROM (SELECT *, (('0x' || substr(md5(concat_ws('|', '7', rep, device, probe_speaker)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM c CROSS JOIN range(1, 1001) z(rep))),
  b AS (SELECT device, rep, sum(w * k) / nullif(sum(w * n), 0)::DOUBLE AS rate FROM r GROUP BY ALL)
  SELECT device, (SELECT count(*) FROM c WHERE c.device = b.device) AS n_clusters, (SELECT sum(k) / sum(n)::DOUBLE FROM c WHERE c.device = b.device) AS rate,
  quantile_cont(rate, 0.025) AS lo, quantile_cont(rate, 0.975) AS hi FROM b GROUP BY ALL""")
 def cluster_bootstrap(spark, sf):
     c = views.trial_scores(spark, sf).filter("is_genuine").groupBy("device", "probe_speaker").agg(F.count_if(F.col("s_voice") < 0.5).alias("k"), F.count(F.lit(1)).alias("n"))
-    return I.cluster_rate(c, ["device"], "probe_speaker", 200, 7)
+    return I.cluster_rate(c, ["device"], "probe_speaker", 1000, 7)
 
 
 @query("eer_bootstrap", "config eer:d lo:d hi:d")

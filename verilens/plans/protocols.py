@@ -162,15 +162,15 @@ def operating_points(spark, sf):
     ).withColumn("frr_lo", lo).withColumn("frr_hi", hi)
 
 
-@query("attack_report", "variant fold:l n:l accepted:l mean:d top:d lo:d hi:d", f"""WITH {_VAR}, a AS (SELECT e.variant, e.fold, e.score, d.thr_eer FROM ve e JOIN dm d USING (variant) WHERE NOT is_genuine AND e.claimed = 0),
- g AS (SELECT variant, fold, count(*) AS n_trials, count(*) FILTER (score >= thr_eer) AS n_accepted, avg(score) AS mean, max(score) AS top FROM a GROUP BY ALL)
- SELECT variant, fold, n_trials AS n, n_accepted AS accepted, mean, top, {Q.wilson('n_accepted', 'n_trials')[0]} AS lo, {Q.wilson('n_accepted', 'n_trials')[1]} AS hi FROM g""")
+@query("attack_report", "variant claimed:l fold:l n:l accepted:l mean:d top:d lo:d hi:d", f"""WITH {_VAR}, a AS (SELECT e.variant, e.claimed, e.fold, e.score, d.thr_eer FROM ve e JOIN dm d USING (variant) WHERE NOT is_genuine),
+ g AS (SELECT variant, claimed, fold, count(*) AS n_trials, count(*) FILTER (score >= thr_eer) AS n_accepted, avg(score) AS mean, max(score) AS top FROM a GROUP BY ALL)
+ SELECT variant, claimed, fold, n_trials AS n, n_accepted AS accepted, mean, top, {Q.wilson('n_accepted', 'n_trials')[0]} AS lo, {Q.wilson('n_accepted', 'n_trials')[1]} AS hi FROM g""")
 def attack_report(spark, sf):
-    """Probes aimed at one enrollee's held-out templates, accepted under the dev threshold, per fold."""
+    """Probes aimed at each enrollee's held-out templates, accepted under the dev threshold, per fold."""
     t = variant_trials(spark, sf).transform(hold)
     dev, test = dev_and_test(t)
     lo, hi = wilson(F.col("accepted"), F.col("n"))
-    return test.filter("not is_genuine and claimed = 0").join(F.broadcast(dev), "variant").groupBy("variant", "fold").agg(
+    return test.filter("not is_genuine").join(F.broadcast(dev), "variant").groupBy("variant", "claimed", "fold").agg(
         F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("thr_eer")).alias("accepted"), F.avg("score").alias("mean"), F.max("score").alias("top")).withColumn("lo", lo).withColumn("hi", hi)
 
 
@@ -316,10 +316,10 @@ def sitting_matrix(spark, sf):
     return V.sitting_matrix(units(spark, sf))
 
 
-@query("near_dup_vectors", "vec_id:l match:l sim:d", f"""WITH {Q.VEC}, m AS (SELECT vec_id AS mid, v AS mv FROM uv ORDER BY vec_id DESC LIMIT 2000), s AS (SELECT vec_id, mid, list_dot_product(v, mv) AS sim FROM uv JOIN m ON mid < vec_id)
+@query("near_dup_vectors", "vec_id:l match:l sim:d", f"""WITH {Q.VEC}, p AS (SELECT vec_id, v, row_number() OVER (ORDER BY vec_id) AS pos FROM uv), s AS (SELECT a.vec_id, b.vec_id AS mid, list_dot_product(a.v, b.v) AS sim FROM p a JOIN p b ON b.pos < a.pos AND b.pos >= a.pos - 2000)
  SELECT vec_id, arg_max(mid, (sim, -mid)) AS match, max(sim) AS sim FROM s GROUP BY ALL HAVING max(sim) >= 0.35""")
 def near_dup_vectors(spark, sf):
-    """Best earlier item in the bounded memory at or above a threshold (0.35 here, so that rows appear)."""
+    """Best of the 2,000 items before each arrival at or above a threshold (0.35 here, so that rows appear)."""
     return V.nearest_remembered(units(spark, sf), 2000, 0.35)
 
 
