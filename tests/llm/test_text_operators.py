@@ -289,6 +289,14 @@ def test_base_scores_and_gain_on_held_out_texts(spark):
     assert test.score.sum() > test.base_score.sum()
 
 
+def test_every_training_row_is_in_one_round(spark):
+    rows = [(i, "A copy that a third of the rows hold" if i % 3 else f"Text {i} of its own") for i in range(300)]
+    d = spark.createDataFrame([*rows, (7, None)], "id long, text string")
+    rounds = [sorted((r.id, r.text or "") for r in gru_lm.in_round(d, now).collect()) for now in range(gru_lm.ROUNDS)]
+    assert sorted(sum(rounds, [])) == sorted([*rows, (7, "")])
+    assert all(sum("copy" in text for _, text in r) > 50 for r in rounds)
+
+
 def test_scores_do_not_depend_on_company():
     rng = np.random.default_rng(2)
     p = gru_lm.blank(np.zeros(gru_lm.CLASSES), np.zeros(gru_lm.TOP))

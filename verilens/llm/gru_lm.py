@@ -9,11 +9,11 @@ form ``TOP / WIDE`` classes by frequency, with a softmax of the state inside the
 all other words fall into ``TAIL`` classes by their last two bytes, inside
 which counts decide, smoothed as in the base score.
 
-Training: every task trains on its share of the training texts (those whose
-hash falls to this round, 1 of ``ONE_IN`` in all rounds together) by truncated
-backpropagation in numpy, state carried from window to window; after each
-round weights are averaged by tokens seen. Counting covers all training texts;
-what both read and send grows with the corpus. Scoring carries the state
+Training: the training rows are dealt to ``ROUNDS`` rounds by a hash of id and
+text, so that every row is trained on once and copies are spread; every task
+trains on its share of a round by truncated backpropagation in numpy, state
+carried from window to window; after each round weights are averaged by tokens
+seen. Counting covers all training texts; what both read and send grows with the corpus. Scoring carries the state
 through a whole text. Texts of any length are scored whole.
 
 Counts of the ``FREQUENT`` most frequent tokens go to all tasks (a bounded
@@ -42,7 +42,7 @@ from verilens.llm.common import stored, text_of
 HIDDEN, TOP, WIDE, TAIL = 16, 1024, 32, 32
 FREQUENT = 1 << 18
 WINDOW, LANES, SEGMENT = 16, 128, 1024
-ROUNDS, ONE_IN, RATE = 2, 4, 0.03
+ROUNDS, RATE = 2, 0.03
 #: Weights of the output stay within this, so that with states below 1 no exponential overflows.
 MOST = 4.0
 #: Tokens of texts that a task scores side by side, and how many at most side by side.
@@ -160,7 +160,10 @@ def window_gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, firs
         grads["U"] += old.T @ d_hu
         d_h = np.where(first[t][:, None], np.float32(0), d * z + d_hu @ p["U"].T)
     flat = d_es.reshape(-1, 3 * n)
-    np.add.at(grads["E"], x.reshape(-1), flat)
+    order = np.argsort(x.reshape(-1), kind="stable")
+    ids = x.reshape(-1)[order]
+    begin = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    grads["E"][ids[begin]] += np.add.reduceat(flat[order], begin)
     grads["b"] += flat.sum(0)
     size = x.size
     return {k: g / size for k, g in grads.items()}, -float(logs.mean()), h
@@ -346,6 +349,11 @@ def _summed(df: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [df["block"].iloc[0]], "part": [0], "seen": [df["seen"].sum()], "sums": [total.tobytes()]})
 
 
+def in_round(rows: DataFrame, now: int) -> DataFrame:
+    """The rows (id, text) of one of ``ROUNDS`` rounds; each row is in one of them."""
+    return rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == now)
+
+
 def train(rows: DataFrame, vocabulary: Vocabulary, sent) -> dict[str, np.ndarray]:
     """Weights after ``ROUNDS`` rounds over the training rows (id, text)."""
     p = blank(*vocabulary.biases())
@@ -359,8 +367,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary, sent) -> dict[str, np.ndarray
             if seen:
                 yield _weights_rows(own, seen)
 
-        share = rows.filter(F.pmod(F.xxhash64("text"), F.lit(ONE_IN * ROUNDS)) == now).select("text")
-        parts = share.mapInPandas(run, schema).groupBy("block", "part").applyInPandas(_summed, schema).groupBy("block").applyInPandas(_summed, schema)
+        parts = in_round(rows, now).select("text").mapInPandas(run, schema).groupBy("block", "part").applyInPandas(_summed, schema).groupBy("block").applyInPandas(_summed, schema)
         got = sorted(parts.collect(), key=lambda r: r.block)  # one row per block of weights
         if not got:
             continue
@@ -377,8 +384,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), is_held_out(id_col).alias("held_out"))
-    learn = rows.filter(~F.col("held_out")).select("text")
-    counts = stored(learn.mapInPandas(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    learn = rows.filter(~F.col("held_out")).select("id", "text")
+    counts = stored(learn.select("text").mapInPandas(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()  # bounded
     frequent = list(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
