@@ -297,6 +297,22 @@ def test_every_training_row_is_in_one_round(spark):
     assert all(sum("copy" in text for _, text in r) > 50 for r in rounds)
 
 
+def test_every_token_of_a_lane_is_trained_on():
+    rng = np.random.default_rng(6)
+    for sizes in ([1], [1, 40, 7, 300, 2], [3000], [390_001], [5, 250_000, 30_000, 1100]):
+        p = gru_lm.blank(np.zeros(gru_lm.CLASSES), np.zeros(gru_lm.TOP))
+        texts = [rng.integers(0, gru_lm.TOP + gru_lm.TAIL, n).astype(np.int32) for n in sizes]
+        assert gru_lm.train_on(p, iter(texts)) == sum(sizes)
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    x, y = (rng.integers(0, gru_lm.TOP + gru_lm.TAIL, (5, 3)) for _ in range(2))
+    first, h, ends = np.zeros((5, 3), bool), np.zeros((3, gru_lm.HIDDEN)), [5, 2, 4]
+    g, loss, _ = gru_lm.window_gradient(p, x, y, first, h, np.arange(5)[:, None] < np.array(ends))
+    alone = [gru_lm.window_gradient(p, x[:n, [i]], y[:n, [i]], first[:n, [i]], h[[i]]) for i, n in enumerate(ends)]
+    assert loss == pytest.approx(sum(a[1] * n for a, n in zip(alone, ends, strict=True)) / 11, rel=1e-5)
+    for k in g:
+        assert g[k] == pytest.approx(sum(a[0][k] * n for a, n in zip(alone, ends, strict=True)) / 11, rel=1e-3, abs=1e-6)
+
+
 def test_scores_do_not_depend_on_company():
     rng = np.random.default_rng(2)
     p = gru_lm.blank(np.zeros(gru_lm.CLASSES), np.zeros(gru_lm.TOP))

@@ -136,8 +136,11 @@ def output(p: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray, gra
     return out, d_states
 
 
-def window_gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], float, np.ndarray]:
-    """Gradient of the mean loss over a window (time by lanes), its loss, and the state after it. ``first``: a text starts here, state 0."""
+def window_gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, first: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], float, np.ndarray]:
+    """Gradient of the mean loss over a window (time by lanes), its loss, and the state after it. ``first``: a text starts here, state 0.
+
+    ``live`` marks the places that hold a token; the others are at the ends of lanes and have no loss.
+    """
     n, (steps, lanes) = HIDDEN, x.shape
     kept, states = [], np.empty((steps, lanes, n), np.float32)
     for t in range(steps):
@@ -146,7 +149,11 @@ def window_gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, firs
         kept.append((h, z, r, new, hu))
         states[t] = h = new_h
     grads = {k: np.zeros_like(v) for k, v in p.items()}
-    logs, d_states = output(p, states.reshape(-1, n), y.reshape(-1), grads)
+    if live is None:
+        logs, d_states = output(p, states.reshape(-1, n), y.reshape(-1), grads)
+    else:
+        d_states = np.zeros((steps * lanes, n), np.float32)
+        logs, d_states[live.reshape(-1)] = output(p, states[live], y[live], grads)
     d_states = d_states.reshape(steps, lanes, n)
     d_h, d_es = np.zeros((lanes, n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
     for t in range(steps - 1, -1, -1):
@@ -165,7 +172,7 @@ def window_gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, firs
     begin = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
     grads["E"][ids[begin]] += np.add.reduceat(flat[order], begin)
     grads["b"] += flat.sum(0)
-    size = x.size
+    size = len(logs)
     return {k: g / size for k, g in grads.items()}, -float(logs.mean()), h
 
 
@@ -200,13 +207,20 @@ def train_on(p: dict[str, np.ndarray], texts: Iterator[np.ndarray]) -> int:
             f = np.zeros(sum(map(len, own)), bool)
             f[np.cumsum([0, *map(len, own[:-1])])] = True
             starts.append(f)
-        steps = min(map(len, y)) // WINDOW * WINDOW or min(map(len, y))
-        x, y, f = (np.stack([a[:steps] for a in z], 1) for z in (x, y, starts))
+        ends = np.array([len(a) for a in y])
+        full = np.zeros((3, ends.max(), len(ends)), np.int32)
+        for i, lane in enumerate(zip(x, y, starts, strict=True)):
+            full[:, :ends[i], i] = lane
+        x, y, f = full[0], full[1], full[2].astype(bool)
         h = np.zeros((len(streams), HIDDEN), np.float32)
-        for a in range(0, steps, WINDOW):
-            g, _, h = window_gradient(p, x[a:a + WINDOW], y[a:a + WINDOW], f[a:a + WINDOW], h)
-            adam(p, g)
-        return y.size
+        for a in range(0, len(x), WINDOW):
+            on = ends > a  # a lane that has ended is left out
+            live = np.arange(a, min(a + WINDOW, len(x)))[:, None] < ends[on]
+            own = (z[a:a + WINDOW, on] for z in (x, y, f))
+            g, _, h[on] = window_gradient(p, *own, h[on], None if live.all() else live)
+            # a window of few tokens counts by what it holds, not as a full one
+            adam(p, {k: v * np.float32(live.sum() / (min(WINDOW, len(x)) * len(ends))) for k, v in g.items()})
+        return int(ends.sum())
 
     held: list[np.ndarray] = []
     size = 0
