@@ -123,6 +123,20 @@ def test_simhash_blocks_find_all_within_radius(spark):
     assert got == pytest.approx({i: best(t) for i, t, _ in texts if best(t) >= 0.8})
 
 
+def test_passages_with_moved_parts_are_found(spark):
+    base = [f"b{i}" for i in range(60)]
+    for parts in ([base[30:], base[:30]], [base[40:], base[20:40], base[:20]]):
+        moved = sum(parts, [])
+        sh = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+        want = len(sh(moved) & sh(base)) / len(sh(moved) | sh(base))
+        texts = [(0, " ".join([*prose(1, 50), *moved, *prose(2, 50)]), "a"), (1, " ".join(moved), "a"), (2, " ".join(base[:30]), "a")]
+        items = spark.createDataFrame([(7, " ".join(base))], "item_id long, text string")
+        got = {r.doc: (round(r.similarity, 6), r.start_word) for r in decontaminate.matches(docs(spark, texts), items, threshold=0.7).collect()}
+        assert got == {0: (round(want, 6), 50), 1: (round(want, 6), 0)}
+        if want >= 0.8:
+            assert {r.doc for r in decontaminate.matches(docs(spark, texts), items).collect()} == {0, 1}
+
+
 def test_line_keeps_its_first_place_and_counts_are_exact_near_the_threshold(spark):
     rows = [(i, f"own {i}\nfour sites\n five sites ", f"s{i}") for i in range(4)] + [(9, "five sites\nown 9\n\nfive sites", "s9")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(docs(spark, rows), min_sites=5).collect()}

@@ -1,11 +1,11 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 Similarity of a window and an item is that of their bags of five-word
-shingles: the sum of the smaller counts over the sum of the larger ones. A
-window that holds none of an item's shingles has similarity 0, so windows are
-only fingerprinted around shared shingles: at every start that puts a shared
-shingle within ``slack`` words of its place in the item, where ``slack`` is
-the displacement that a similarity of ``threshold`` still allows. Fingerprints
+shingles: the sum of the smaller counts over the sum of the larger ones. That
+sum of larger ones is at least the number of the item's shingles, so a window
+at or over the threshold has the item's shingles at ``threshold`` times that
+many of its places, in any order: every window with so many is fingerprinted,
+wherever it starts. Fingerprints
 are 64-bit SimHashes of the window's words. Both fingerprints are cut into
 ``blocks`` blocks; two fingerprints within ``radius`` bits differ by at most
 ``radius // blocks`` bits in some block, and each item is indexed under all
@@ -25,6 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verilens.functions.arrays import compute_once, let
 from verilens.llm.common import words_sql
 from verilens.sources.tables import bounded
 
@@ -59,6 +60,11 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(n_a + n_b - common > 0, common / (n_a + n_b - common)).otherwise(F.lit(0.0))
 
 
+def _from_to(a: Column, b: Column) -> Column:
+    """All whole numbers from a to b, none if b is less."""
+    return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+
+
 def _cuts(blocks: int) -> list[tuple[int, int]]:
     """(first bit, width) of each block of 64 bits."""
     ends = [64 * i // blocks for i in range(blocks + 1)]
@@ -93,17 +99,19 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius: i
     spots, shingled = None, None
     for k in kinds:
         own = bench.filter(F.col("k") == k).withColumn("sh", made(bench, k))
-        index = own.select("item", "s", F.posexplode("sh").alias("q", "h")).groupBy("h", "s").agg(F.collect_set("q").alias("qs"))
-        seeds = (
-            text.select("doc", "digest", F.size("w").alias("n"), F.posexplode(made(text, k)).alias("p", "h"))
-            .join(_small(index), "h").select("doc", "digest", "n", "s", F.explode("qs").alias("q"), "p").withColumn("start", F.expr("p - q"))
-        )
-        seeds = seeds.groupBy("doc", "digest", "n", "s", "start").agg(F.lit(k).alias("k"))
+        index = own.select("s", F.explode("sh").alias("h")).distinct()
+        seeds = text.select("doc", "digest", F.size("w").alias("n"), F.posexplode(made(text, k)).alias("p", "h")).join(_small(index), "h")
+        seeds = seeds.groupBy("doc", "digest", "n", "s").agg(F.lit(k).alias("k"), F.collect_set("p").alias("ps"))
         spots = seeds if spots is None else spots.unionByName(seeds)
         shingled = own if shingled is None else shingled.unionByName(own)
 
-    slack = F.floor((F.col("s") - F.col("k") + 1) * (1 - threshold)).cast("int")
-    around = spots.withColumn("start", F.explode(F.sequence(F.col("start") - slack, F.col("start") + slack)))
+    # ``least`` shared places next to each other, from the i-th on, fit into a window of s words that starts at one of these
+    least = F.ceil((F.col("s") - F.col("k") + 1) * threshold - 1e-9).cast("int")
+    spots = spots.withColumn("least", least).filter(F.size("ps") >= F.col("least"))
+    runs = lambda ps: F.flatten(F.transform(F.sequence(F.lit(0), F.size(ps) - F.col("least")), lambda i: _from_to(
+        F.get(ps, i + F.col("least") - 1) - F.col("s") + F.col("k"), F.get(ps, i))))
+    spots = compute_once(spots, ["doc", "digest", "n", "s", "k"], starts=let(F.array_sort("ps"), lambda ps: F.array_distinct(runs(ps))))
+    around = spots.select("doc", "digest", "n", "s", "k", F.explode("starts").alias("start"))
     span = F.struct("s", "k", F.greatest("start", F.lit(0)).alias("a"), F.least(F.col("start") + F.col("s"), F.col("n")).alias("b"))
     windows = around.withColumn("span", span).filter("span.b - span.a >= k").groupBy("doc", "digest").agg(F.collect_set("span").alias("spans"))
 
@@ -146,7 +154,8 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str
     return d.join(bad.alias("b"), F.col(f"d.{id_col}").eqNullSafe(F.col("b.bad_doc")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("b.bad_digest")), "left_anti")
 
 
-#: DuckDB SQL without fingerprints: every aligned window around a shared shingle, verified exactly.
+#: DuckDB SQL without fingerprints: every aligned window around a shared shingle, verified exactly. It tries fewer windows
+#: than ``matches``: those within a fifth of the item's shingles of an aligned one, so it cannot judge passages with moved parts.
 SQL = r"""
     WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents WHERE text IS NOT NULL),
     i AS (SELECT item_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM benchmark WHERE text IS NOT NULL),
