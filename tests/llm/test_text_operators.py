@@ -222,6 +222,16 @@ def test_near_copies_share_a_class(spark):
     assert sorted(r.doc_id for r in order_minhash.keep_one(docs(spark, rows)).collect()) == sorted(set(root.values()))
 
 
+def test_short_texts_at_the_threshold_share_a_class(spark):
+    texts = []
+    for i in range(120):
+        n = 8 if i < 40 else 12 + i % 17
+        w = [f"s{i}x{j}" for j in range(n)]
+        texts += [(2 * i, " ".join(w), "a"), (2 * i + 1, " ".join([*w, *(f"e{i}x{j}" for j in range((n - 4) // 4))]), "a")]
+    got = {r.id: r.class_id for r in order_minhash.classes(docs(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(240)}
+
+
 def test_alignment_equals_the_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(30):

@@ -4,8 +4,10 @@ A text is the sequence of its five-word runs (k-mers), each labelled with its
 occurrence number, so that no labelled k-mer stands twice in a text. Each of
 ``sketches`` hash functions keeps the ``ell`` smallest labelled k-mers and
 hashes them in text order: texts agree on such a key if they share those
-k-mers in the same order. Texts with a common key are candidates; a pair is aligned
-if it agrees on ``AGREE`` keys and its lengths allow the threshold. In each
+k-mers in the same order. Texts of up to ``SHORT`` k-mers also have their smallest
+k-mers as keys, so many that two such texts over the threshold share one for
+certain. Texts with a common key are candidates; a pair is aligned if its
+lengths allow the threshold. In each
 bucket of a key the text that shares most keys with others is compared with
 the others, and where a bucket still holds several classes, further texts are
 (more in each round) until its classes are settled or every text of it has been compared. From the
@@ -38,9 +40,9 @@ from verilens.llm.common import free_name, stored, text_of
 from verilens.llm.components import components
 
 K, SKETCHES, ELL, THRESHOLD = 5, 32, 5, 0.8
-#: Keys on which a pair must agree to be aligned. At a similarity of 0.8 a key agrees with a chance of 0.8^5, so that
-#: a pair of 32 keys agrees on fewer than three with a chance of 0.0004; texts that share a passage seldom do.
-AGREE = 3
+#: Texts of up to so many k-mers have k-mers as keys. In a longer pair at exactly 0.8 (21 of 26 k-mers or more) a key
+#: agrees with a chance of at least C(21, 5) / C(26, 5) = 0.309, so that it shares none of 32 with a chance of 0.000007 at most.
+SHORT = 25
 #: Elements of the table of hashes made at once (32 MB).
 AT_ONCE = 4_000_000
 #: Words whose hashes a Python worker remembers.
@@ -111,6 +113,14 @@ def keys(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def short_keys(h: np.ndarray, threshold: float) -> np.ndarray:
+    """Of a text of up to ``SHORT`` k-mers the smallest ones: two texts that share ``threshold`` of their union share one of these."""
+    n = len(h)
+    if not n or n > SHORT:
+        return np.empty(0, np.uint64)
+    return _mix(np.sort(h)[:n - int(np.ceil(threshold * n - 1e-9)) + 1] + _ODD)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence whose matches lie within ``band`` places of each other.
 
@@ -139,17 +149,20 @@ def likeness(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> floa
     return m / (total - m)
 
 
-def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
-        nodes, sizes, found = [], [], []
-        for text in df["text"]:
-            words = _WORD.findall(text.lower())
-            raw = " ".join(words) if words else "\0" + text
-            nodes.append(blake2b(raw.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            h = kmers(words)
-            sizes.append(len(h))
-            found.append(keys(h).view(np.int64) if len(h) else np.empty(0, np.int64))
-        yield pd.DataFrame({"id": df["id"], "place": df["place"], "node": nodes, "n": sizes, "keys": found})
+def _sketched(threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            nodes, sizes, found = [], [], []
+            for text in df["text"]:
+                words = _WORD.findall(text.lower())
+                raw = " ".join(words) if words else "\0" + text
+                nodes.append(blake2b(raw.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                h = kmers(words)
+                sizes.append(len(h))
+                found.append(np.concatenate([keys(h), short_keys(h, threshold)]).view(np.int64) if len(h) else np.empty(0, np.int64))
+            yield pd.DataFrame({"id": df["id"], "place": df["place"], "node": nodes, "n": sizes, "keys": found})
+
+    return run
 
 
 def _verified(threshold: float):
@@ -188,7 +201,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("place", F.xxhash64("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    made = rows.select(F.col("id").cast("string").alias("id"), "place", "text").mapInPandas(_sketched, "id string, place bigint, node binary, n int, keys array<bigint>")
+    made = rows.select(F.col("id").cast("string").alias("id"), "place", "text").mapInPandas(_sketched(threshold), "id string, place bigint, node binary, n int, keys array<bigint>")
     sketched = stored(made.withColumn("id", F.col("id").cast(id_type)), "sketches")
     rep = F.struct(F.col("id").isNull().alias("last"), "id", "place")
     links = stored(_links(rows, sketched, threshold), "links")
@@ -199,10 +212,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         "id", "place", F.col("head.id").alias("class_id"), rep.eqNullSafe(F.col("head")).alias("first"))
 
 
-def _agreeing(a: str, b: str, at: str) -> tuple[Column, Column]:
-    """On how many keys two texts agree, and on how many of those before place ``at``."""
+def _agreeing(a: str, b: str, at: str) -> Column:
+    """On how many keys of the hash functions two texts agree before place ``at``."""
     same = [(F.col(a)[i] == F.col(b)[i]).cast("int") for i in range(SKETCHES)]
-    return sum(same[1:], same[0]), sum((F.when(F.col(at) > i, x).otherwise(0) for i, x in enumerate(same)), F.lit(0))
+    return sum((F.when(F.col(at) > i, x).otherwise(0) for i, x in enumerate(same)), F.lit(0))
 
 
 def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
@@ -210,11 +223,11 @@ def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
     where = F.struct("id", "place")
     nodes = sketched.filter("n > 0").groupBy("node").agg(F.min_by("keys", "place").alias("keys"), F.max("n").alias("n"), F.min(where).alias("at"))
     nodes = stored(nodes, "nodes")
-    # the lists of keys meet only the texts that can be in a pair: those with AGREE keys that other texts have too
+    # the lists of keys meet only the texts that can be in a pair: those with a key that other texts have too
     held = nodes.select("node", F.posexplode("keys").alias("at_key", "key"))
     shared = held.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     met = stored(held.join(shared, "key").select("node", "key", "at_key", "size"), "met")
-    central = met.groupBy("node").agg(F.sum("size").alias("central"), F.count("*").alias("met")).filter(F.col("met") >= AGREE)
+    central = met.groupBy("node").agg(F.sum("size").alias("central"))
     marks = stored(central.select("node").join(nodes.select("node", F.col("keys").alias("marks")), "node"), "marks")
     ranked = central.join(nodes.select("node", "n"), "node").select("node", "n", F.struct("central", "node").alias("rank"), F.col("n").alias("usable"))
     members = stored(met.select("key", "at_key", "node").join(ranked, "node"), "members")
@@ -246,10 +259,10 @@ def _links(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
         pivots = stored(pivots.join(marks.select(F.col("node").alias("pivot"), F.col("marks").alias("pivot_marks")), "pivot"), "pivots")
         if comps is not None and pivots.isEmpty():
             return found
-        agree, before = _agreeing("marks", "pivot_marks", "at_key")
-        # a pair is met once, at the first key it agrees on
+        before = _agreeing("marks", "pivot_marks", "at_key")
+        # a pair is met once, at the first key it agrees on; at its common k-mers only if it agrees on no key of the hash functions
         marked = now.join(marks, "node")
-        pairs = marked.join(pivots, (marked["key"] == pivots["key"]) & (F.col("comp") != F.col("pivot_comp")) & (F.col("rank") < F.col("pivot_rank")) & (F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")) & (agree >= AGREE) & (before == 0)
+        pairs = marked.join(pivots, (marked["key"] == pivots["key"]) & (F.col("comp") != F.col("pivot_comp")) & (F.col("rank") < F.col("pivot_rank")) & (F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")) & (before == 0)
                           & (F.least("usable", "pivot_usable") * (1 + threshold) >= threshold * (F.col("n") + F.col("pivot_n"))))
         pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
