@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verilens.llm import decontaminate, gru_lm, html_text, licences, lines, lz_fingerprint, order_minhash, packing, pii, toxicity
+from verilens.llm import (
+    decontaminate, fill_in_middle, gru_lm, html_text, licences, lines, lz_fingerprint, order_minhash, packing, part_codes, pii, toxicity, url_rules,
+)
 from verilens.sources.tables import table
 
 
@@ -65,7 +67,29 @@ def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on each page's URL."""
+    return url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.registered(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and digests of each document's fill-in-middle output and of the text restored from it."""
+    made = fill_in_middle.digested(fill_in_middle.pieces(table(spark, sf_dir, "documents")))
+    return made.select(F.col("id").cast("long").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of each vector, its error, its label's error and the digest of the codebooks."""
+    codes, book = part_codes.compressed(table(spark, sf_dir, "embeddings"))
+    return part_codes.with_label_errors(codes).select("vec_id", "code", "error", "label_error", F.lit(part_codes.digest(book)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licence_scan, op2_html_extraction, op3_toxicity, op4_decontamination, op5_line_dedup, op6_packing, op7_lz_fingerprint, op8_order_minhash, op9_pii, op10_gru_lm)
+    f.__name__: f for f in (
+        op1_licence_scan, op2_html_extraction, op3_toxicity, op4_decontamination, op5_line_dedup, op6_packing, op7_lz_fingerprint, op8_order_minhash, op9_pii, op10_gru_lm,
+        op11_url_rules, op12_fill_in_middle, op13_part_codes)
+}
+ORACLES: dict[str, str] = {
+    "op1_licence_scan": licences.sql(), "op4_decontamination": decontaminate.SQL, "op5_line_dedup": lines.sql(), "op11_url_rules": url_rules.SQL,
+    "op12_fill_in_middle": fill_in_middle.SQL, "op13_part_codes": part_codes.sql(),
 }
-ORACLES: dict[str, str] = {"op1_licence_scan": licences.sql(), "op4_decontamination": decontaminate.SQL, "op5_line_dedup": lines.sql()}
