@@ -35,34 +35,78 @@ def drain(spark, stream, tmp, name, mode="append"):
     return spark.table(name)
 
 
-def test_throttle_stream_equals_batch(spark, tmp_path):
+def shuffled(spark, df, tmp, name, pieces=4, seed=3):
+    """Write a frame in random pieces, so that rows arrive in any order, and read them as a stream, one piece a micro-batch."""
+    path = str(tmp / name)
+    for i in range(pieces):
+        df.filter(F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(pieces)) == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def then(spark, path, last):
+    """One more file with rows after all others, which pass the watermark; read as a stream in the order of writing."""
+    last.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+
+
+def test_throttle_stream_equals_batch_with_late_and_tied_rows(spark, tmp_path):
+    state.use_state_store(spark)
     rule = Throttle(3, 3600.0, 43200.0, 432000)
-    a = attempts(spark, SF)
-    want = {(r.id): (r.n_live, round(r.wait, 3)) for r in throttle_waits(a, rule).collect()}
-    s = replay(spark, a, tmp_path, "attempts").withColumn("us", micros("ts"))
-    got = {(r.id): (r.n_live, round(r.wait, 3)) for r in drain(spark, state.throttle(s, rule), tmp_path, "throttled").collect()}
+    a = attempts(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
+    tied = a.filter("id % 5 = 0").withColumn("id", F.col("id") + 10**6)  # a second attempt at the same instant
+    a = a.unionByName(tied).withColumn("us", F.expr("unix_micros(ts)"))
+    want = {r.id: (r.n_live, round(r.wait, 3)) for r in throttle_waits(a.drop("us"), rule).collect()}
+    end = a.agg(F.max("ts")).first()[0]
+    last = a.limit(1).select(F.lit(-1).cast("long").alias("identity"), F.lit(-1).cast("long").alias("id"), (F.lit(end) + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(False).alias("failed"))
+    last = last.withColumn("us", F.expr("unix_micros(ts)"))
+    s = then(spark, shuffled(spark, a, tmp_path, "attempts"), last.select(*a.columns))
+    got = {r.id: (r.n_live, round(r.wait, 3)) for r in drain(spark, state.throttle(s, rule, "365 days"), tmp_path, "throttled").filter("id >= 0").collect()}
     assert got == want and len(want) > 100
 
 
+def test_challenges_are_consumed_once_and_expire(spark, tmp_path):
+    state.use_state_store(spark)
+    i, a = issued_answered(spark, SF)
+    i, a = i.withColumn("issued", F.col("issued").cast("timestamp")), a.withColumn("answered", F.col("answered").cast("timestamp"))
+    again = a.filter("answer % 3 = 0").select("identity", (F.col("answer") + 10**6).alias("answer"), (F.col("answered") + F.expr("INTERVAL 1 SECOND")).alias("answered"))
+    a = a.unionByName(again)
+    want = {r.challenge: (r.status, r.answer, r.latency and round(r.latency, 6), r.replays) for r in consume_challenges(i, a, 43200).collect()}
+    end = i.agg(F.max("issued")).first()[0]
+    far = F.lit(end) + F.expr("INTERVAL 400 DAYS")
+    s_i = then(spark, shuffled(spark, i, tmp_path, "issued"), i.limit(1).select(F.lit(-1).cast("long").alias("identity"), F.lit(-1).cast("long").alias("challenge"), far.alias("issued")))
+    s_a = then(spark, shuffled(spark, a, tmp_path, "answered"), a.limit(1).select(F.lit(-1).cast("long").alias("identity"), F.lit(-1).cast("long").alias("answer"), far.alias("answered")))
+    rows = drain(spark, state.challenges(s_i, s_a, 43200, "365 days"), tmp_path, "challenges").filter("challenge >= 0").collect()
+    got = {r.challenge: (r.status, r.answer, r.latency and round(r.latency, 6), r.replays) for r in rows}
+    assert len(rows) == len(got) == len(want) and got == want
+    assert {r.status for r in rows} == {"consumed", "expired"} and any(r.replays for r in rows)
+    taken = [r.answer for r in rows if r.answer is not None]
+    assert len(taken) == len(set(taken))
+
+
 def test_duplicate_stream_keeps_first_of_each_digest(spark, tmp_path):
     e = views.events(spark, SF).select("event_id", "ts", F.md5(F.concat("user_id", "event_type")).alias("digest"))
     got = drain(spark, state.first_seen(replay(spark, e, tmp_path, "subs"), window="60 days"), tmp_path, "firsts")
     assert got.count() == e.select("digest").distinct().count() == got.select("digest").distinct().count()
 
 
-def test_challenge_stream_finds_the_batch_pairs(spark, tmp_path):
-    i, a = issued_answered(spark, SF)
-    j = state.answered_challenges(replay(spark, i, tmp_path, "iss", "issued"), replay(spark, a, tmp_path, "ans", "answered"), 43200, "40 days")
-    got = drain(spark, j, tmp_path, "answered").groupBy("identity", "answer").agg(F.max(F.struct("issued", "challenge")).alias("c")).select("c.challenge").distinct()
-    want = consume_challenges(i, a, 43200).filter("status = 'consumed'")
-    assert {r.challenge for r in got.collect()} == {r.challenge for r in want.collect()}
-
-
-def test_step_up_stream_keeps_the_last_decision(spark, tmp_path):
-    e = views.events(spark, SF).select(F.col("user_id").alias("identity"), F.col("event_id").alias("id"), "ts", F.when(F.col("event_type") == "signup", "BORDERLINE").otherwise("ACCEPT").alias("decision"))
-    got = {r.identity: r.step_up for r in drain(spark, state.step_up(replay(spark, e, tmp_path, "dec")), tmp_path, "flags", "complete").collect()}
-    want = {r.identity: r.d == "BORDERLINE" for r in e.groupBy("identity").agg(F.max_by("decision", F.struct("ts", "id")).alias("d")).collect()}
-    assert got == want
+def test_step_up_stream_keeps_the_last_decision_and_forgets(spark, tmp_path):
+    state.use_state_store(spark)
+    e = views.events(spark, SF).select(F.col("user_id").alias("identity"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "signup", "BORDERLINE").otherwise("ACCEPT").alias("decision"))
+    path = shuffled(spark, e, tmp_path, "decisions")
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    changes = drain(spark, state.step_up(s, 10**9, "365 days"), tmp_path, "flags", "update").collect()
+    want = {r.identity: (r.d.decision == "BORDERLINE", r.d.id) for r in e.groupBy("identity").agg(F.max_by(F.struct("decision", "id"), F.struct("ts", "id")).alias("d")).collect()}
+    when = {r.id: r.ts for r in e.collect()}
+    last = {}
+    for r in sorted(changes, key=lambda r: (when[r.since], r.since)):
+        last[r.identity] = (r.step_up, r.since)
+    assert last == want
+    end = e.agg(F.max("ts")).first()[0]
+    flush = e.limit(1).select(F.lit(-1).cast("long").alias("identity"), F.lit(10**7).cast("long").alias("id"), (F.lit(end) + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit("ACCEPT").alias("decision"))
+    s = then(spark, path, flush)
+    after = drain(spark, state.step_up(s, 60, "365 days"), tmp_path, "forgotten", "update").filter("identity >= 0").collect()
+    borderline = {i for i, (up, _) in want.items() if up}
+    assert borderline <= {r.identity for r in after if not r.step_up}
 
 
 def test_score_stream_equals_batch(spark, tmp_path):

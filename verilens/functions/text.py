@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verilens.functions import words as fixed
+from verilens.functions.arrays import let
 
 _WORD = r"\p{L}\p{N}_" + fixed.OWN_BLOCK
 TOKEN_PATTERN = rf"[{_WORD}]+(?:[-'][{_WORD}]+)*|[^\s\p{{L}}\p{{N}}_]"
@@ -163,21 +164,15 @@ def slug(value: Column) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), F.lit("unknown"))
 
 
-def word_distance(ref: Column, hyp: Column) -> Column:
-    """Word-level edit distance: one row of the table is the array state of a fold over the reference."""
-    start = F.sequence(F.lit(0), F.size(hyp))
-
-    def step(prev, r):
-        def cell(acc, j):
-            left = F.element_at(acc, -1)
-            diag, up = F.get(prev, j - 1), F.get(prev, j)
-            best = F.when(F.get(hyp, j - 1) == r, diag).otherwise(1 + F.least(diag, up, left))
-            return F.concat(acc, F.array(best))
+def _as_characters(words: Column, vocabulary: Column) -> Column:
+    """A text with one character for each word: its place in the vocabulary, counted from U+10000."""
+    one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 0xFFFF), 8, "0")), "UTF-32")
+    return F.array_join(F.transform(words, one), "")
 
-        first = F.array(F.get(prev, F.lit(0)) + 1)
-        return F.when(F.size(hyp) == 0, first).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(hyp), F.lit(1))), first, cell))
 
-    return F.element_at(F.aggregate(ref, start, step), -1)
+def word_distance(ref: Column, hyp: Column) -> Column:
+    """Edit distance over words: words of a pair are coded as characters for the built-in distance, whose memory is linear."""
+    return let(F.array_distinct(F.concat(ref, hyp)), lambda v: F.levenshtein(_as_characters(ref, v), _as_characters(hyp, v)))
 
 
 def word_error_rate(ref: Column, hyp: Column) -> Column:

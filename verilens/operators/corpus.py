@@ -28,6 +28,11 @@ def overlay(log: DataFrame, corrections: DataFrame, key: str, field: str, order:
         field, F.coalesce("_fix", field)).drop("_fix")
 
 
+def mean_or(value: Column, usual: float) -> Column:
+    """Aggregate: mean of the positive values, ``usual`` without any."""
+    return F.coalesce(F.avg(F.when(value > 0, value)), F.lit(usual))
+
+
 def violations(rule: str, rows: DataFrame, key: Column, detail: Column) -> DataFrame:
     return rows.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
 
@@ -76,3 +81,21 @@ def majority(votes: DataFrame, key: str, label: str) -> DataFrame:
     n = votes.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
     win = n.groupBy(key).agg(F.sum("n").alias("_t"), F.min(F.struct((-F.col("n")).alias("m"), F.col(label))).alias("w"))
     return win.select(key, F.col(f"w.{label}").alias("label"), (-F.col("w.m") / F.col("_t")).alias("conf"))
+
+
+def digest_tree(lines: DataFrame, group: str, stratum: str, line: str, header: Column) -> DataFrame:
+    """(group, n, digest): SHA-256 over the strata's digests below a header line.
+
+    A stratum's digest is that of a tree: lines are dealt by four hex digits of
+    their own digest, then by two, and each level hashes the sorted digests of
+    the one below, so that no row ever holds a whole list.
+    """
+    def over(df: DataFrame, keys: list[str], item: str, n: Column) -> DataFrame:
+        return df.groupBy(*keys).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(item))), 256).alias("_d"), F.sum(n).alias("n"))
+
+    leaves = over(lines.withColumn("_b", F.substring(F.md5(line), 1, 4)), [group, stratum, "_b"], line, F.lit(1))
+    inner = over(leaves.withColumn("_b", F.substring("_b", 1, 2)), [group, stratum, "_b"], "_d", F.col("n"))
+    roots = over(inner, [group, stratum], "_d", F.col("n"))
+    named = F.sort_array(F.collect_list(F.struct(stratum, F.concat_ws("=", stratum, "_d").alias("text"))))
+    out = roots.groupBy(group).agg(F.sum("n").alias("n"), F.transform(named, lambda x: x["text"]).alias("_l"))
+    return out.select(group, "n", F.sha2(F.concat_ws("\n", header, F.concat_ws("\n", "_l")), 256).alias("digest"))

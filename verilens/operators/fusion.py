@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verilens.sources.held import hold
+
 BRANCHES = ("voice", "graph", "know")
 VETOED = float("-inf")
 
@@ -152,20 +154,93 @@ def veto_fit(sweep: DataFrame, threshold: Column, budget: float = 0.02, keys: Se
     )
 
 
-def fit_weights(dev: DataFrame, max_iter: int = 100) -> DataFrame:
-    """Fusion weights from class-balanced logistic regression on mean-imputed scores; negatives clipped, then normalised."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import Imputer, VectorAssembler
-
+def _filled(dev: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, x0, x1, x2, y, n, w): distinct mean-imputed score rows of each group with their number and class weight."""
     cols = [f"s_{b}" for b in BRANCHES]
-    n = dev.groupBy().agg(F.count(F.lit(1)).alias("n"), F.count_if("is_genuine").alias("g")).first()  # two numbers
-    total, gen = n["n"], n["g"]
-    balanced = F.when(F.col("is_genuine"), F.lit(total / (2.0 * gen))).otherwise(F.lit(total / (2.0 * (total - gen))))
-    data = dev.select(*cols, F.col("is_genuine").cast("double").alias("label"), balanced.alias("w"))
-    filled = Imputer(strategy="mean", inputCols=cols, outputCols=[f"{c}_f" for c in cols]).fit(data).transform(data)
-    ready = VectorAssembler(inputCols=[f"{c}_f" for c in cols], outputCol="features").transform(filled)
-    model = LogisticRegression(weightCol="w", regParam=1.0 / total, standardization=False, maxIter=max_iter, tol=1e-9).fit(ready)
-    coef = [max(0.0, float(c)) for c in model.coefficients]
-    scale = sum(coef)
-    weights = [c / scale for c in coef] if scale > 0 else [1.0 / len(coef)] * len(coef)
-    return dev.sparkSession.createDataFrame(list(zip(BRANCHES, weights)), "branch string, weight double")
+    y = F.col("is_genuine").cast("int")
+    known = dev.select(*keys, *cols, y.alias("y"))
+    about = known.groupBy(*keys).agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)], F.sum("y").alias("_g"), F.count("*").alias("_n"))
+    cells = known.groupBy(*keys, *cols, "y").agg(F.count("*").alias("n"))
+    joined = cells.join(F.broadcast(about), list(keys)) if keys else cells.crossJoin(F.broadcast(about))  # a row per group
+    balance = F.col("_n") / (2.0 * F.when(F.col("y") == 1, F.col("_g")).otherwise(F.col("_n") - F.col("_g")))
+    return joined.select(*keys, *[F.coalesce(c, f"_m{i}").alias(f"x{i}") for i, c in enumerate(cols)], "y", "n", balance.alias("w"))
+
+
+def _slopes(cells: DataFrame, at: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per group the gradient (g0..g3) and Hessian (h00..h33) of the weighted log loss at (b, c0, c1, c2), in one aggregate."""
+    x = [F.lit(1.0), *[F.col(f"x{i}") for i in range(len(BRANCHES))]]
+    joined = cells.join(F.broadcast(at), list(keys)) if keys else cells.crossJoin(F.broadcast(at))  # a row per group
+    score = F.col("b") + sum(F.col(f"c{i}") * F.col(f"x{i}") for i in range(len(BRANCHES)))
+    joined = joined.withColumn("_p", 1 / (1 + F.exp(-score))).withColumn("_w", F.col("w") * F.col("n"))
+    r, s = F.col("_w") * (F.col("_p") - F.col("y")), F.col("_w") * F.col("_p") * (1 - F.col("_p"))
+    sums = [F.sum(r * x[i]).alias(f"g{i}") for i in range(len(x))]
+    sums += [F.sum(s * x[i] * x[j]).alias(f"h{i}{j}") for i in range(len(x)) for j in range(i, len(x))]
+    return joined.groupBy(*keys).agg(*sums)
+
+
+def fit_weights(dev: DataFrame, keys: Sequence[str] = (), steps: int = 12, ridge: float = 1.0) -> DataFrame:
+    """(keys, branch, weight, coef, gradient): class-balanced logistic regression on mean-imputed scores of every group at once.
+
+    Newton's method from zero: a step is one aggregate over the distinct score
+    rows of all groups and a 4 x 4 system a group on the driver. The intercept
+    has no penalty. Negative coefficients are clipped, then normalised;
+    ``gradient`` is the penalised one at the fitted coefficients. A group
+    without trials of both kinds has no fit and no row.
+    """
+    import numpy as np
+
+    keys = list(keys)
+    spark, k = dev.sparkSession, len(BRANCHES)
+    cells = _filled(dev, keys).transform(hold)
+    names = ["b", *[f"c{i}" for i in range(k)]]
+    both = cells.groupBy(*keys).agg(F.count_distinct("y").alias("_y")).filter("_y = 2").select(*keys, *[F.lit(0.0).alias(n) for n in names])
+    schema = both.schema
+    at = {tuple(r[c] for c in keys): np.zeros(k + 1) for r in both.collect()}  # a row per group
+    grad = {}
+    for _ in range(steps + 1):
+        given = spark.createDataFrame([(*g, *map(float, v)) for g, v in at.items()], schema)
+        for row in _slopes(cells, given, keys).collect():  # a row per group
+            g = tuple(row[c] for c in keys)
+            penalty = np.r_[0.0, at[g][1:]] * ridge
+            grad[g] = np.array([row[f"g{i}"] for i in range(k + 1)]) + penalty
+            h = np.array([[row[f"h{min(i, j)}{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)]) + ridge * np.diag(np.r_[0.0, np.ones(k)])
+            if _ < steps:
+                at[g] = at[g] - np.linalg.solve(h, grad[g])
+    out = []
+    for g, v in at.items():
+        coef = np.maximum(v[1:], 0.0)
+        weights = coef / coef.sum() if coef.sum() > 0 else np.full(k, 1.0 / k)
+        out += [(*g, b, float(weights[i]), float(v[1 + i]), float(grad[g][1 + i])) for i, b in enumerate(BRANCHES)]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields[:len(keys)])
+    return spark.createDataFrame(out, (fields + ", " if fields else "") + "branch string, weight double, coef double, gradient double")
+
+
+def sql_fit(name: str, dev: str, group: str, steps: int = 12, ridge: float = 1.0) -> str:
+    """CTEs for ``fit_weights``: ``name`` (group, b, c0, c1, c2, w_voice, w_graph, w_know), Newton steps with the elimination written out."""
+    cols, n = [f"s_{b}" for b in BRANCHES], len(BRANCHES) + 1
+    x = ["1", *[f"x{i}" for i in range(n - 1)]]
+    parts = [f"""{name}_a AS (SELECT {group}, {", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(cols))}, count(*) FILTER (is_genuine) AS gg, count(*) AS nn FROM {dev} GROUP BY ALL),
+ {name}_x AS (SELECT {group}, {", ".join(x[1:])}, y, count(*) * nn / (2.0 * CASE WHEN y = 1 THEN gg ELSE nn - gg END) AS w
+  FROM (SELECT {group}, {", ".join(f"coalesce({c}, m{i}) AS x{i}" for i, c in enumerate(cols))}, is_genuine::INT AS y, nn, gg FROM {dev} JOIN {name}_a USING ({group})) GROUP BY {group}, {", ".join(x[1:])}, y, nn, gg),
+ {name}_0 AS (SELECT {group}, {", ".join(f"0.0::DOUBLE AS v{i}" for i in range(n))} FROM {name}_a)"""]
+    for s in range(steps):
+        at = f"{name}_{s}"
+        sums = ", ".join([f"sum(w * (p - y) * {x[i]})" + (f" + {ridge} * any_value(v{i})" if i else "") + f" AS g{i}" for i in range(n)] +
+                         [f"sum(w * p * (1 - p) * {x[i]} * {x[j]})" + (f" + {ridge}" if i == j and i else "") + f" AS h{i}{j}" for i in range(n) for j in range(i, n)])
+        score = " + ".join(f"v{i} * {x[i]}" for i in range(n))
+        parts.append(f"{at}_e0 AS (SELECT {group}, {sums}, {', '.join(f'any_value(v{i}) AS v{i}' for i in range(n))} FROM (SELECT *, 1 / (1 + exp(-({score}))) AS p FROM {name}_x JOIN {at} USING ({group})) GROUP BY ALL)")
+        for k in range(n - 1):  # eliminate below the k-th pivot; the matrix stays symmetric
+            keep = [group, *[f"v{i}" for i in range(n)], *[f"g{i}" for i in range(k + 1)], *[f"h{i}{j}" for i in range(k + 1) for j in range(i, n)]]
+            made = [f"g{i} - h{k}{i} / h{k}{k} * g{k} AS g{i}" for i in range(k + 1, n)] + [f"h{i}{j} - h{k}{i} / h{k}{k} * h{k}{j} AS h{i}{j}" for i in range(k + 1, n) for j in range(i, n)]
+            parts.append(f"{at}_e{k + 1} AS (SELECT {', '.join(keep + made)} FROM {at}_e{k})")
+        prev = f"{at}_e{n - 1}"
+        for k in range(n - 1, -1, -1):
+            known = "".join(f" - h{k}{j} * d{j}" for j in range(k + 1, n))
+            parts.append(f"{at}_b{k} AS (SELECT *, (g{k}{known}) / h{k}{k} AS d{k} FROM {prev})")
+            prev = f"{at}_b{k}"
+        parts.append(f"{name}_{s + 1} AS (SELECT {group}, {', '.join(f'v{i} - d{i} AS v{i}' for i in range(n))} FROM {prev})")
+    pos = [f"greatest(v{i}, 0)" for i in range(1, n)]
+    total = " + ".join(pos)
+    parts.append(f"{name} AS (SELECT {group}, v0 AS b, {', '.join(f'v{i} AS c{i - 1}' for i in range(1, n))}, "
+                 + ", ".join(f"CASE WHEN {total} > 0 THEN {pos[i]} / ({total}) ELSE {1.0 / (n - 1)!r} END AS w_{b}" for i, b in enumerate(BRANCHES)) + f" FROM {name}_{steps})")
+    return ",\n ".join(parts)

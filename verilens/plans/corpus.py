@@ -10,6 +10,7 @@ from verilens.functions.arrays import compute_once
 from verilens.functions import words as fixed
 from verilens.functions.stats import hashed
 from verilens.operators import corpus as H
+from verilens.operators import erasure as E
 from verilens.operators import splits as S
 from verilens.operators import tokens as T
 from verilens.operators.scan import rank_by_digest, rank_within, running, time_bucket
@@ -81,18 +82,22 @@ def latest_per_key(spark, sf):
     return H.latest(views.events(spark, sf).select("user_id", "event_type", "event_id", "value", "ts"), ["user_id", "event_type"], ["ts", "event_id"])
 
 
-@query("erase_subjects", "tbl before_n:l after_n:l", """WITH gone AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3), o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM gone))
- SELECT 'orders' AS tbl, (SELECT count(*) FROM orders) AS before_n, (SELECT count(*) FROM o) AS after_n
- UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM gone)))""")
-def erase_subjects(spark, sf):
-    gone = table(spark, sf, "customer").filter("c_custkey % 10 = 3").select(F.col("c_custkey").alias("o_custkey"))
-    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    lost = o.join(gone, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
+#: Foreign keys along which a customer's rows are found.
+LINKS = [E.Link("orders", "o_custkey", "customer", "c_custkey"), E.Link("lineitem", "l_orderkey", "orders", "o_orderkey"), E.Link("events", "user_id", "customer", "c_custkey")]
 
-    def row(name, before, after):
-        return before.agg(F.count("*").alias("before_n")).join(F.broadcast(after.agg(F.count("*").alias("after_n")))).select(F.lit(name).alias("tbl"), "before_n", "after_n")
 
-    return row("orders", o, H.erase(o, "o_custkey", gone)).unionByName(row("lineitem", li, H.erase(li, "l_orderkey", lost)))
+@query("erase_subjects", "tbl before_n:l after_n:l erased_n:l residue_n:l", """WITH gone AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 10 = 3), o AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey IN (SELECT k FROM gone)),
+ n AS (SELECT 'customer' AS tbl, (SELECT count(*) FROM customer) AS before_n, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT k FROM gone)) AS after_n
+ UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT k FROM gone))
+ UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM o))
+ UNION ALL SELECT 'events', (SELECT count(*) FROM events), (SELECT count(*) FROM events WHERE user_id NOT IN (SELECT k FROM gone)))
+ SELECT *, before_n - after_n AS erased_n, 0 AS residue_n FROM n""")
+def erase_subjects(spark, sf):
+    """Customers on the erasure list with their orders, line items and events: counts, and what is left of them."""
+    tables = {n: table(spark, sf, n) for n in ("customer", "orders", "lineitem", "events")}
+    gone = tables["customer"].filter("c_custkey % 10 = 3").select("c_custkey")
+    after = E.erased(tables, LINKS, "customer", "c_custkey", gone)
+    return E.audit(tables, after, LINKS, "customer", "c_custkey", gone)
 
 
 @query("recent_events_topn", "event_id:l user_id:l event_type", "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -144,17 +149,37 @@ def sheet_scan(spark, sf):
     return s.withColumn("session", F.coalesce(F.nullif("session", F.lit("s0")), F.lit("S1"))).join(small_side(r), "e", "left")
 
 
-@query("protocol_hash", "seed:l n:l digest", """WITH k AS (SELECT DISTINCT c_mktsegment AS m, c_custkey % 100 AS b FROM customer), r AS (SELECT m, b, s FROM k CROSS JOIN (VALUES (7), (11)) v(s))
- SELECT s AS seed, count(*) AS n, sha256(string_agg(m || ':' || b, chr(10) ORDER BY m || ':' || b)) AS digest FROM r GROUP BY ALL""")
+#: What a protocol fixes besides its split.
+PROTOCOL = "variants=baseline,meansub,asnorm,meansub_asnorm,trimmed;rules=eer,far0.01,far0.001;n_boot=1000"
+
+
+@query("protocol_hash", "seed:l n:l digest", f"""WITH k AS (SELECT s AS seed, c_mktsegment AS m, c_custkey AS c, row_number() OVER (PARTITION BY s, c_mktsegment ORDER BY md5(s || '|' || c_custkey), c_custkey) AS r, count(*) OVER (PARTITION BY s, c_mktsegment) AS n
+  FROM customer CROSS JOIN (VALUES (7), (11)) v(s)), c AS (SELECT *, greatest(1, round_even(n * 0.25::DOUBLE, 0)) AS cut FROM k),
+ l AS (SELECT seed, m, m || ':' || c || ':' || CASE WHEN n < 4 THEN 'test' WHEN r <= cut THEN 'norm' WHEN r <= 2 * cut THEN 'fit' ELSE 'test' END AS line FROM c),
+ d4 AS (SELECT seed, m, substr(md5(line), 1, 4) AS b, sha256(string_agg(line, chr(10) ORDER BY line)) AS d, count(*) AS n FROM l GROUP BY ALL),
+ d2 AS (SELECT seed, m, substr(b, 1, 2) AS b, sha256(string_agg(d, chr(10) ORDER BY d)) AS d, sum(n) AS n FROM d4 GROUP BY seed, m, substr(b, 1, 2)),
+ d0 AS (SELECT seed, m, sha256(string_agg(d, chr(10) ORDER BY d)) AS d, sum(n) AS n FROM d2 GROUP BY seed, m)
+ SELECT seed, sum(n) AS n, sha256('seed=' || seed || ';{PROTOCOL}' || chr(10) || string_agg(m || '=' || d, chr(10) ORDER BY m)) AS digest FROM d0 GROUP BY seed""")
 def protocol_hash(spark, sf):
-    """Digest of the sorted protocol lines (strata and buckets, a bounded list), fixed before any score exists."""
-    k = table(spark, sf, "customer").select(F.concat_ws(":", "c_mktsegment", (F.col("c_custkey") % 100).cast("string")).alias("line")).distinct()
-    lines = k.groupBy().agg(F.sort_array(F.collect_list("line")).alias("l"))
-    return lines.select(F.explode(F.array(F.lit(7), F.lit(11))).alias("seed"), F.size("l").alias("n"), F.sha2(F.concat_ws("\n", "l"), 256).alias("digest"))
+    """Pre-registration digest of each seed: its split by stratum, variants, rules and replicates, fixed before any score exists."""
+    c = table(spark, sf, "customer").select("c_mktsegment", "c_custkey")
+    split = S.stratified(c, "c_mktsegment", "c_custkey", [7, 11])
+    lines = split.select("seed", "c_mktsegment", F.concat_ws(":", "c_mktsegment", F.col("c_custkey").cast("string"), "part").alias("line"))
+    return H.digest_tree(lines, "seed", "c_mktsegment", "line", F.concat(F.lit("seed="), F.col("seed").cast("string"), F.lit(f";{PROTOCOL}")))
 
 
 # ------------------------------------------------------------ predicates
 
+@query("mean_duration", "speaker lang mean:d measured:l", f"""WITH {Q.UTT}, g AS (SELECT speaker, l AS lang FROM (SELECT DISTINCT speaker FROM utt), (SELECT DISTINCT doc_lang AS l FROM utt))
+ SELECT g.speaker, g.lang, coalesce(avg(n_chars / 15.0::DOUBLE) FILTER (n_chars > 0 AND prompt = 2), 6.0) AS mean, count(*) FILTER (n_chars > 0 AND prompt = 2) AS measured FROM g LEFT JOIN utt u ON u.speaker = g.speaker AND u.doc_lang = g.lang GROUP BY ALL""")
+def mean_duration(spark, sf):
+    """Mean of the positive durations of a prompt's answers by speaker and language, and a usual value where there are none."""
+    u = views.utterances(spark, sf)
+    every = u.select("speaker").distinct().crossJoin(small_side(u.select(F.col("doc_lang").alias("lang")).distinct(), 1000))  # a handful of languages
+    of = u.filter("prompt = 2").groupBy("speaker", F.col("doc_lang").alias("lang")).agg(H.mean_or(F.col("n_chars") / 15.0, 6.0).alias("mean"), F.count_if(F.col("n_chars") > 0).alias("measured"))
+    return every.join(of, ["speaker", "lang"], "left").select("speaker", "lang", F.coalesce("mean", F.lit(6.0)).alias("mean"), F.coalesce("measured", F.lit(0)).alias("measured"))
+
+
 @query("usable_utts", "speaker n:l chars:l", f"WITH {Q.UTT} SELECT speaker, count(*) AS n, sum(n_chars) AS chars FROM utt WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = utt AND toxic = 1) AND session IN (0, 2) GROUP BY ALL")
 def usable_utts(spark, sf):
     """Tagged and not excluded, in the chosen sessions."""
@@ -317,39 +342,47 @@ def tag_provenance(spark, sf):
 
 # Gold rows: every seventh utterance, labels drawn from the super-class parity, some blank, some texts altered.
 _GOLD = Q.TOK + """, gold AS (SELECT utt, pos, CASE WHEN utt % 5 = 0 AND pos = 3 THEN text || 'x' ELSE text END AS text,
- CASE WHEN pos % 9 = 0 THEN NULL WHEN pos % 6 = 0 THEN 'B' ELSE lang END AS gl, CASE WHEN pos % 9 = 0 THEN NULL WHEN pos % 8 = 0 THEN 'C1' ELSE cls END AS gc FROM tok WHERE utt % 7 = 0),
+ CASE WHEN pos % 9 = 0 THEN NULL WHEN pos % 6 = 0 THEN 'B' ELSE lang END AS gl, CASE WHEN pos % 9 = 0 THEN NULL WHEN pos % 8 = 0 THEN 'C1' ELSE cls END AS gc FROM tok WHERE utt IN (SELECT doc_id FROM labels)),
  mis AS (SELECT g.utt FROM gold g LEFT JOIN tok t USING (utt, pos) GROUP BY g.utt HAVING bool_or(t.text IS NULL OR t.text <> g.text)),
  gs AS (SELECT g.*, t.lang AS pl, t.cls AS pc, t.speaker FROM gold g JOIN tok t USING (utt, pos) WHERE g.utt NOT IN (SELECT utt FROM mis) AND gl IS NOT NULL AND gc IS NOT NULL)"""
 
 
-def gold_rows(spark, sf):
-    t = views.tokens(spark, sf).filter("utt % 7 = 0")
-    return t.select("utt", "pos", F.when((F.col("utt") % 5 == 0) & (F.col("pos") == 3), F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("gtext"),
-                    F.when(F.col("pos") % 9 == 0, None).when(F.col("pos") % 6 == 0, "B").otherwise(F.col("lang")).alias("gl"),
-                    F.when(F.col("pos") % 9 == 0, None).when(F.col("pos") % 8 == 0, "C1").otherwise(F.col("cls")).alias("gc"))
+def gold_packed(spark, sf):
+    """Gold labels of the documents that `labels` covers, one row an utterance: array of (pos, gtext, gl, gc)."""
+    covered = table(spark, sf, "labels").select(F.col("doc_id").alias("utt")).distinct()
+    g = F.transform("toks", lambda t: F.struct(
+        t["pos"].alias("pos"), F.when((F.col("utt") % 5 == 0) & (t["pos"] == 3), F.concat(t["text"], F.lit("x"))).otherwise(t["text"]).alias("gtext"),
+        F.when(t["pos"] % 9 == 0, None).when(t["pos"] % 6 == 0, "B").otherwise(t["lang"]).alias("gl"), F.when(t["pos"] % 9 == 0, None).when(t["pos"] % 8 == 0, "C1").otherwise(t["cls"]).alias("gc")))
+    return compute_once(views.token_arrays(spark, sf).join(covered, "utt", "left_semi"), ["utt"], gold=g)
+
+
+def gold_aligned(spark, sf):
+    """Gold beside the tokens of its utterance: one altered text or missing position makes the whole utterance ``bad``.
+
+    Both sides are one row an utterance, so tokens are never shuffled one by one.
+    """
+    j = views.token_arrays(spark, sf).select("utt", "speaker", "toks").join(gold_packed(spark, sf), "utt")
+    differs = F.exists("gold", lambda g: F.coalesce(F.get("toks", g["pos"] - 1)["text"] != g["gtext"], F.lit(True)))
+    return compute_once(j, ["utt", "speaker", "toks", "gold"], bad=differs)
 
 
 def gold_scored(spark, sf):
-    """Gold rows against predictions: one altered text or missing position excludes its whole utterance."""
-    p = views.tokens(spark, sf).select("utt", "pos", "text", "speaker", F.col("lang").alias("pl"), F.col("cls").alias("pc"))
-    j = gold_rows(spark, sf).join(p, ["utt", "pos"], "left").transform(hold)
-    mis = j.groupBy("utt").agg(F.bool_or(F.col("text").isNull() | (F.col("text") != F.col("gtext"))).alias("bad")).filter("bad").select("utt")
-    return j, mis
+    """Labelled gold tokens of aligned utterances with their predictions."""
+    beside = F.transform("gold", lambda g: F.struct(
+        g["gl"].alias("gl"), g["gc"].alias("gc"), F.get("toks", g["pos"] - 1)["lang"].alias("pl"), F.get("toks", g["pos"] - 1)["cls"].alias("pc"), F.get("toks", g["pos"] - 1)["text"].alias("text")))
+    return gold_aligned(spark, sf).filter(~F.col("bad")).select("utt", "speaker", F.inline(beside)).filter("gl IS NOT NULL AND gc IS NOT NULL")
 
 
 @query("gold_align", "utt:l misaligned:b n:l n_blank:l", f"WITH {_GOLD} SELECT utt, utt IN (SELECT utt FROM mis) AS misaligned, count(*) AS n, count(*) FILTER (gl IS NULL) AS n_blank FROM gold GROUP BY ALL")
 def gold_align(spark, sf):
-    j, _ = gold_scored(spark, sf)
-    return j.groupBy("utt").agg(F.bool_or(F.col("text").isNull() | (F.col("text") != F.col("gtext"))).alias("misaligned"), F.count("*").alias("n"), F.count_if(F.col("gl").isNull()).alias("n_blank"))
+    return gold_aligned(spark, sf).filter(F.size("gold") > 0).select("utt", F.col("bad").alias("misaligned"), F.size("gold").alias("n"), F.size(F.filter("gold", lambda g: g["gl"].isNull())).alias("n_blank"))
 
 
 @query("gold_score", "gold predicted n:l lang_acc:d class_acc:d both_acc:d", f"""WITH {_GOLD} SELECT gl AS gold, pl AS predicted, count(*) AS n, (SELECT avg((gl = pl)::INT) FROM gs) AS lang_acc, (SELECT avg((gc = pc)::INT) FROM gs) AS class_acc,
  (SELECT avg((gl = pl AND gc = pc)::INT) FROM gs) AS both_acc FROM gs GROUP BY ALL""")
 def gold_score(spark, sf):
-    j, mis = gold_scored(spark, sf)
-    s = j.filter("gl is not null and gc is not null").join(mis, "utt", "left_anti")
-    ok, okc = F.col("gl") == F.col("pl"), F.col("gc") == F.col("pc")
-    cells = s.groupBy(F.col("gl").alias("gold"), F.col("pl").alias("predicted")).agg(F.count("*").alias("n"), F.count_if(okc).alias("c"))
+    okc = F.col("gc") == F.col("pc")
+    cells = gold_scored(spark, sf).groupBy(F.col("gl").alias("gold"), F.col("pl").alias("predicted")).agg(F.count("*").alias("n"), F.count_if(okc).alias("c")).transform(hold)
     tot = cells.agg(F.sum("n").alias("t"), F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)).alias("l"), F.sum("c").alias("cc"),
                     F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("c")).otherwise(0)).alias("b"))  # one row
     return cells.join(F.broadcast(tot)).select("gold", "predicted", "n", (F.col("l") / F.col("t")).alias("lang_acc"), (F.col("cc") / F.col("t")).alias("class_acc"), (F.col("b") / F.col("t")).alias("both_acc"))
@@ -358,17 +391,17 @@ def gold_score(spark, sf):
 @query("translit_slice", "speaker total:l correct:l recall:d", f"WITH {_GOLD} SELECT speaker, count(*) AS total, count(*) FILTER (gl = pl) AS correct, count(*) FILTER (gl = pl) / count(*)::DOUBLE AS recall FROM gs WHERE gl = 'B' AND regexp_matches(text, '^[aeiouAEIOU]') GROUP BY ALL")
 def translit_slice(spark, sf):
     """Tokens whose written form says A while gold says B."""
-    j, mis = gold_scored(spark, sf)
-    s = j.filter("gl = 'B' and gc is not null").filter(views.rule_label(F.col("text")) == "A").join(mis, "utt", "left_anti")
+    s = gold_scored(spark, sf).filter("gl = 'B'").filter(views.rule_label(F.col("text")) == "A")
     return s.groupBy("speaker").agg(F.count("*").alias("total"), F.count_if(F.col("gl") == F.col("pl")).alias("correct")).withColumn("recall", F.col("correct") / F.col("total"))
 
 
-@query("gold_export", "utt:l idx:l token prefilled", f"WITH {_GOLD} SELECT t.utt, t.pos AS idx, t.text AS token, g.gl AS prefilled FROM tok t LEFT JOIN gold g ON g.utt = t.utt AND g.pos = t.pos AND g.text = t.text WHERE t.utt % 14 = 0")
+@query("gold_export", "utt:l idx:l token prefilled", f"WITH {_GOLD} SELECT t.utt, t.pos AS idx, t.text AS token, g.gl AS prefilled FROM tok t LEFT JOIN gold g ON g.utt = t.utt AND g.pos = t.pos AND g.text = t.text")
 def gold_export(spark, sf):
-    """One row per token with its index, prefilled where an earlier label has the same text."""
-    t = views.tokens(spark, sf).filter("utt % 14 = 0").select("utt", "pos", "text")
-    g = gold_rows(spark, sf).withColumnRenamed("gtext", "text").select("utt", "pos", "text", "gl")
-    return t.join(g, ["utt", "pos", "text"], "left").select("utt", F.col("pos").alias("idx"), F.col("text").alias("token"), F.col("gl").alias("prefilled"))
+    """One row for every token with its index, prefilled where an earlier label has the same text."""
+    j = views.token_arrays(spark, sf).select("utt", "toks").join(gold_packed(spark, sf), "utt", "left")
+    earlier = lambda t: F.get("gold", t["pos"] - 1)
+    rows = F.transform("toks", lambda t: F.struct(t["pos"].alias("idx"), t["text"].alias("token"), F.when(earlier(t)["gtext"] == t["text"], earlier(t)["gl"]).alias("prefilled")))
+    return j.select("utt", F.inline(rows))
 
 
 @query("agreed_attributes", "speaker n_sessions:l lang prompt:l", f"""WITH {Q.UTT} SELECT speaker, count(DISTINCT session) AS n_sessions, CASE WHEN count(DISTINCT doc_lang) = 1 THEN max(doc_lang) END AS lang,
@@ -504,12 +537,19 @@ def covered_keys(spark, sf):
     return a.groupBy("speaker").agg(F.count_distinct("attack").alias("n"), F.concat_ws(",", F.sort_array(F.collect_set(F.col("attack").cast("string")))).alias("keys"))
 
 
-@query("recent_memory", "digest first_doc:l copies:l truncated:b", "WITH m AS (SELECT doc_id, md5(text) AS digest FROM documents ORDER BY doc_id DESC LIMIT 2000) SELECT digest, min(doc_id) AS first_doc, count(*) AS copies, (SELECT count(*) FROM documents) > 2000 AS truncated FROM m GROUP BY ALL HAVING count(*) > 1")
+@query("recent_memory", "doc_id:l match:l gap:l", """WITH m AS (SELECT doc_id, md5(text) AS digest, row_number() OVER (ORDER BY doc_id) AS pos FROM documents),
+ p AS (SELECT doc_id, lag(doc_id) OVER w AS match, pos - lag(pos) OVER w AS gap FROM m WINDOW w AS (PARTITION BY digest ORDER BY pos)) SELECT * FROM p WHERE gap <= 2000""")
 def recent_memory(spark, sf):
-    """Duplicates inside the latest 2,000 items, the bounded comparison set of the live check; says when older ones fell out."""
-    d = table(spark, sf, "documents")
-    m = d.orderBy(F.desc("doc_id")).limit(2000).groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).filter("copies > 1")
-    return m.join(F.broadcast(d.agg((F.count("*") > 2000).alias("truncated"))))  # one row
+    """Each arrival that repeats one of the 2,000 items before it, with the latest such item.
+
+    Arrivals are numbered; one meets its own block of 2,000 and the block before, by digest, so that a group holds two blocks however often a text repeats.
+    """
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"), F.lit(0).alias("_all"), F.floor(F.col("doc_id") / 4096).alias("_b"))
+    placed = rank_within(d, ["_all"], "_b", ["doc_id"], "pos").withColumn("_k", F.floor((F.col("pos") - 1) / 2000))
+    both = placed.select("doc_id", "digest", "pos", F.inline(F.array(F.struct(F.col("_k").alias("blk"), F.lit(True).alias("own")), F.struct((F.col("_k") + 1).alias("blk"), F.lit(False).alias("own")))))
+    w = Window.partitionBy("digest", "blk").orderBy("pos")
+    back = both.select("doc_id", "own", F.lag("doc_id").over(w).alias("match"), (F.col("pos") - F.lag("pos").over(w)).alias("gap"))
+    return back.filter("own AND gap <= 2000")
 
 
 @query("exact_dups", "doc_id:l first_doc:l", "WITH f AS (SELECT text, min(doc_id) AS first_doc FROM documents GROUP BY ALL) SELECT doc_id, first_doc FROM documents JOIN f USING (text) WHERE doc_id <> first_doc")

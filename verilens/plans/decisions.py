@@ -265,17 +265,51 @@ def veto_fit(spark, sf):
     return fit(spark, sf, 0.15)
 
 
-@query("fit_policy", "threshold:d floor:d far_removed:d frr_cost:d", f"""{_FIT}, {_BEST.format(b=0.02)}
- SELECT mt.eer_t AS threshold, floor, coalesce(far_removed, 0) AS far_removed, coalesce(frr_cost, 0) AS frr_cost FROM mt LEFT JOIN best ON true""")
-def fit_policy(spark, sf):
-    """Threshold on dev first, then the veto floor under that threshold (weights given)."""
-    return fit(spark, sf, 0.02)
+#: Seeds of the dev split for which weights are fitted.
+SEEDS = (0, 1, 2)
+
+
+def _seed_parts(seed: int) -> str:
+    return f"SELECT {seed} AS seed, t.* FROM ts t JOIN sk_{seed} a ON a.k = probe_speaker AND a.dev JOIN sk_{seed} b ON b.k = claimed AND b.dev"
+
+
+_DEV_ALL = f"""WITH {Q.TS}, sk AS (SELECT DISTINCT k FROM (SELECT probe_speaker AS k FROM ts UNION ALL SELECT claimed FROM ts)), """ + ", ".join(
+    f"sk_{s} AS (SELECT k, row_number() OVER (ORDER BY md5('{s}|' || k), k) <= least(greatest(2, round_even(n * 0.4::DOUBLE, 0)), n - 2) AS dev FROM sk, (SELECT count(*) AS n FROM sk) WHERE n >= 4)" for s in SEEDS) + f""",
+ da AS ({" UNION ALL ".join(_seed_parts(s) for s in SEEDS)}), {M.sql_fit('fw', 'da', 'seed')}"""
 
 
-@query("fusion_weights", "branch weight:d")
+def dev_of_seeds(spark, sf):
+    """Dev trials of each seed's speaker split."""
+    t = views.trial_scores(spark, sf)
+    out = None
+    for seed in SEEDS:
+        d = S.trial_parts(t, seed=seed).filter("part = 'dev'").withColumn("seed", F.lit(seed))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("fusion_weights", "seed:l branch weight:d coef:d", _DEV_ALL + " SELECT seed, unnest(['voice', 'graph', 'know']) AS branch, unnest([w_voice, w_graph, w_know]) AS weight, unnest([c0, c1, c2]) AS coef FROM fw")
 def fusion_weights(spark, sf):
-    """Weights fitted on the dev part alone."""
-    return M.fit_weights(S.trial_parts(views.trial_scores(spark, sf)).filter("part = 'dev'"))
+    """Weights fitted on the dev part alone, for every seed of the split at once."""
+    return M.fit_weights(dev_of_seeds(spark, sf), ["seed"])
+
+
+_FITTED = f"""{_DEV_ALL}, cfg AS (SELECT 'fitted' AS config, 0 AS ord, w_voice, w_graph, w_know, NULL::DOUBLE AS veto FROM fw WHERE seed = 0), {Q.fused('ts')}, {Q.parts('fu', 'probe_speaker', 'claimed')},
+ dv AS (SELECT * FROM sp WHERE part = 'dev'), {Q.curve('dv', 'config')}, {Q.metrics('config')}, grid AS (SELECT unnest([{', '.join(map(str, GRID))}]::DOUBLE[]) AS floor),
+ sw AS (SELECT floor, count(*) FILTER (NOT is_genuine AND score >= mt.eer_t AND s_graph < floor) / (count(*) FILTER (NOT is_genuine))::DOUBLE AS far_removed,
+  count(*) FILTER (is_genuine AND score >= mt.eer_t AND s_graph < floor) / (count(*) FILTER (is_genuine))::DOUBLE AS frr_cost, any_value(mt.eer_t) AS thr FROM dv CROSS JOIN mt CROSS JOIN grid GROUP BY floor)"""
+
+
+@query("fit_policy", "threshold:d floor:d far_removed:d frr_cost:d", f"""{_FITTED}, {_BEST.format(b=0.02)}
+ SELECT mt.eer_t AS threshold, floor, coalesce(far_removed, 0) AS far_removed, coalesce(frr_cost, 0) AS frr_cost FROM mt LEFT JOIN best ON true""")
+def fit_policy(spark, sf):
+    """Weights on dev first, then the threshold under them, then the veto floor under both."""
+    dev = S.trial_parts(views.trial_scores(spark, sf)).filter("part = 'dev'").transform(hold)
+    w = {r.branch: r.weight for r in M.fit_weights(dev).collect()}  # three numbers
+    fused = M.fuse(with_configs(dev, {"fitted": (w["voice"], w["graph"], w["know"])}, None)).transform(hold)
+    thr = C.metrics(fused, ["config"]).select(F.col("eer_t").alias("threshold"))
+    sweep = M.veto_sweep(fused.join(F.broadcast(thr)), F.col("threshold"), GRID, ["threshold"])  # one row
+    return M.veto_fit(sweep, F.col("threshold"), 0.02, ["threshold"])
 
 
 @query("threshold_rules", "config thr_eer:d far1:d far01:d", _CONF + """, k AS (SELECT config, score, row_number() OVER (PARTITION BY config ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY config) AS n FROM fu WHERE NOT is_genuine)
@@ -436,22 +470,31 @@ def enrollee_slices(spark, sf):
         F.count(F.lit(1)).alias("n"), F.avg((F.col("s_voice") < 0.62).cast("int")).alias("frr"), F.avg("s_voice").alias("mean"), F.min("s_voice").alias("low")).filter("n >= 5")
 
 
-_PW = "CASE " + " ".join(f"WHEN u < {p} THEN {k}" for k, p in enumerate(I.POISSON1)) + f" ELSE {len(I.POISSON1)} END"
-
-
 @query("cluster_bootstrap", "device n_clusters:l rate:d lo:d hi:d", f"""WITH {Q.TS}, c AS (SELECT device, probe_speaker, count(*) FILTER (s_voice < 0.5) AS k, count(*) AS n FROM ts WHERE is_genuine GROUP BY ALL),
- r AS (SELECT *, {_PW} AS w FROM (SELECT *, (('0x' || substr(md5(concat_ws('|', '7', rep, device, probe_speaker)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM c CROSS JOIN range(1, 1001) z(rep))),
+ r AS (SELECT device, k, n, unnest({I.sql_weights(1000, 7, 'device, probe_speaker')}) AS w, unnest(range(1000)) AS rep FROM c),
  b AS (SELECT device, rep, sum(w * k) / nullif(sum(w * n), 0)::DOUBLE AS rate FROM r GROUP BY ALL)
  SELECT device, (SELECT count(*) FROM c WHERE c.device = b.device) AS n_clusters, (SELECT sum(k) / sum(n)::DOUBLE FROM c WHERE c.device = b.device) AS rate,
  quantile_cont(rate, 0.025) AS lo, quantile_cont(rate, 0.975) AS hi FROM b GROUP BY ALL""")
 def cluster_bootstrap(spark, sf):
-    c = views.trial_scores(spark, sf).filter("is_genuine").groupBy("device", "probe_speaker").agg(F.count_if(F.col("s_voice") < 0.5).alias("k"), F.count(F.lit(1)).alias("n"))
-    return I.cluster_rate(c, ["device"], "probe_speaker", 1000, 7)
+    return I.cluster_rate(rejected(spark, sf), ["device"], "probe_speaker", 1000, 7)
+
+
+def rejected(spark, sf):
+    """Rejections and trials of each speaker on each device, at a fixed threshold."""
+    return views.trial_scores(spark, sf).filter("is_genuine").groupBy("device", "probe_speaker").agg(F.count_if(F.col("s_voice") < 0.5).alias("k"), F.count(F.lit(1)).alias("n"))
+
+
+@query("reported_interval", "device k:l n:l n_clusters:l rate:d lo:d hi:d informative:b", f"""WITH {Q.TS}, c AS (SELECT device, probe_speaker, count(*) FILTER (s_voice < 0.5) AS k, count(*) AS n FROM ts WHERE is_genuine GROUP BY ALL),
+ {I.sql_reported('ri', 'c', 'device', 'probe_speaker')} SELECT * FROM ri""")
+def reported_interval(spark, sf):
+    """The interval to print for each device's rejection rate."""
+    return I.reported_interval(rejected(spark, sf), ["device"], "probe_speaker")
 
 
-@query("eer_bootstrap", "config eer:d lo:d hi:d")
+@query("eer_bootstrap", "config eer:d lo:d hi:d", f"WITH {Q.TS}, {Q.configs(CONF_W, P.veto)}, {Q.fused('ts')}, {I.sql_eer_interval('bi', 'fu', 'config')} SELECT * FROM bi")
 def eer_bootstrap(spark, sf):
-    return I.eer_interval(scored(spark, sf, {k: CONF_W[k] for k in ("voice alone", "full")}), ["config"], replicates=100)
+    """EER of every configuration with its interval over 1,000 replicates."""
+    return I.eer_interval(scored(spark, sf), ["config"])
 
 
 @query("yield_summary", "attack:l generated:l annotated:l admissible:l yield:d sources:l mean_similarity:d", f"""WITH {Q.ATT} SELECT attack, count(*) AS generated, count(integrity) AS annotated,

@@ -82,18 +82,16 @@ _LF = """wf AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(rege
  lf AS (SELECT doc_id, len(ws) AS n, CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda x: regexp_matches(x, '\\p{Latin}'))) / len(ws)::DOUBLE ELSE 0 END AS f FROM wf)"""
 
 
-@query("latin_fraction", "doc_id:l n:l fraction:d comparable:b", f"WITH {_LF} SELECT doc_id, n, f AS fraction, abs(f - (SELECT avg(f) FROM lf)) <= 0.5 AS comparable FROM lf")
+@query("latin_fraction", "doc_id:l n:l fraction:d", f"WITH {_LF} SELECT doc_id, n, f AS fraction FROM lf")
 def latin_fraction(spark, sf):
     d = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", "text")
     w = compute_once(d, ["doc_id"], w=X.wer_words(F.col("text")))
-    f = compute_once(w, ["doc_id"], n=F.size("w"), k=F.size(F.filter("w", X.is_latin))).withColumn("fraction", F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.0)).transform(hold)
-    m = f.agg(F.avg("fraction").alias("m"))  # one row
-    return f.join(F.broadcast(m)).withColumn("comparable", F.abs(F.col("fraction") - F.col("m")) <= 0.5)
+    return compute_once(w, ["doc_id"], n=F.size("w"), k=F.size(F.filter("w", X.is_latin))).withColumn("fraction", F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.0))
 
 
-# Transcripts against references: the same words, swapped, with an insertion, or unrelated.
+# Transcripts against references: the same words, swapped, with an insertion, in another script, or none.
 _WER = """wr AS (SELECT p_partkey AS id, p_brand AS brand, lower(p_name || ' ' || p_type || ' steel box') AS ref, CASE p_partkey % 4 WHEN 0 THEN lower(p_name || ' ' || p_type || ' steel box') WHEN 1 THEN lower(p_type || ' ' || p_name || ' box')
- WHEN 2 THEN lower(p_name || ' uh ' || p_type || ' steel') ELSE '' END AS hyp FROM part)"""
+ WHEN 2 THEN lower(p_name || ' uh ' || p_type || ' steel') ELSE CASE WHEN p_partkey % 8 = 3 THEN 'совсем другие слова steel' ELSE '' END END AS hyp FROM part)"""
 
 
 def wer_pairs(spark, sf):
@@ -101,30 +99,52 @@ def wer_pairs(spark, sf):
     name, kind, k = F.lower("p_name"), F.lower("p_type"), F.col("p_partkey") % 4
     sp = F.lit(" ")
     ref = F.concat(name, sp, kind, F.lit(" steel box"))
-    hyp = F.when(k == 0, ref).when(k == 1, F.concat(kind, sp, name, F.lit(" box"))).when(k == 2, F.concat(name, F.lit(" uh "), kind, F.lit(" steel"))).otherwise("")
+    hyp = F.when(k == 0, ref).when(k == 1, F.concat(kind, sp, name, F.lit(" box"))).when(k == 2, F.concat(name, F.lit(" uh "), kind, F.lit(" steel"))).when(F.col("p_partkey") % 8 == 3, "совсем другие слова steel").otherwise("")
     return p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), ref.alias("ref"), hyp.alias("hyp"))
 
 
 def wer_rows(spark, sf):
+    """Word error rate over all words and over Latin ones, and whether the two sides are in the same script often enough to compare."""
     w = compute_once(wer_pairs(spark, sf), ["id", "brand"], r=X.wer_words(F.col("ref")), h=X.wer_words(F.col("hyp")))
-    return compute_once(w, ["id", "brand"], wer=X.word_error_rate(F.col("r"), F.col("h")))
+    w = compute_once(w, ["id", "brand", "r", "h"], rl=F.filter("r", X.is_latin), hl=F.filter("h", X.is_latin))
+    share = lambda part, whole: F.when(F.size(whole) > 0, F.size(part) / F.size(whole)).otherwise(F.lit(0.0))
+    return compute_once(w, ["id", "brand"], wer=X.word_error_rate(F.col("r"), F.col("h")), latin_wer=X.word_error_rate(F.col("rl"), F.col("hl")),
+                        ref_latin=share("rl", "r"), hyp_latin=share("hl", "h")).withColumn("comparable", F.abs(F.col("ref_latin") - F.col("hyp_latin")) <= 0.5)
+
+
+def _coded(words: str) -> str:
+    """SQL for a text with one character a word."""
+    return f"coalesce((SELECT string_agg(c, '' ORDER BY i) FROM (SELECT unnest({words}) AS w, generate_subscripts({words}, 1) AS i) JOIN vo USING (w)), '')"
+
+
+def _rate(r: str, h: str) -> str:
+    return f"CASE WHEN {r} = '' THEN ({h} <> '')::INT ELSE levenshtein({r}, {h}) / length({r})::DOUBLE END"
 
 
 # Words become single characters, so character Levenshtein is word Levenshtein.
-_WERC = _WER + """, vo AS (SELECT w, chr((row_number() OVER (ORDER BY w) + 40)::INT) AS c FROM (SELECT DISTINCT unnest(string_split(ref || ' uh', ' ')) AS w FROM wr)),
- en AS (SELECT id, brand, coalesce((SELECT string_agg(c, '' ORDER BY i) FROM (SELECT unnest(string_split(ref, ' ')) AS w, generate_subscripts(string_split(ref, ' '), 1) AS i) JOIN vo USING (w)), '') AS r,
-  coalesce((SELECT string_agg(c, '' ORDER BY i) FROM (SELECT unnest(string_split(hyp, ' ')) AS w, generate_subscripts(string_split(hyp, ' '), 1) AS i) JOIN vo USING (w)), '') AS h FROM wr),
- we AS (SELECT id, brand, levenshtein(r, h) / length(r)::DOUBLE AS wer FROM en)"""
+_WERC = _WER + f""", ws AS (SELECT id, brand, string_split(ref, ' ') AS r, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS h FROM wr),
+ vo AS (SELECT w, chr((row_number() OVER (ORDER BY w) + 40)::INT) AS c FROM (SELECT DISTINCT unnest(list_concat(r, h)) AS w FROM ws)),
+ wl AS (SELECT *, list_filter(r, lambda x: regexp_matches(x, '\\p{{Latin}}')) AS rl, list_filter(h, lambda x: regexp_matches(x, '\\p{{Latin}}')) AS hl FROM ws),
+ en AS (SELECT *, {_coded('r')} AS rc, {_coded('h')} AS hc, {_coded('rl')} AS rlc, {_coded('hl')} AS hlc FROM wl),
+ we AS (SELECT id, brand, {_rate('rc', 'hc')} AS wer, {_rate('rlc', 'hlc')} AS latin_wer, len(rl) / len(r)::DOUBLE AS ref_latin, CASE WHEN len(h) > 0 THEN len(hl) / len(h)::DOUBLE ELSE 0 END AS hyp_latin FROM en)"""
 
 
-@query("wer", "id:l wer:d", f"WITH {_WERC} SELECT * FROM we")
+@query("wer", "id:l wer:d latin_wer:d", f"WITH {_WERC} SELECT * FROM we")
 def wer(spark, sf):
     return wer_rows(spark, sf)
 
 
-@query("wer_by_group", "brand n:l wer:d", f"WITH {_WERC} SELECT brand, count(*) AS n, avg(wer) AS wer FROM we GROUP BY ROLLUP (brand)")
+@query("transcripts_comparable", "id:l ref_latin:d hyp_latin:d comparable:b", f"WITH {_WERC} SELECT *, abs(ref_latin - hyp_latin) <= 0.5 AS comparable FROM we")
+def transcripts_comparable(spark, sf):
+    """Whether an error rate between two transcripts would mean anything: their shares of Latin words are near."""
+    return wer_rows(spark, sf)
+
+
+@query("wer_by_group", "brand n:l wer:d latin_wer:d not_comparable:l comparable_wer:d", f"""WITH {_WERC} SELECT brand, count(*) AS n, avg(wer) AS wer, avg(latin_wer) AS latin_wer, count(*) FILTER (abs(ref_latin - hyp_latin) > 0.5) AS not_comparable,
+ avg(wer) FILTER (abs(ref_latin - hyp_latin) <= 0.5) AS comparable_wer FROM we GROUP BY ROLLUP (brand)""")
 def wer_by_group(spark, sf):
-    return wer_rows(spark, sf).rollup("brand").agg(F.count("*").alias("n"), F.avg("wer").alias("wer"))
+    return wer_rows(spark, sf).rollup("brand").agg(F.count("*").alias("n"), F.avg("wer").alias("wer"), F.avg("latin_wer").alias("latin_wer"), F.count_if(~F.col("comparable")).alias("not_comparable"),
+                                                   F.avg(F.when(F.col("comparable"), F.col("wer"))).alias("comparable_wer"))
 
 
 # Answers to a stored value: verbatim, inside a sentence, misspelt, or something else.
@@ -187,9 +207,10 @@ def compare_matchers(spark, sf):
                                     F.avg(F.when(F.col("should"), 1 - i)).alias("frr"), F.avg(F.when(~F.col("should"), i)).alias("far"))
 
 
-# Phrases: the 3rd, 6th and 10th word of a text in order (swapped when the id divides by 4), plus a word that never occurs when it divides by 3.
-_PHR = Q.UTT + """, hd AS (SELECT utt, session, regexp_extract_all(lower(text), '[a-z]+') AS h FROM utt),
-ex AS (SELECT *, CASE WHEN utt % 4 = 0 THEN [h[10], h[3], h[6]] WHEN utt % 3 = 0 THEN [h[3], 'zzz', h[10]] ELSE [h[3], h[6], h[10]] END AS e FROM hd WHERE len(h) >= 10),
+# Phrases: the 3rd, 6th and 10th word of a text (its last where it is shorter) in order, swapped when the id divides by 4, with a word that never occurs when it divides by 3. A text without words scores 0.
+_PHR = Q.UTT + """, hd AS (SELECT utt, session, regexp_extract_all(lower(text), '\\p{L}+') AS h FROM utt),
+h3 AS (SELECT *, h[least(3, len(h))] AS x, h[least(6, len(h))] AS y, h[least(10, len(h))] AS z FROM hd),
+ex AS (SELECT *, CASE WHEN len(h) = 0 THEN [NULL, NULL, NULL] WHEN utt % 4 = 0 THEN [z, x, y] WHEN utt % 3 = 0 THEN [x, 'zzz', z] ELSE [x, y, z] END AS e FROM h3),
 p1 AS (SELECT *, coalesce(list_position(h, e[1]), 0) AS a FROM ex), p2 AS (SELECT *, coalesce(list_position(h[a + 1:], e[2]), 0) AS b0 FROM p1),
 p3 AS (SELECT *, CASE WHEN b0 > 0 THEN a + b0 ELSE a END AS b FROM p2), p4 AS (SELECT *, coalesce(list_position(h[b + 1:], e[3]), 0) AS c0 FROM p3),
 ph AS (SELECT utt, session, (a > 0)::INT + (b0 > 0)::INT + (c0 > 0)::INT AS matched, ((a > 0)::INT + (b0 > 0)::INT + (c0 > 0)::INT) / 3.0::DOUBLE AS score,
@@ -197,15 +218,15 @@ ph AS (SELECT utt, session, (a > 0)::INT + (b0 > 0)::INT + (c0 > 0)::INT AS matc
 
 
 def phrases(spark, sf):
-    u = compute_once(views.utterances(spark, sf), ["utt", "session"], heard=F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).filter(F.size("heard") >= 10)
-    w = lambda i: F.element_at("heard", i)
-    e = F.when(F.col("utt") % 4 == 0, F.array(w(10), w(3), w(6))).when(F.col("utt") % 3 == 0, F.array(w(3), F.lit("zzz"), w(10))).otherwise(F.array(w(3), w(6), w(10)))
+    u = compute_once(views.utterances(spark, sf), ["utt", "session"], heard=F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    w = lambda i: F.get("heard", F.least(F.lit(i), F.size("heard")) - 1)
+    e = F.when(F.size("heard") == 0, F.array().cast("array<string>")).when(F.col("utt") % 4 == 0, F.array(w(10), w(3), w(6))).when(F.col("utt") % 3 == 0, F.array(w(3), F.lit("zzz"), w(10))).otherwise(F.array(w(3), w(6), w(10)))
     return u.withColumn("expected", e)
 
 
 def phrase_rows(p, close=None):
     r = compute_once(p, ["utt", "session", "expected"], r=K.phrase_hits(F.col("expected"), F.col("heard"), close))
-    return r.select("utt", "session", F.size("r.hits").alias("matched"), (F.size("r.hits") / F.size("expected")).alias("score"), F.col("r.missing").alias("_m"), F.concat_ws(",", "r.missing").alias("missing"))
+    return r.select("utt", "session", F.size("r.hits").alias("matched"), F.coalesce(F.try_divide(F.size("r.hits"), F.size("expected")), F.lit(0.0)).alias("score"), F.col("r.missing").alias("_m"), F.concat_ws(",", "r.missing").alias("missing"))
 
 
 @query("phrase_match", "utt:l matched:l score:d missing", f"WITH {_PHR} SELECT * FROM ph")
@@ -230,13 +251,14 @@ def phrase_pass_rate(spark, sf):
     return s.join(top, "session", "left").withColumn("top_missing", F.col("t.w"))
 
 
-@query("fuzzy_vocab_pairs", "a b ratio:d", """WITH v AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM benchmark) WHERE regexp_matches(lower(w), '^[a-z]{3,}$'))
- SELECT x.w AS a, y.w AS b, 1 - levenshtein(x.w, y.w) / greatest(length(x.w), length(y.w))::DOUBLE AS ratio FROM v x JOIN v y ON x.w < y.w AND ratio >= 0.8 - 1e-9""".replace("AND ratio >=", "AND 1 - levenshtein(x.w, y.w) / greatest(length(x.w), length(y.w))::DOUBLE >="))
+@query("fuzzy_vocab_pairs", "a b ratio:d", r"""WITH v AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM benchmark)),
+ o AS (SELECT string_agg(c, '' ORDER BY c) AS letters, count(*)::INT AS n FROM (SELECT DISTINCT c FROM (SELECT unnest(string_split(w, '')) AS c FROM v) WHERE c > '~')),
+ s AS (SELECT w, translate(w, letters, substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^_{|}~', 1, n)) AS k FROM v, o)
+ SELECT x.w AS a, y.w AS b, 1 - levenshtein(x.k, y.k) / greatest(length(x.k), length(y.k))::DOUBLE AS ratio FROM s x JOIN s y ON x.w < y.w AND 1 - levenshtein(x.k, y.k) / greatest(length(x.k), length(y.k))::DOUBLE >= 0.8 - 1e-9""")
 def fuzzy_vocab_pairs(spark, sf):
-    """Words of a vocabulary that come within fuzzy reach of one another."""
+    """Words of a vocabulary that come within fuzzy reach of one another. (The SQL maps other letters to single bytes, which its distance counts.)"""
     b = spread(table(spark, sf, "benchmark"), "item_id").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    # ASCII words only: the SQL engine of the check counts bytes in levenshtein.
-    return K.fuzzy_pairs(b.select(F.lower("w").alias("word")).filter(F.col("word").rlike("^[a-z]{3,}$")).distinct())
+    return K.fuzzy_pairs(b.select(F.lower("w").alias("word")).distinct())
 
 
 @query("probe_windows", "doc_id:l piece:l n:l digest", """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents), w AS (SELECT doc_id, unnest(range(0, greatest(n, 1), 400)) AS s, text, n FROM d)

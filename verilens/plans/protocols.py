@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verilens.functions.stats import hashed, wilson
 from verilens.operators import corpus as H
 from verilens.operators import curves as C
 from verilens.operators import llr as L
@@ -88,112 +87,6 @@ def scores_trimmed(spark, sf):
     return V.trials_against(test, V.trimmed_templates(test), test.select("speaker", "session").distinct())
 
 
-def variant_trials(spark, sf):
-    """Every scoring variant in one table; the variant is a group column from here on."""
-    keep = ["vec_id", "probe_speaker", "session", "claimed", "fold", "is_genuine", "score"]
-    parts = [("baseline", V.holdout_trials(base(spark, sf)[0])), ("meansub", scores_meansub(spark, sf)), ("asnorm", scores_asnorm(spark, sf)), ("trimmed", scores_trimmed(spark, sf))]
-    out = None
-    for i, (name, t) in enumerate(parts):
-        t = t.select(F.lit(name).alias("variant"), F.lit(i).alias("ord"), *keep)
-        out = t if out is None else out.unionByName(t)
-    return out
-
-
-# Even probes are dev, odd ones test.
-_VAR = f"""{_asnorm_sql(_TRIM)}, {VEC_MS.replace('vec AS', 'm_vec AS').replace('FROM vec)', 'FROM m_vec)').replace('uv0', 'm_uv0').replace(' uv AS', ' m_uv AS').replace('''
-uv AS''', '''
-m_uv AS''').replace('mu AS (SELECT list', 'm_mu AS (SELECT list').replace('m_uv0, mu)', 'm_uv0, m_mu)').replace(' FROM uv)', ' FROM m_uv)').replace('dims AS', 'm_dims AS')},
- m_folds AS (SELECT DISTINCT speaker, session AS fold FROM m_uv),
- m_tm AS (SELECT claimed, fold, {_U('c')} AS c FROM (SELECT claimed, fold, list(x ORDER BY d) AS c FROM (SELECT f.speaker AS claimed, f.fold, d, avg(x) AS x FROM m_folds f JOIN m_dims ON m_dims.speaker = f.speaker AND m_dims.session <> f.fold GROUP BY ALL) GROUP BY ALL)),
- vt AS (SELECT 'baseline' AS variant, 0 AS ord, vec_id, probe_speaker, session, claimed, fold, is_genuine, score FROM trials WHERE {_TEST}
- UNION ALL SELECT 'meansub', 1, vec_id, speaker, session, claimed, fold, speaker = claimed, list_dot_product(v, c) FROM m_uv JOIN m_tm ON speaker <> claimed OR session = fold WHERE speaker NOT IN {NORM} AND claimed NOT IN {NORM}
- UNION ALL SELECT 'asnorm', 2, vec_id, probe_speaker, session, claimed, fold, is_genuine, score FROM az
- UNION ALL SELECT 'trimmed', 3, vec_id, probe_speaker, session, claimed, fold, is_genuine, score FROM tr2 WHERE {_TEST}),
- vd AS (SELECT * FROM vt WHERE vec_id % 2 = 0), ve AS (SELECT * FROM vt WHERE vec_id % 2 = 1),
- {Q.curve('vd', 'variant', 'dc')}, {Q.metrics('variant', 'dc', 'dm')}, {Q.curve('ve', 'variant', 'tc')}, {Q.metrics('variant', 'tc', 'tm')}"""
-
-
-def dev_and_test(t):
-    dev = C.metrics(t.filter("vec_id % 2 = 0"), ["variant"], far_targets={"far1": 0.01}).select("variant", F.col("eer").alias("dev_eer"), "thr_eer", "far1")
-    return dev, t.filter("vec_id % 2 = 1")
-
-
-@query("variant_select", "variant dev_eer:d ties:l", f"WITH {_VAR} SELECT variant, eer AS dev_eer, (SELECT count(*) FROM dm x WHERE abs(x.eer - dm.eer) < 1e-12) AS ties FROM dm JOIN (SELECT DISTINCT variant, ord FROM vt) USING (variant) ORDER BY round(eer, 9), ord LIMIT 1")
-def variant_select(spark, sf):
-    """Lowest dev EER, ties by registered order."""
-    t = variant_trials(spark, sf)
-    dev, _ = dev_and_test(t)
-    order = F.when(F.col("variant") == "baseline", 0).when(F.col("variant") == "meansub", 1).when(F.col("variant") == "asnorm", 2).otherwise(3)
-    best = dev.agg(F.min(F.struct(F.round("dev_eer", 9).alias("r"), order.alias("o"), "variant", "dev_eer")).alias("b"), F.collect_list("dev_eer").alias("all"))  # a row per variant
-    return best.select("b.variant", "b.dev_eer", F.size(F.filter("all", lambda e: F.abs(e - F.col("b.dev_eer")) < 1e-12)).alias("ties"))
-
-
-@query("poc_protocol", "variant dev_eer:d eer:d min_dcf:d auc:d delta_eer:d better:b", f"""WITH {_VAR} SELECT t.variant, d.eer AS dev_eer, t.eer, t.min_dcf, t.auc, t.eer - b.eer AS delta_eer, t.eer < b.eer AND t.min_dcf < b.min_dcf AS better
- FROM tm t JOIN dm d USING (variant) CROSS JOIN (SELECT eer, min_dcf FROM tm WHERE variant = 'baseline') b""")
-def poc_protocol(spark, sf):
-    """Held-out-session protocol for every variant at once: dev EER, test metrics and the change against the baseline."""
-    t = variant_trials(spark, sf).transform(hold)
-    dev, test = dev_and_test(t)
-    m = C.metrics(test, ["variant"]).select("variant", "eer", "min_dcf", "auc")
-    b = m.filter("variant = 'baseline'").select(F.col("eer").alias("be"), F.col("min_dcf").alias("bd"))
-    return m.join(dev, "variant").join(F.broadcast(b)).withColumn("delta_eer", F.col("eer") - F.col("be")).withColumn("better", (F.col("eer") < F.col("be")) & (F.col("min_dcf") < F.col("bd")))
-
-
-_KLO, _KHI = Q.wilson("false_rejects", "n_gen")
-
-
-@query("operating_points", "variant rule threshold:d false_rejects:l n_gen:l false_accepts:l n_imp:l frr_lo:d frr_hi:d", f"""WITH {_VAR},
- ko AS (SELECT variant, score, row_number() OVER (PARTITION BY variant ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY variant) AS n FROM vd WHERE NOT is_genuine),
- th AS (SELECT variant, 'eer' AS rule, thr_eer AS threshold FROM dm UNION ALL SELECT variant, 'far1', score FROM ko WHERE r = least(floor(0.01::DOUBLE * n), n - 1) + 1),
- op AS (SELECT variant, rule, threshold, count(*) FILTER (is_genuine AND (score < threshold OR (rule = 'far1' AND score = threshold))) AS false_rejects, count(*) FILTER (is_genuine) AS n_gen,
-  count(*) FILTER (NOT is_genuine AND (score > threshold OR (rule = 'eer' AND score = threshold))) AS false_accepts, count(*) FILTER (NOT is_genuine) AS n_imp FROM ve JOIN th USING (variant) GROUP BY ALL)
- SELECT *, {_KLO} AS frr_lo, {_KHI} AS frr_hi FROM op""")
-def operating_points(spark, sf):
-    """Thresholds fitted on dev and applied unchanged to test. The FAR rule accepts strictly above its order statistic."""
-    t = variant_trials(spark, sf).transform(hold)
-    dev, test = dev_and_test(t)
-    rules = dev.select("variant", F.expr("stack(2, 'eer', thr_eer, 'far1', far1) AS (rule, threshold)"))
-    j = test.join(F.broadcast(rules), "variant")
-    above = F.when(F.col("rule") == "far1", F.col("score") > F.col("threshold")).otherwise(F.col("score") >= F.col("threshold"))
-    g = F.col("is_genuine")
-    lo, hi = wilson(F.col("false_rejects"), F.col("n_gen"))
-    return j.groupBy("variant", "rule", "threshold").agg(
-        F.count_if(g & ~above).alias("false_rejects"), F.count_if(g).alias("n_gen"), F.count_if(~g & above).alias("false_accepts"), F.count_if(~g).alias("n_imp"),
-    ).withColumn("frr_lo", lo).withColumn("frr_hi", hi)
-
-
-@query("attack_report", "variant claimed:l fold:l n:l accepted:l mean:d top:d lo:d hi:d", f"""WITH {_VAR}, a AS (SELECT e.variant, e.claimed, e.fold, e.score, d.thr_eer FROM ve e JOIN dm d USING (variant) WHERE NOT is_genuine),
- g AS (SELECT variant, claimed, fold, count(*) AS n_trials, count(*) FILTER (score >= thr_eer) AS n_accepted, avg(score) AS mean, max(score) AS top FROM a GROUP BY ALL)
- SELECT variant, claimed, fold, n_trials AS n, n_accepted AS accepted, mean, top, {Q.wilson('n_accepted', 'n_trials')[0]} AS lo, {Q.wilson('n_accepted', 'n_trials')[1]} AS hi FROM g""")
-def attack_report(spark, sf):
-    """Probes aimed at each enrollee's held-out templates, accepted under the dev threshold, per fold."""
-    t = variant_trials(spark, sf).transform(hold)
-    dev, test = dev_and_test(t)
-    lo, hi = wilson(F.col("accepted"), F.col("n"))
-    return test.filter("not is_genuine").join(F.broadcast(dev), "variant").groupBy("variant", "claimed", "fold").agg(
-        F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("thr_eer")).alias("accepted"), F.avg("score").alias("mean"), F.max("score").alias("top")).withColumn("lo", lo).withColumn("hi", hi)
-
-
-_POP = f"""{Q.TRIALS}, pk AS (SELECT k, row_number() OVER (ORDER BY md5('7|' || k), k) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT speaker AS k FROM uv)),
- pp AS (SELECT k, CASE WHEN r <= round_even(n * 0.5::DOUBLE, 0) THEN 'dev' ELSE 'test' END AS part FROM pk),
- pt AS (SELECT t.*, a.part FROM trials t JOIN pp a ON a.k = probe_speaker JOIN pp b ON b.k = claimed AND b.part = a.part), {Q.curve('pt', 'part')}, {Q.metrics('part')}"""
-
-
-def population(spark, sf):
-    u = units(spark, sf)
-    k = rank_by_digest(u.select(F.col("speaker").alias("k")).distinct().withColumn("_h", hashed(7, F.col("k"))), [], "_h", ["k"], "rn", "n")
-    parts = k.select("k", F.when(F.col("rn") <= F.bround(F.col("n") * 0.5, 0), "dev").otherwise("test").alias("part"))
-    p = small_side(parts, sized_by=u.select("speaker").distinct())
-    t = V.holdout_trials(u)
-    return t.join(p.select(F.col("k").alias("probe_speaker"), "part"), "probe_speaker").join(p.select(F.col("k").alias("claimed"), F.col("part").alias("_p")), "claimed").filter("part = _p")
-
-
-@query("population_protocol", "part n_gen:l n_imp:l eer:d min_dcf:d auc:d gen_min:d imp_max:d", f"WITH {_POP} SELECT * FROM mt")
-def population_protocol(spark, sf):
-    """Many enrollees, dev and test split by speaker; impostors are the part's other speakers."""
-    return C.metrics(population(spark, sf), ["part"])
-
-
 @query("seed_sweep", "lowest:d median:d highest:d n:l", f"""WITH {Q.TRIALS}, sd AS (SELECT s FROM range(1, 8) r(s)), k0 AS (SELECT DISTINCT speaker AS k FROM uv),
  pk AS (SELECT s, k, row_number() OVER (PARTITION BY s ORDER BY md5(s || '|' || k), k) AS r, count(*) OVER (PARTITION BY s) AS n FROM sd CROSS JOIN k0),
  st AS (SELECT a.s AS seed, t.* FROM trials t JOIN pk a ON a.k = probe_speaker AND a.r > round_even(a.n * 0.5::DOUBLE, 0) JOIN pk b ON b.k = claimed AND b.s = a.s AND b.r > round_even(b.n * 0.5::DOUBLE, 0)),
@@ -219,7 +112,7 @@ def length_artefact(spark, sf):
     return C.metrics(trials(spark, sf).withColumn("kind", F.explode(tags)), ["kind"]).withColumn("eer", F.col("eer_nearest"))
 
 
-@query("budget_curve", "budget:l eer:d genuine_mean:d", f"""WITH {Q.VEC}, f AS (SELECT DISTINCT speaker, session AS fold FROM uv), b AS (SELECT unnest([1, 2, 5, 10, 9223372036854775807]) AS budget),
+@query("budget_curve", "budget:l eer:d genuine_mean:d", f"""WITH {Q.VEC}, f AS (SELECT DISTINCT speaker, session AS fold FROM uv), b AS (SELECT unnest([1, 2, 5, 10, 20, 9223372036854775807]) AS budget),
  en AS (SELECT f.speaker, fold, vec_id, row_number() OVER (PARTITION BY f.speaker, fold ORDER BY vec_id) AS r FROM f JOIN uv ON uv.speaker = f.speaker AND session <> fold),
  bt AS (SELECT budget, claimed, fold, {_U('c')} AS c FROM (SELECT budget, claimed, fold, list(x ORDER BY d) AS c FROM (SELECT budget, en.speaker AS claimed, fold, d, avg(x) AS x FROM en JOIN dims USING (vec_id) JOIN b ON r <= budget GROUP BY ALL) GROUP BY ALL)),
  bs AS (SELECT budget, speaker = claimed AS is_genuine, list_dot_product(v, c) AS score FROM uv JOIN bt ON speaker <> claimed OR session = fold), {Q.curve('bs', 'budget')}, {Q.metrics('budget')}
@@ -230,7 +123,7 @@ def budget_curve(spark, sf):
     folds = small_side(u.select(F.col("speaker").alias("claimed"), F.col("session").alias("fold")).distinct())
     en = u.join(folds, (F.col("speaker") == F.col("claimed")) & (F.col("session") != F.col("fold"))).withColumn("_b", F.floor(F.col("vec_id") / 4096))
     r = rank_within(en, ["claimed", "fold"], "_b", ["vec_id"], "rn")
-    budgets = F.array(*[F.lit(b).cast("long") for b in (1, 2, 5, 10, ALL)])
+    budgets = F.array(*[F.lit(b).cast("long") for b in (1, 2, 5, 10, 20, ALL)])
     r = r.withColumn("budget", F.explode(budgets)).filter("rn <= budget")
     t = V.centroids(r, ["budget", "claimed", "fold"]).select("budget", "claimed", "fold", "c")
     sized = folds.select("claimed", "fold").withColumn("b", F.explode(budgets))
@@ -358,24 +251,6 @@ def branch_scores(spark, sf):
     return t.withColumn("score", F.when(ok, (F.col("m") + 1) / 2)).withColumn("reason", F.when(ok, "ok").otherwise("too_few_clips"))
 
 
-@query("enrollee_eval", "claimed:l frr:d far:d n_gen:l n_imp:l frr_hi:d far_hi:d threshold:d fitted_frr:d fitted_far:d", f"""WITH {Q.TRIALS}, e AS (SELECT * FROM trials WHERE fold = 2),
- s AS (SELECT claimed, count(*) FILTER (is_genuine AND score < 0.05) AS fr, count(*) FILTER (is_genuine) AS n_gen, count(*) FILTER (NOT is_genuine AND score >= 0.05) AS fa, count(*) FILTER (NOT is_genuine) AS n_imp FROM e GROUP BY ALL),
- dv AS (SELECT * FROM trials WHERE fold = 1 AND (is_genuine OR probe_speaker % 2 = 0)), {Q.curve('dv', 'claimed')}, {Q.metrics('claimed')},
- f AS (SELECT e.claimed, any_value(thr_eer) AS threshold, avg((score < thr_eer)::INT) FILTER (is_genuine) AS fitted_frr, avg((score >= thr_eer)::INT) FILTER (NOT is_genuine AND probe_speaker % 2 = 1) AS fitted_far FROM e JOIN mt ON mt.claimed = e.claimed GROUP BY e.claimed)
- SELECT s.claimed, fr / n_gen::DOUBLE AS frr, fa / n_imp::DOUBLE AS far, n_gen, n_imp, {Q.wilson('fr', 'n_gen')[1]} AS frr_hi, {Q.wilson('fa', 'n_imp')[1]} AS far_hi, threshold, fitted_frr, fitted_far FROM s JOIN f ON f.claimed = s.claimed""")
-def enrollee_eval(spark, sf):
-    """Held-out rates of each enrollee at a system threshold, and at one fitted on another session and half of the strangers."""
-    t = trials(spark, sf).transform(hold)
-    test, g = t.filter("fold = 2"), F.col("is_genuine")
-    dev = t.filter("fold = 1 and (is_genuine or probe_speaker % 2 = 0)")
-    thr = C.metrics(dev, ["claimed"]).select("claimed", F.col("thr_eer").alias("threshold"))
-    r = test.join(thr, "claimed").groupBy("claimed", "threshold").agg(
-        F.count_if(g & (F.col("score") < 0.05)).alias("fr"), F.count_if(g).alias("n_gen"), F.count_if(~g & (F.col("score") >= 0.05)).alias("fa"), F.count_if(~g).alias("n_imp"),
-        F.avg(F.when(g, (F.col("score") < F.col("threshold")).cast("int"))).alias("fitted_frr"),
-        F.avg(F.when(~g & (F.col("probe_speaker") % 2 == 1), (F.col("score") >= F.col("threshold")).cast("int"))).alias("fitted_far"))
-    return r.withColumn("frr", F.col("fr") / F.col("n_gen")).withColumn("far", F.col("fa") / F.col("n_imp")).withColumn("frr_hi", wilson(F.col("fr"), F.col("n_gen"))[1]).withColumn("far_hi", wilson(F.col("fa"), F.col("n_imp"))[1])
-
-
 @query("calibration_report", "kind grp:l n:l mean:d p99:d p999:d top:d rate:d", f"""WITH {Q.TRIALS}, c AS (SELECT CASE WHEN is_genuine THEN 'owner' ELSE 'strangers' END AS kind, fold AS grp, score FROM trials)
  SELECT kind, grp, count(*) AS n, avg(score) AS mean, quantile_cont(score, 0.99) AS p99, quantile_cont(score, 0.999) AS p999, max(score) AS top, avg((score >= 0.1)::INT) AS rate FROM c GROUP BY ALL""")
 def calibration_report(spark, sf):

@@ -12,7 +12,7 @@ from verilens.operators import series as R
 from verilens.operators import state as ST
 from verilens.operators.scan import exact_quantiles, running, time_bucket
 from verilens.plans.registry import query
-from verilens.sources import views
+from verilens.sources import versioned, views
 from verilens.sources.tables import small_side, table
 from verilens.sources.held import hold
 
@@ -184,7 +184,7 @@ def span_filter(spark, sf):
 
 # ------------------------------------------------------------ facts
 
-PREDICATES = ("nation", "segment", "balance", "name")
+PREDICATES = ("balance", "nation", "priority", "segment")
 
 
 def facts(spark, sf):
@@ -194,13 +194,39 @@ def facts(spark, sf):
 
 
 _FACTS = "facts AS (SELECT c_custkey AS speaker, 'nation' AS predicate, n_name AS value FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer)"
+_CHANGES = """ch AS (SELECT c_custkey AS speaker, 'nation' AS predicate, n_name AS value, DATE '1970-01-01' AS day, 0 AS seq, false AS removed FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey
+ UNION ALL SELECT c_custkey, 'segment', c_mktsegment, DATE '1970-01-01', 0, false FROM customer UNION ALL SELECT c_custkey, 'balance', CASE WHEN c_acctbal >= 0 THEN c_acctbal::BIGINT::VARCHAR END, DATE '1970-01-01', 0, false FROM customer
+ UNION ALL SELECT o_custkey, 'priority', o_orderpriority, o_orderdate::DATE, o_orderkey, o_orderstatus = 'P' FROM orders),
+ st AS (SELECT speaker, predicate, arg_max({'v': value, 'r': removed}, (day, seq)) AS m FROM ch GROUP BY ALL), now AS (SELECT speaker, predicate, m.v AS value FROM st WHERE NOT m.r)"""
 
 
-@query("fact_completeness", "speaker:l n:l completeness:d missing", f"WITH {_FACTS} SELECT speaker, count(DISTINCT predicate) AS n, count(DISTINCT predicate) / 4.0 AS completeness, 'balance,name' AS missing FROM facts WHERE value IS NOT NULL GROUP BY ALL")
+def fact_changes(spark, sf):
+    """The log of changes to facts: what is known of a customer from the start, and each order's priority, which an open order takes away again."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    c = table(spark, sf, "customer").join(small_side(n), "c_nationkey", "left").withColumn("balance", F.when(F.col("c_acctbal") >= 0, F.bround("c_acctbal").cast("long").cast("string")))
+    first = c.select(F.col("c_custkey").alias("speaker"), F.expr("stack(3, 'nation', n_name, 'segment', c_mktsegment, 'balance', balance) AS (predicate, value)"), F.lit("1970-01-01").cast("date").alias("at"),
+                     F.lit(0).cast("long").alias("seq"), F.lit(False).alias("removed"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("speaker"), F.lit("priority").alias("predicate"), F.col("o_orderpriority").alias("value"), F.col("o_orderdate").cast("date").alias("at"),
+                                          F.col("o_orderkey").alias("seq"), (F.col("o_orderstatus") == "P").alias("removed"))
+    return first.unionByName(o)
+
+
+@query("fact_state", "speaker:l predicate value", f"WITH {_CHANGES} SELECT * FROM now")
+def fact_state(spark, sf):
+    """Facts after all upserts and removals."""
+    return versioned.state(fact_changes(spark, sf), ["speaker", "predicate"], ["at", "seq"])
+
+
+@query("fact_completeness", "speaker:l n:l completeness:d missing", f"""WITH {_CHANGES}, p AS (SELECT c_custkey AS speaker, unnest(['balance', 'nation', 'priority', 'segment']) AS predicate FROM customer)
+ SELECT p.speaker, count(value) AS n, count(value) / 4.0 AS completeness, coalesce(string_agg(p.predicate, ',' ORDER BY p.predicate) FILTER (value IS NULL), '') AS missing FROM p LEFT JOIN now USING (speaker, predicate) GROUP BY p.speaker""")
 def fact_completeness(spark, sf):
-    f = facts(spark, sf).filter("value is not null").groupBy("speaker").agg(F.collect_set("predicate").alias("p"))  # at most one entry per predicate
+    """Share of the predicates that each customer has a value for, and those that are missing."""
+    known = fact_state(spark, sf)
+    have = known.filter("value is not null").groupBy("speaker").agg(F.collect_set("predicate").alias("p"))  # at most one entry per predicate
     every = F.array(*[F.lit(p) for p in PREDICATES])
-    return f.select("speaker", F.size("p").alias("n"), (F.size("p") / len(PREDICATES)).alias("completeness"), F.concat_ws(",", F.array_sort(F.array_except(every, "p"))).alias("missing"))
+    p = F.coalesce("p", F.array().cast("array<string>"))
+    all_of = table(spark, sf, "customer").select(F.col("c_custkey").alias("speaker")).join(have, "speaker", "left")
+    return all_of.select("speaker", F.size(p).alias("n"), (F.size(p) / len(PREDICATES)).alias("completeness"), F.concat_ws(",", F.array_sort(F.array_except(every, p))).alias("missing"))
 
 
 @query("facts_by_class", "speaker:l predicate label", f"WITH {_FACTS} SELECT speaker, predicate, value AS label FROM facts WHERE predicate = 'segment' AND value IN ('HOUSEHOLD', 'MACHINERY')")

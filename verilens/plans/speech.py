@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verilens.functions import text as X
+from verilens.functions.arrays import compute_once
 from verilens.functions.stats import jsd2
 from verilens.operators import curves as C
 from verilens.operators import graph as G
 from verilens.operators import llr as L
 from verilens.operators import splits as S
 from verilens.operators import tokens as T
+from verilens.operators.pairs import each_with_each
 from verilens.operators.scan import exact_quantiles
 from verilens.plans import sqlviews as Q
 from verilens.plans.registry import query
@@ -318,25 +320,33 @@ def trials_llr(spark, sf):
 
 @query("llr_contributions", "utt:l claimed cls rank:l n:l llr:d expected expected_p:d observed observed_p:d jsd:d", f"""WITH {Q.LLR},
 k AS (SELECT p.utt, p.speaker AS probe_speaker, m.speaker AS claimed, p.cls, m.ord, n_a + n_b AS n, n_a * l_a + n_b * l_b AS llr, p_a, n_a >= n_b AS obs_a, n_a / (n_a + n_b)::DOUBLE AS q
- FROM pcl p JOIN mo m USING (cls) WHERE NOT low AND n_a + n_b > 0 AND p.speaker = m.speaker)
+ FROM pcl p JOIN mo m USING (cls) WHERE NOT low AND n_a + n_b > 0)
 SELECT * FROM (SELECT utt, claimed, cls, n, llr, CASE WHEN p_a >= 1 - p_a THEN 'A' ELSE 'B' END AS expected, greatest(p_a, 1 - p_a) AS expected_p,
  CASE WHEN obs_a THEN 'A' ELSE 'B' END AS observed, CASE WHEN obs_a THEN p_a ELSE 1 - p_a END AS observed_p,
  {_JSD.format(a='greatest(1e-12, least(1 - 1e-12, q))', b='p_a')} AS jsd,
  row_number() OVER (PARTITION BY utt, claimed ORDER BY round(llr, 9), ord) AS rank FROM k) WHERE rank <= 8""")
 def llr_contributions(spark, sf):
-    """Evidence per class for the claimed speaker of each genuine probe, worst first."""
+    """Evidence per class for every probe and claimed speaker, worst first.
+
+    Probes and models are one row each with their classes packed, so a claim is
+    ranked inside its row and no class rows are shuffled.
+    """
     enrol, probe = enrol_probe(spark, sf)
-    cell = probe.filter("n_a + n_b > 0")
-    m = L.models(enrol).filter("not low")
-    first = F.col("n_a") >= F.col("n_b")
-    j = cell.join(m, ["speaker", "cls"]).select(
-        "utt", F.col("speaker").alias("claimed"), "cls", "ord", (F.col("n_a") + F.col("n_b")).alias("n"),
-        (F.col("n_a") * F.col("l_a") + F.col("n_b") * F.col("l_b")).alias("llr"),
-        F.when(F.col("p_a") >= 1 - F.col("p_a"), "A").otherwise("B").alias("expected"), F.greatest(F.col("p_a"), 1 - F.col("p_a")).alias("expected_p"),
-        F.when(first, "A").otherwise("B").alias("observed"), F.when(first, F.col("p_a")).otherwise(1 - F.col("p_a")).alias("observed_p"),
-        jsd2(F.col("n_a") / (F.col("n_a") + F.col("n_b")), F.col("p_a")).alias("jsd"),
-    )
-    return S.rank_first(j, ["utt", "claimed"], [F.round("llr", 9), "ord"], 8).withColumnRenamed("rn", "rank")
+    cells = probe.groupBy("utt").agg(F.map_from_entries(F.collect_list(F.struct("cls", F.struct("n_a", "n_b")))).alias("cells"))  # at most 21 entries
+    m = L.models(enrol).filter("not low").groupBy(F.col("speaker").alias("claimed")).agg(F.collect_list(F.struct("cls", "ord", "p_a", "l_a", "l_b")).alias("classes"))  # at most 21
+    pairs = each_with_each(cells, m, enrol.select("speaker").distinct(), ["claimed"], ["utt"])
+
+    def evidence(k):
+        n = F.try_element_at("cells", k["cls"])
+        total, first, p = n["n_a"] + n["n_b"], n["n_a"] >= n["n_b"], k["p_a"]
+        llr = n["n_a"] * k["l_a"] + n["n_b"] * k["l_b"]
+        return F.when(total > 0, F.struct(
+            F.round(llr, 9).alias("key"), k["ord"].alias("ord"), k["cls"].alias("cls"), total.alias("n"), llr.alias("llr"), F.when(p >= 1 - p, "A").otherwise("B").alias("expected"), F.greatest(p, 1 - p).alias("expected_p"),
+            F.when(first, "A").otherwise("B").alias("observed"), F.when(first, p).otherwise(1 - p).alias("observed_p"), jsd2(n["n_a"] / total, p).alias("jsd")))
+
+    ranked = F.slice(F.array_sort(F.array_compact(F.transform("classes", evidence))), 1, 8)
+    rows = compute_once(pairs, ["utt", "claimed"], ranked=ranked)
+    return rows.select("utt", "claimed", F.posexplode("ranked").alias("_r", "e")).select("utt", "claimed", (F.col("_r") + 1).alias("rank"), "e.*")
 
 
 def llr_split(spark, sf):
