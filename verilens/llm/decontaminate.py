@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verilens.functions.arrays import compute_once, let
-from verilens.llm.common import words_sql
+from verilens.llm.common import stored, words_sql
 from verilens.sources.tables import bounded
 
 SHINGLE = 5
@@ -114,11 +114,14 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius: i
     around = spots.select("doc", "digest", "n", "s", "k", F.explode("starts").alias("start"))
     span = F.struct("s", "k", F.greatest("start", F.lit(0)).alias("a"), F.least(F.col("start") + F.col("s"), F.col("n")).alias("b"))
     windows = around.withColumn("span", span).filter("span.b - span.a >= k").groupBy("doc", "digest").agg(F.collect_set("span").alias("spans"))
-
-    at = windows.alias("x").join(
-        text.withColumn("wh", F.transform("w", lambda v: F.xxhash64(v))).alias("t"),
-        F.col("x.doc").eqNullSafe(F.col("t.doc")) & (F.col("x.digest") == F.col("t.digest")))
-    at = at.select("x.doc", "x.digest", F.explode("x.spans").alias("span"), F.col("t.w").alias("all_w"), F.col("t.wh").alias("all_h"))
+    windows = stored(windows, "windows")
+
+    # Plain texts meet the windows, and are cut into words after that: most texts have no window.
+    plain = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    at = plain.alias("t").join(_small(windows).alias("x"), F.col("x.doc").eqNullSafe(F.col("t.doc")) & (F.col("x.digest") == F.xxhash64("t.text")))
+    at = compute_once(at.select("x.doc", "x.digest", "x.spans", "t.text"), ["doc", "digest", "spans"], all_w=F.expr(words_sql("text")))
+    at = compute_once(at, ["doc", "digest", "spans", "all_w"], all_h=F.transform("all_w", lambda v: F.xxhash64(v)))
+    at = at.select("doc", "digest", F.explode("spans").alias("span"), "all_w", "all_h")
     at = at.select("doc", "digest", "span.*", F.expr("slice(all_w, span.a + 1, span.b - span.a)").alias("w"), F.expr("slice(all_h, span.a + 1, span.b - span.a)").alias("wh"))
     sh = None
     for k in kinds:
@@ -151,7 +154,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str
     """The documents that hold no passage like a benchmark item, with all their columns."""
     bad = matches(docs, items, threshold, id_col=id_col, text_col=text_col).select(F.col("doc").alias("bad_doc"), F.col("digest").alias("bad_digest")).distinct()
     d = docs.alias("d")
-    return d.join(bad.alias("b"), F.col(f"d.{id_col}").eqNullSafe(F.col("b.bad_doc")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("b.bad_digest")), "left_anti")
+    return d.join(_small(stored(bad, "contaminated")).alias("b"),F.col(f"d.{id_col}").eqNullSafe(F.col("b.bad_doc")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("b.bad_digest")), "left_anti")
 
 
 #: DuckDB SQL without fingerprints: every aligned window around a shared shingle, verified exactly. It tries fewer windows
