@@ -16,13 +16,18 @@ an empty table gives an empty table; further columns are left out.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +38,10 @@ END = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Characters of text in a group: a few million tokens, tens of MB in a task.
 GROUP_CHARS = 6_000_000
+#: Ways in which equal rows are dealt.
+COPIES = 4096
 #: Chunks whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 def vocabulary() -> str:
@@ -43,33 +50,112 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The vocabulary's own split of a text without white space.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Text in which that split is the same for all Unicode versions, and which normalisation leaves as it is once it is in lower case.
+_LATIN = "^[!-~\u00a1-\u024f]+$"
+#: Bytes of text that are encoded side by side.
+SLICE = 16_000_000
+#: Words that are encoded as one text.
+TOGETHER = 200
+
+
 class Encoder:
     """Ids of texts. Chunks between ASCII white space are encoded by themselves and remembered: the vocabulary's
-    splitting never joins across white space, and ASCII letters are lower-cased by it anyway. Texts that may hold
-    special tokens are encoded as they are."""
+    splitting never joins across white space, and ASCII letters are lower-cased by it anyway. A new Latin chunk is
+    split as the vocabulary does, and its unknown words are encoded many in one text: the last token of each word is
+    one that ends words. Texts that may hold special tokens are encoded as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        # the same model for words that need neither normalisation nor a split
+        plain = json.loads(self.tokenizer.to_str())
+        plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *(
+            x for x in plain["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel")]}}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space, many of them in one text."""
+        out: list[bytes] = []
+        for a in range(0, len(words), TOGETHER):
+            part = words[a:a + TOGETHER]
+            raw = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, "<u4").tobytes()
+            ends = ((np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1) * 4).tolist()
+            if len(ends) == len(part) and ends[-1] == len(raw):
+                out += [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+            else:
+                out += self._raw(part)
+        return out
+
+    def _learn(self, chunks: pa.Array) -> None:
+        """Remember the ids of new chunks (in ASCII lower case)."""
+        known, split, words = self.known, [], {}
+        latin = pc.and_(pc.match_substring_regex(chunks, _LATIN), pc.equal(pc.utf8_lower(chunks), chunks))
+        alpha = pc.and_(latin, pc.utf8_is_alpha(chunks))
+        mixed = pc.and_(latin, pc.invert(pc.utf8_is_alpha(chunks)))
+        for c in chunks.filter(mixed).to_pylist():
+            own = _SPLIT.findall(c)
+            split.append((c, own))
+            for part in own:
+                if part not in known:
+                    words[part] = None
+        words.update(dict.fromkeys(chunks.filter(alpha).to_pylist()))
+        new = list(words)
+        known.update(zip(new, self._words(new), strict=True))
+        for c, own in split:
+            known[c] = b"".join([known[part] for part in own])
+        whole = chunks.filter(pc.invert(latin)).to_pylist()
+        known.update(zip(whole, self._raw(whole), strict=True))
+
+    def _of_chunks(self, chunks: pa.Array) -> list[bytes]:
+        """Ids of each of these different chunks."""
+        names = chunks.to_pylist()
+        if len(self.known) + len(names) > REMEMBERED:  # what was learnt first goes
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+        got = list(map(self.known.get, names))
+        missing = [i for i, x in enumerate(got) if x is None]
+        if missing:
+            self._learn(chunks.take(pa.array(missing)))
+            for i in missing:
+                got[i] = self.known[names[i]]
+        return got
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text begins and the last ends)."""
+        special = pc.match_substring(texts, "<|")
+        plain = pc.if_else(special, "", texts) if pc.any(special).as_py() else texts
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(plain)).cast(pa.list_(pa.string()))
+        coded = parts.flatten().dictionary_encode()
+        own = self._of_chunks(coded.dictionary)
+        size = np.array([len(x) // 4 for x in own], np.int64)
+        table = np.frombuffer(b"".join(own), "<u4")
+        first = np.r_[0, np.cumsum(size)]
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = size[index] if len(index) else np.zeros(0, np.int64)
+        before = np.r_[0, np.cumsum(lengths)]
+        ids = table[np.repeat(first[index] - before[:-1], lengths) + np.arange(before[-1])] if len(index) else np.zeros(0, "<u4")
+        ends = before[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        if plain is not texts:  # texts with what may be special tokens are encoded as they are
+            at = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+            whole = dict(zip(at.tolist(), (np.frombuffer(x, "<u4") for x in self._raw([texts[i].as_py() for i in at.tolist()])), strict=True))
+            each = [whole.get(i, ids[ends[i]:ends[i + 1]]) for i in range(len(texts))]
+            ids, ends = np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])]
+        return ids, ends
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        chunks = [None if "<|" in t else t.encode("utf-8").lower().split() for t in texts]
-        new = list({c for own in chunks if own is not None for c in own if c not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({c for own in chunks if own is not None for c in own})
-        for a in range(0, len(new), 50_000):
-            part = new[a:a + 50_000]
-            self.known.update(zip(part, self._raw([c.decode("utf-8") for c in part]), strict=True))
-        find = self.known.__getitem__
-        return [self._raw([t])[0] if own is None else b"".join(map(find, own)) for t, own in zip(texts, chunks, strict=True)]
+        ids, ends = self.flat(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -81,6 +167,16 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with some 16 MB of text, a longer text by itself."""
+    size = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
@@ -108,17 +204,21 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     total = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 1
     groups = max(1, math.ceil(total / GROUP_CHARS))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
-    end = np.array([END], "<u4").tobytes()
+    # rows that repeat are dealt by their place as well, so that no group grows with them
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id() % COPIES), F.lit(groups)))
     small = "<u2" if _encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"  # of an id on the way to the groups
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
-        for df in batches:
-            for a in range(0, len(df), 500):
-                part = df.iloc[a:a + 500]
-                ids = [x + end for x in encode(part["text"].to_list())]
-                yield pd.DataFrame({"id": part["id"], "grp": part["grp"], "tokens": [len(x) // 4 for x in ids], "ids": [np.frombuffer(x, "<u4").astype(small).tobytes() for x in ids]})
+        for batch in batches:
+            for part in _slices(batch):
+                ids, ends = encode.flat(part.column(2))
+                n = part.num_rows
+                made = np.full(len(ids) + n, END, small)  # every text's ids and its end
+                made[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(ends))] = ids
+                at = ((ends + np.arange(n + 1)) * made.itemsize).astype(np.int64)
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at), pa.py_buffer(made)]).cast(pa.binary())
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(np.diff(ends) + 1, pa.int32()), column], ["id", "grp", "tokens", "ids"])
 
     def packed(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["tokens", "id"], ascending=[False, True], kind="stable", na_position="last").reset_index(drop=True)
@@ -141,6 +241,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pd.DataFrame(out, columns=names).astype({n: "int64" for n in names[1:]})
 
-    made = rows.withColumn("id", F.col("id").cast("string")).mapInPandas(encoded, "id string, grp bigint, tokens int, ids binary")
+    made = rows.withColumn("id", F.col("id").cast("string")).select("id", "grp", "text").mapInArrow(encoded, "id string, grp bigint, tokens int, ids binary")
     pieces = made.groupBy("grp").applyInPandas(packed, "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return pieces.withColumn("id", F.col("id").cast(id_type))
