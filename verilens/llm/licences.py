@@ -86,7 +86,8 @@ def scan(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col:
     """(id, licences, n_found, is_licence): a row per row of ``docs``; is_licence if the whole text is one."""
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("place", F.xxhash64("text"))
     found = units(rows).select("id", "place", F.posexplode("units").alias("at", "unit")).select("id", "place", "at", F.md5("unit").alias("digest"))
-    found = found.join(licences, "digest").groupBy("id", "place").agg(
+    # rows that repeat find each line once
+    found = found.join(licences, "digest").select("id", "place", "at", "licence").distinct().groupBy("id", "place").agg(
         F.collect_set("licence").alias("licences"), F.sum((F.col("at") > 0).cast("long")).alias("n_found"), F.max(F.col("at") == 0).alias("whole")).alias("f")
     r = rows.select("id", "place").alias("r")
     return r.join(found, F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.place") == F.col("f.place")), "left").select(
@@ -105,9 +106,10 @@ def sql(texts: tuple[tuple[str, str], ...] = KNOWN) -> str:
     values = ", ".join(f"('{a}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in texts)
     return f"""
         WITH k AS (SELECT DISTINCT licence, array_to_string({lines}, ' ') AS unit FROM (VALUES {values}) AS v(licence, text)),
-        d AS (SELECT doc_id, {lines} AS ls FROM documents),
-        u AS (SELECT doc_id, array_to_string(ls, ' ') AS unit, true AS whole FROM d UNION ALL SELECT doc_id, unnest(ls), false FROM d),
-        f AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) FILTER (NOT whole) AS n_found, bool_or(whole) AS is_licence
-              FROM u JOIN k USING (unit) GROUP BY doc_id)
-        SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_found, 0)::BIGINT AS n_found, coalesce(is_licence, false) AS is_licence
-        FROM documents LEFT JOIN f USING (doc_id)"""
+        d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+        e AS (SELECT doc_id, text, {lines} AS ls FROM d),
+        u AS (SELECT doc_id, text, array_to_string(ls, ' ') AS unit, true AS whole FROM e UNION ALL SELECT doc_id, text, unnest(ls), false FROM e),
+        f AS (SELECT doc_id, text, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) FILTER (NOT whole) AS n_found, bool_or(whole) AS is_licence
+              FROM u JOIN k USING (unit) GROUP BY doc_id, text)
+        SELECT d.doc_id, coalesce(licences, '') AS licences, coalesce(n_found, 0)::BIGINT AS n_found, coalesce(is_licence, false) AS is_licence
+        FROM documents d LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id AND coalesce(d.text, '') = f.text"""
