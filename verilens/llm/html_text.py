@@ -18,14 +18,15 @@ ties go to the container that starts first; repeated rows each get their text.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
+from collections.abc import Iterable
 from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verilens.llm.common import text_of
+from verilens.llm.common import free_name, text_of
 
 # Kinds of elements.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -45,10 +46,14 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 #: Elements that such an implied end does not reach across.
 WALLS = frozenset("ul ol dl table div section article main body html td th".split())
 
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(?:(!--)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+))")
+_COMMENT_END = re.compile("--!?>")
+#: Attributes up to the first > outside quotes. A tag whose quotes don't close within ``QUOTED`` characters ends at its first >.
+_ATTRIBUTES = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+QUOTED = 1024
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
 _SPACE = re.compile(r"\s+")
 
 
@@ -76,8 +81,9 @@ class _Page:
     """Elements by number (parents before children) and the blocks of text in page order."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.out = ["html"], [-1], [False]
-        self.stack, self.open = [0], Counter({"html": 1})
+        self.tag, self.parent, self.out, self.holder = ["html"], [-1], [False], [0]
+        self.stack: list[int] = [0]
+        self.open: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack, by tag
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self.buffer: list[str] = []
         self.linked = 0
@@ -87,14 +93,15 @@ class _Page:
         if self.buffer:
             text = _SPACE.sub(" ", "".join(self.buffer)).strip()
             if text:
-                self.blocks.append((self._holder(), text, self.linked))
+                self.blocks.append((self.holder[self.stack[-1]], text, self.linked))
             self.buffer, self.linked = [], 0
 
-    def _holder(self) -> int:
-        return next((i for i in reversed(self.stack) if self.tag[i] in BLOCKS), 0)
-
     def _pop(self) -> None:
-        self.open[self.tag[self.stack.pop()]] -= 1
+        self.open[self.tag[self.stack.pop()]].pop()
+
+    def _nearest(self, tags: Iterable[str]) -> int:
+        """The highest place in the stack of an open element of these kinds; 0 if none is open."""
+        return max((self.open[t][-1] for t in tags if self.open[t]), default=0)
 
     def _text(self, text: str) -> None:
         if text and not self.out[self.stack[-1]]:
@@ -105,36 +112,39 @@ class _Page:
 
     def _close(self, tags: tuple[str, ...], walls: frozenset[str] = frozenset()) -> None:
         """End the nearest open element of these kinds, unless a wall stands before it."""
-        if not any(self.open[t] for t in tags):
-            return
-        for at in range(len(self.stack) - 1, 0, -1):
-            name = self.tag[self.stack[at]]
-            if name in tags:
-                while len(self.stack) > at:
-                    self._pop()
-                return
-            if name in walls:
-                return
+        at = self._nearest(tags)
+        if at and at > self._nearest(walls - set(tags)):
+            while len(self.stack) > at:
+                self._pop()
 
     def _read(self, html: str) -> None:
-        at, size = 0, len(html)
+        """One pass: nothing is a tag after the last >, so that no search runs to the end of the page in vain."""
+        at, size, last = 0, len(html), html.rfind(">") + 1
         while at < size:
-            m = _TAG.search(html, at)
+            m = _TAG.search(html, at, last)
             if not m:
-                self._text(html[at:])
+                rest = html.find("<!--", at)  # a comment that never ends
+                self._text(html[at:] if rest < 0 else html[at:rest])
                 break
             self._text(html[at:m.start()])
             at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
+            if m[1]:
+                end = _COMMENT_END.search(html, at)
+                at = end.end() if end else size
+                continue
+            if not m[3]:
                 continue
-            if m[1] or m[4]:
+            tag = m[3].lower()
+            inside = _ATTRIBUTES.match(html, at, min(last, at + QUOTED))
+            attributes = inside[1] if inside else html[at:html.index(">", at)]
+            at += len(attributes) + 1
+            if m[2]:
                 if tag in BLOCKS:
                     self._flush()
                 self._close((tag,), WALLS - {tag} if tag not in BLOCKS or tag in CLOSES or tag == "p" else frozenset())
                 continue
             if tag in RAW:
-                end = _END[tag].search(html, at)
+                end = _END[tag].search(html, at, last)
                 at = end.end() if end else size
                 continue
             if tag == "br" or tag == "wbr":
@@ -148,17 +158,17 @@ class _Page:
                 continue
             if tag in CLOSES:
                 self._close(CLOSES[tag], frozenset(("ul", "ol", "dl", "table")))
-            attributes = m[3] if m[2] else m[6]
             above = self.stack[-1]
             out = self.out[above] or _no_article(tag, attributes)
-            if tag == "header" and not self.out[above] and any(self.tag[i] in ARTICLE for i in self.stack):
-                out = False  # only its headings stay, see _kept
+            if tag == "header" and not self.out[above] and self._nearest(ARTICLE):
+                out = False  # only its headings stay, see main_text
             self.tag.append(tag)
             self.parent.append(above)
             self.out.append(out)
+            self.holder.append(len(self.tag) - 1 if tag in BLOCKS else self.holder[above])
             if not attributes.rstrip().endswith("/") or tag in BLOCKS:
+                self.open[tag].append(len(self.stack))
                 self.stack.append(len(self.tag) - 1)
-                self.open[tag] += 1
         self._flush()
 
     def main_text(self) -> str:
@@ -206,10 +216,10 @@ def main_text(html: str) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` with their main text in ``main_text``."""
+    """``pages`` with their main text in ``main_text`` (or a longer name if they have that)."""
 
     @F.pandas_udf("string")
     def run(html: pd.Series) -> pd.Series:
         return html.map(main_text)
 
-    return pages.select(*[F.col(c) for c in pages.columns if c != "main_text"], run(text_of(html_col)).alias("main_text"))
+    return pages.select(*[F.col(f"`{c}`") for c in pages.columns], run(text_of(html_col)).alias(free_name(pages, "main_text")))
