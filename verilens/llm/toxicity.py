@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verilens.llm.common import stored, text_of
+from verilens.llm.common import free_name, stored, text_of
 
 #: Labelled documents in the fit at most (on average; the hash decides).
 MAX_FIT = 40_000
@@ -163,7 +163,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
 
 
 def scored(docs: DataFrame, model: Ordinal, limit: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` with severity (expected grade), chance (of grade 1 or more) and is_toxic."""
+    """``docs`` with severity (expected grade), chance (of grade 1 or more) and is_toxic; names that ``docs`` has get longer ones."""
     weights = dict(zip(model.names, model.weights.tolist(), strict=True))
     cuts = model.cuts
 
@@ -189,5 +189,12 @@ def scored(docs: DataFrame, model: Ordinal, limit: float = 0.5, text_col: str =
         chances = Ordinal([], np.empty(0), cuts).chances(sums)
         return pd.DataFrame({"severity": chances.sum(1), "chance": chances[:, 0], "is_toxic": chances[:, 0] >= limit})
 
-    made = docs.withColumn("_scored", score(text_of(text_col)))
-    return made.select(*[F.col(c) for c in docs.columns], F.col("_scored.severity").alias("severity"), F.col("_scored.chance").alias("chance"), F.col("_scored.is_toxic").alias("is_toxic"))
+    own = free_name(docs, "scored")
+    made = docs.withColumn(own, score(text_of(text_col)))
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{own}.{c}").alias(free_name(docs, c)) for c in ("severity", "chance", "is_toxic")])
+
+
+def clean(docs: DataFrame, model: Ordinal, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that aren't toxic, in their own columns."""
+    made = scored(docs, model, limit, text_col)
+    return made.filter(~F.col(free_name(docs, "is_toxic"))).select(*[F.col(f"`{c}`") for c in docs.columns])
