@@ -30,6 +30,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ from verilens.llm.common import stored, text_of
 
 HIDDEN, TOP, WIDE, TAIL = 16, 1024, 32, 32
 FREQUENT = 1 << 18
-WINDOW, LANES, SEGMENT = 16, 128, 1024
+WINDOW, LANES, SEGMENT = 16, 1024, 256
 ROUNDS, RATE = 2, 0.03
 #: Weights of the output stay within this, so that with states below 1 no exponential overflows.
 MOST = 4.0
@@ -343,7 +344,7 @@ class Vocabulary:
         get = self.words.get
         words = tokens(text)
         words.append(END)
-        at = np.array([get(w, -1) for w in words], np.int64)
+        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         rare = np.flatnonzero(at < 0)
         ids = self.ids[at] if len(self.ids) else np.zeros(len(at), np.int32)
         others = [words[i] for i in rare.tolist()]
