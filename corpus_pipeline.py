@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written
 and read again before the next one. All but the last keep the columns of
-``documents``.
+``documents``, whatever further ones it has and however they are named.
+
+Defined cases are those of the operators: a null or empty text is clean, has
+no lines and no passages; empty texts are one group of copies, of which one
+stays; rows that repeat are copies of each other; null ids are ids like
+others; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -10,7 +15,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from verilens.llm import decontaminate, lines, order_minhash, packing, toxicity
 from verilens.llm.common import shared_dir
@@ -20,13 +24,12 @@ from verilens.sources.tables import table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model finds toxic go. The fit reads the labelled ones among ``docs``."""
     model = toxicity.fit(spark, docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter("NOT is_toxic").select(*docs.columns)
+    return toxicity.clean(docs, model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines go from the texts; every document stays."""
-    kept = lines.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return lines.without_boilerplate(docs)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
