@@ -147,3 +147,12 @@ def test_logs_sheets_gold_and_runs(spark, tmp_path):
         (tmp_path / "runs" / run).mkdir(parents=True)
         (tmp_path / "runs" / run / "results.json").write_text(json.dumps({"eer": 0.1}, indent=1))
     assert {r.run for r in files.read_runs(spark, str(tmp_path / "runs/*/results.json")).collect()} == {"r1", "r2"}
+
+
+def test_vector_table_refuses_to_overwrite(spark, tmp_path):
+    v = spark.createDataFrame([(1, "a", [1.0, 2.0]), (2, "b", [3.0, 4.0])], "vec_id long, source string, v array<double>")
+    path = str(tmp_path / "vectors")
+    files.write_vectors(v, path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("vec_id", "source", "v").collect()) == [(1, "a", [1.0, 2.0]), (2, "b", [3.0, 4.0])]
+    with pytest.raises(Exception, match="already exists"):
+        files.write_vectors(v, path)

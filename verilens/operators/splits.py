@@ -50,6 +50,31 @@ def stratified(units: DataFrame, stratum: str, unit: str, seeds: Sequence[int],
     return r.select("seed", stratum, unit, part.alias("part"))
 
 
+def session_sides(units: DataFrame, speaker: str, session: str, order: str, n_probe: int = 1, within: bool = False, fraction: float = 0.3) -> DataFrame:
+    """``units`` with side (probe, enrol or dropped) and cross_session: the last ``n_probe`` sessions of a speaker probe.
+
+    Speakers without an earlier session are dropped, or with ``within`` the
+    last ``fraction`` of their units probes; what comes of that is marked as
+    not across sessions. Sessions are ranked, not units; units are numbered
+    in cells of (speaker, session).
+    """
+    from pyspark.sql import Window
+
+    from verilens.operators.scan import rank_within
+
+    per = units.select(speaker, session).distinct()
+    w = Window.partitionBy(speaker)  # a row a session
+    per = per.withColumn("_r", F.row_number().over(w.orderBy(F.desc(session)))).withColumn("_k", F.count("*").over(w))
+    crossed = F.col("_k") > n_probe
+    side = F.when(F.col("_r") <= n_probe, "probe").otherwise("enrol")
+    if not within:
+        return units.join(per, [speaker, session]).withColumn("side", F.when(crossed, side).otherwise("dropped")).withColumn("cross_session", crossed).drop("_r", "_k")
+    placed = rank_within(units.withColumn("_b", F.col(session)), [speaker], "_b", [order], "_i", "_m").drop("_b")
+    cut = F.floor(F.col("_m") * (1.0 - fraction))
+    own = F.when((cut == 0) | (cut == F.col("_m")), "dropped").when(F.col("_i") <= cut, "enrol").otherwise("probe")
+    return placed.join(per, [speaker, session]).withColumn("side", F.when(crossed, side).otherwise(own)).withColumn("cross_session", crossed).drop("_r", "_k", "_i", "_m")
+
+
 def rank_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
     """First ``n`` rows per key. The rank filter is applied before the shuffle, so a hot key sends n rows per task."""
     from pyspark.sql import Window

@@ -262,16 +262,26 @@ def unique_match(spark, sf):
  UNION ALL SELECT 'orphan_order', o_orderkey::VARCHAR, o_custkey::VARCHAR FROM orders ANTI JOIN customer ON c_custkey = o_custkey
  UNION ALL SELECT 'orphan_line', l_orderkey || ':' || l_linenumber, l_orderkey::VARCHAR FROM lineitem ANTI JOIN orders ON o_orderkey = l_orderkey
  UNION ALL SELECT 'orphan_supplier', s_suppkey::VARCHAR, s_nationkey::VARCHAR FROM supplier ANTI JOIN nation ON n_nationkey = s_nationkey
+ UNION ALL SELECT 'unknown_part', l_orderkey || ':' || l_linenumber, l_partkey::VARCHAR FROM lineitem ANTI JOIN part ON p_partkey = l_partkey
+ UNION ALL SELECT 'unknown_subject', event_id::VARCHAR, user_id::VARCHAR FROM events ANTI JOIN customer ON c_custkey = user_id
+ UNION ALL SELECT 'label_without_text', doc_id::VARCHAR, NULL FROM labels ANTI JOIN (SELECT doc_id AS d FROM documents WHERE trim(text) <> '') ON d = doc_id
+ UNION ALL SELECT 'text_without_label', doc_id::VARCHAR, lang FROM documents ANTI JOIN (SELECT doc_id AS d FROM labels WHERE quality IS NOT NULL) ON d = doc_id
  UNION ALL SELECT 'shipped_before_order', l_orderkey::VARCHAR, l_linenumber::VARCHAR FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate""")
 def integrity_audit(spark, sf):
     """Duplicate keys, orphans and cross-table disagreements as (rule, key, detail) rows."""
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    line = li.select("l_orderkey", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("line"))
+    line = li.select("l_orderkey", "l_partkey", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("line"))
     late = li.select("l_orderkey", "l_linenumber", "l_shipdate").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey").filter("l_shipdate < o_orderdate")
     out = H.duplicate_keys("duplicate_order", o, "o_orderkey").unionByName(H.duplicate_keys("duplicate_line", line, "line"))
     out = out.unionByName(H.orphans("orphan_order", o, "o_custkey", table(spark, sf, "customer"), "c_custkey", "o_orderkey"))
     out = out.unionByName(H.orphans("orphan_line", line, "l_orderkey", o, "o_orderkey", "line"))
     out = out.unionByName(H.orphans("orphan_supplier", table(spark, sf, "supplier"), "s_nationkey", table(spark, sf, "nation"), "n_nationkey", "s_suppkey"))
+    out = out.unionByName(H.orphans("unknown_part", line, "l_partkey", table(spark, sf, "part"), "p_partkey", "line"))
+    out = out.unionByName(H.orphans("unknown_subject", table(spark, sf, "events"), "user_id", table(spark, sf, "customer"), "c_custkey", "event_id"))
+    d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    bare = labels.select("doc_id").join(d.filter(F.trim("text") != "").select("doc_id"), "doc_id", "left_anti")
+    unlabelled = d.select("doc_id", "lang").join(labels.filter("quality IS NOT NULL").select("doc_id"), "doc_id", "left_anti")
+    out = out.unionByName(H.violations("label_without_text", bare, F.col("doc_id"), F.lit(None))).unionByName(H.violations("text_without_label", unlabelled, F.col("doc_id"), F.col("lang")))
     return out.unionByName(H.violations("shipped_before_order", late, F.col("l_orderkey"), F.col("l_linenumber")))
 
 
@@ -422,17 +432,21 @@ def speaker_listing(spark, sf):
     return c.join(o, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("n_orders"), F.coalesce("t", "c_acctbal").alias("total"))
 
 
-@query("same_prompt_join", "role turn:l probes:l with_answer:l same:l", """WITH a AS (SELECT role, turn, arg_min(text, conv_id) AS expected, min(conv_id) AS first_conv FROM conversations GROUP BY ALL)
- SELECT c.role, c.turn, count(*) AS probes, count(expected) AS with_answer, count(*) FILTER (c.text = expected) AS same FROM conversations c LEFT JOIN a ON a.role = c.role AND a.turn = c.turn AND c.conv_id <> first_conv GROUP BY ALL""")
+@query("same_prompt_join", "role turn:l probes:l with_answer:l same:l own_enrolment:l no_answer:l blank_answer:l", """WITH a AS (SELECT role, turn, arg_min(text, conv_id) AS expected, min(conv_id) AS first_conv FROM conversations WHERE conv_id % 5 <> 4 GROUP BY ALL)
+ SELECT c.role, c.turn, count(*) AS probes, count(*) FILTER (trim(expected) <> '' AND c.conv_id <> first_conv) AS with_answer, count(*) FILTER (c.text = expected AND c.conv_id <> first_conv) AS same, count(*) FILTER (c.conv_id = first_conv) AS own_enrolment,
+ count(*) FILTER (first_conv IS NULL) AS no_answer, count(*) FILTER (c.conv_id <> first_conv AND coalesce(trim(expected), '') = '') AS blank_answer FROM conversations c LEFT JOIN a ON a.role = c.role AND a.turn = c.turn GROUP BY ALL""")
 def same_prompt_join(spark, sf):
-    """Each answer against the claimed speaker's first answer to the same prompt; misses stay with a NULL answer."""
-    c = table(spark, sf, "conversations")
-    a = H.first(c.select("role", "turn", "conv_id", "text"), ["role", "turn"], ["conv_id"]).select("role", "turn", F.col("conv_id").alias("first_conv"), F.col("text").alias("expected"))
-    e = F.when(F.col("conv_id") != F.col("first_conv"), F.col("expected"))
-    return c.join(a, ["role", "turn"], "left").groupBy("role", "turn").agg(F.count("*").alias("probes"), F.count(e).alias("with_answer"), F.count_if(F.col("text") == e).alias("same"))
+    """Each answer against the claimed speaker's first enrolled answer to the same prompt, with the reasons why others have none.
 
+    Conversations whose number ends a block of five enrol nothing.
+    """
+    c = table(spark, sf, "conversations")
+    a = H.first(c.filter("conv_id % 5 <> 4").select("role", "turn", "conv_id", "text"), ["role", "turn"], ["conv_id"]).select("role", "turn", F.col("conv_id").alias("first_conv"), F.col("text").alias("expected"))
+    other = F.col("conv_id") != F.col("first_conv")
+    return c.join(a, ["role", "turn"], "left").groupBy("role", "turn").agg(
+        F.count("*").alias("probes"), F.count_if(other & (F.trim("expected") != "")).alias("with_answer"), F.count_if(other & (F.col("text") == F.col("expected"))).alias("same"), F.count_if(~other).alias("own_enrolment"),
+        F.count_if(F.col("first_conv").isNull()).alias("no_answer"), F.count_if(other & (F.coalesce(F.trim("expected"), F.lit("")) == "")).alias("blank_answer"))
 
-# ------------------------------------------------------------ aggregates
 
 @query("reportability", "reason n:l", f"""WITH {Q.UTT}, t AS (SELECT u.*, l.quality, l.toxic FROM utt u LEFT JOIN labels l ON l.doc_id = u.utt)
  SELECT 'unannotated' AS reason, count(*) FILTER (quality IS NULL) AS n FROM t UNION ALL SELECT 'excluded', count(*) FILTER (toxic = 1) FROM t UNION ALL SELECT 'guessed', count(*) FILTER (quality = 0) FROM t
@@ -460,9 +474,13 @@ def dataset_counts(spark, sf):
     return u.groupingSets([[F.col("speaker")], [F.col("speaker"), F.col("session")], [F.col("speaker"), F.col("doc_lang")], []], "speaker", "session", "doc_lang").agg(F.count("*").alias("n")).withColumnRenamed("doc_lang", "lang")
 
 
-@query("sitting_summary", "session:l n:l chars:l langs prompts:l", f"WITH {Q.UTT} SELECT session, count(*) AS n, sum(n_chars) AS chars, string_agg(DISTINCT doc_lang, ',' ORDER BY doc_lang) AS langs, count(DISTINCT prompt) AS prompts FROM utt GROUP BY ALL")
+@query("sitting_summary", "session:l lang n:l chars:l langs prompts:l speakers:l", f"""WITH {Q.UTT} SELECT session, doc_lang AS lang, count(*) AS n, sum(n_chars) AS chars, string_agg(DISTINCT doc_lang, ',' ORDER BY doc_lang) AS langs, count(DISTINCT prompt) AS prompts,
+ count(DISTINCT speaker) AS speakers FROM utt GROUP BY GROUPING SETS ((session), (doc_lang), (session, doc_lang), ())""")
 def sitting_summary(spark, sf):
-    return views.utterances(spark, sf).groupBy("session").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.concat_ws(",", F.sort_array(F.collect_set("doc_lang"))).alias("langs"), F.count_distinct("prompt").alias("prompts"))
+    """Sittings, languages, both together and all: how much there is and from how many; NULL stands for every value."""
+    return views.utterances(spark, sf).withColumn("_l", F.col("doc_lang")).groupingSets([["session"], ["doc_lang"], ["session", "doc_lang"], []], "session", "doc_lang").agg(
+        F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.concat_ws(",", F.sort_array(F.collect_set("_l"))).alias("langs"), F.count_distinct("prompt").alias("prompts"),
+        F.count_distinct("speaker").alias("speakers")).withColumnRenamed("doc_lang", "lang")
 
 
 @query("bucket_curve", "bucket:l n:l mean:d half_range:d", f"WITH {Q.UTT} SELECT floor(n_chars / 600.0)::BIGINT * 600 AS bucket, count(*) AS n, avg(prompt + 1.0 / n_chars) AS mean, (max(prompt + 1.0 / n_chars) - min(prompt + 1.0 / n_chars)) / 2 AS half_range FROM utt GROUP BY ALL")
@@ -482,14 +500,23 @@ def setting_spread(spark, sf):
 
 # ------------------------------------------------------------ splits and samples
 
-@query("session_split", "speaker side n:l chars:l", f"WITH {Q.UTT}, s AS (SELECT speaker, session, row_number() OVER (PARTITION BY speaker ORDER BY session DESC) AS r, count(*) OVER (PARTITION BY speaker) AS n FROM (SELECT DISTINCT speaker, session FROM utt)) SELECT speaker, CASE WHEN n <= 1 THEN 'dropped' WHEN r <= 1 THEN 'probe' ELSE 'enrol' END AS side, count(*) AS n, sum(n_chars) AS chars FROM utt JOIN s USING (speaker, session) GROUP BY speaker, side")
+#: (name, probe sessions, whether speakers with too few are split within their sessions)
+SPLITS = (("last", 1, False), ("last two", 2, False), ("within", 4, True))
+
+
+@query("session_split", "split speaker side cross_session:b n:l chars:l", f"""WITH {Q.UTT}, sp(split, n_probe, within) AS (VALUES {", ".join(f"('{a}', {b}, {str(c).lower()})" for a, b, c in SPLITS)}),
+ s AS (SELECT speaker, session, row_number() OVER (PARTITION BY speaker ORDER BY session DESC) AS r, count(*) OVER (PARTITION BY speaker) AS k FROM (SELECT DISTINCT speaker, session FROM utt)),
+ u AS (SELECT u.*, r, k, row_number() OVER (PARTITION BY u.speaker ORDER BY u.session, utt) AS i, count(*) OVER (PARTITION BY u.speaker) AS m FROM utt u JOIN s ON s.speaker = u.speaker AND s.session = u.session)
+ SELECT split, speaker, CASE WHEN k > n_probe THEN CASE WHEN r <= n_probe THEN 'probe' ELSE 'enrol' END WHEN NOT within OR floor(m * 0.7::DOUBLE) IN (0, m) THEN 'dropped' WHEN i <= floor(m * 0.7::DOUBLE) THEN 'enrol' ELSE 'probe' END AS side,
+ k > n_probe AS cross_session, count(*) AS n, sum(n_chars) AS chars FROM u CROSS JOIN sp GROUP BY ALL""")
 def session_split(spark, sf):
-    """Last session probes, earlier ones enrol; speakers with a single session are dropped by name. Sessions are ranked, not utterances."""
-    u = views.utterances(spark, sf).groupBy("speaker", "session").agg(F.count("*").alias("c"), F.sum("n_chars").alias("chars"))
-    w = Window.partitionBy("speaker")
-    s = u.withColumn("r", F.row_number().over(w.orderBy(F.desc("session")))).withColumn("k", F.count("*").over(w))
-    side = F.when(F.col("k") <= 1, "dropped").when(F.col("r") <= 1, "probe").otherwise("enrol")
-    return s.groupBy("speaker", side.alias("side")).agg(F.sum("c").alias("n"), F.sum("chars").alias("chars"))
+    """The most recent sessions probe, earlier ones enrol; speakers with too few are dropped by name or, where that is asked for, split within their sessions."""
+    u = views.utterances(spark, sf).select("utt", "speaker", "session", "n_chars")
+    out = None
+    for name, n_probe, within in SPLITS:
+        t = S.session_sides(u, "speaker", "session", "utt", n_probe, within).groupBy("speaker", "side", "cross_session").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).withColumn("split", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
 @query("budget_prefix", "speaker budget:l n:l chars:l", f"""WITH {Q.UTT}, c AS (SELECT speaker, utt, n_chars, sum(n_chars) OVER (PARTITION BY speaker ORDER BY utt) AS cum FROM utt), b AS (SELECT unnest([5000, 20000, 60000]) AS budget)

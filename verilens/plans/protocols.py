@@ -251,10 +251,10 @@ def branch_scores(spark, sf):
     return t.withColumn("score", F.when(ok, (F.col("m") + 1) / 2)).withColumn("reason", F.when(ok, "ok").otherwise("too_few_clips"))
 
 
-@query("calibration_report", "kind grp:l n:l mean:d p99:d p999:d top:d rate:d", f"""WITH {Q.TRIALS}, c AS (SELECT CASE WHEN is_genuine THEN 'owner' ELSE 'strangers' END AS kind, fold AS grp, score FROM trials)
- SELECT kind, grp, count(*) AS n, avg(score) AS mean, quantile_cont(score, 0.99) AS p99, quantile_cont(score, 0.999) AS p999, max(score) AS top, avg((score >= 0.1)::INT) AS rate FROM c GROUP BY ALL""")
+@query("calibration_report", "kind grp:l n:l speakers:l mean:d low:d p99:d p999:d top:d rate:d", f"""WITH {Q.TRIALS}, c AS (SELECT CASE WHEN is_genuine THEN 'owner' ELSE 'strangers' END AS kind, fold AS grp, score, probe_speaker FROM trials)
+ SELECT kind, grp, count(*) AS n, count(DISTINCT probe_speaker) AS speakers, avg(score) AS mean, min(score) AS low, quantile_cont(score, 0.99) AS p99, quantile_cont(score, 0.999) AS p999, max(score) AS top, avg((score >= 0.1)::INT) AS rate FROM c GROUP BY ALL""")
 def calibration_report(spark, sf):
     """Owner scores per held-out session and stranger scores per fold, with their tails."""
-    t = trials(spark, sf).select(F.when(F.col("is_genuine"), "owner").otherwise("strangers").alias("kind"), F.col("fold").alias("grp"), "score").transform(hold)
+    t = trials(spark, sf).select(F.when(F.col("is_genuine"), "owner").otherwise("strangers").alias("kind"), F.col("fold").alias("grp"), "score", "probe_speaker").transform(hold)
     q = exact_quantiles(t, ["kind", "grp"], "score", {"p99": 0.99, "p999": 0.999})
-    return t.groupBy("kind", "grp").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.max("score").alias("top"), F.avg((F.col("score") >= 0.1).cast("int")).alias("rate")).join(q, ["kind", "grp"])
+    return t.groupBy("kind", "grp").agg(F.count("*").alias("n"), F.count_distinct("probe_speaker").alias("speakers"), F.avg("score").alias("mean"), F.min("score").alias("low"), F.max("score").alias("top"), F.avg((F.col("score") >= 0.1).cast("int")).alias("rate")).join(q, ["kind", "grp"])
