@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 USUAL = """unit_vectors cosine_trials eer_by_label det_curve mixing_metrics csbg_lexical transition_counts llr_scores lexicon_prefix_join
 gold_score fusion_decision attack_cells fit_policy operating_point cluster_bootstrap integrity_audit session_split budget_prefix
 stratified_split exact_dups throttle_wait challenge_consume curvature_spikes level_steps answer_match phrase_match fuzzy_vocab_pairs
-wer scores_trimmed triples poc_protocol operating_points attack_report enrollee_eval population_points eer_bootstrap reported_interval fusion_weights
+wer scores_trimmed triples poc_protocol operating_points enrollee_eval reported_interval
 erase_subjects protocol_hash fact_state fact_completeness mean_duration""".split()
 
 

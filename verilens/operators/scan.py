@@ -106,19 +106,20 @@ def rank_by_digest(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float | Column]
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float | Column], weight: Column | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles per key from a value histogram.
 
     ``percentile`` keeps every distinct value of a group in one buffer; here
     equal values are combined first, cumulative counts come from ``running``
     and each quantile is two conditional minima. A quantile may be a Column
-    over the key columns and ``_n`` (the group's row count).
+    over the key columns and ``_n`` (the group's row count). ``weight`` says how
+    many equal rows a row stands for.
     """
     hist = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_w"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_w"))
         .withColumn("_b", value_bucket(F.col("_v")))
     )
     both = running(hist, keys, "_b", ["_v"], {"_cum": ("sum", F.col("_w"))}, {"_n": ("sum", F.col("_w"))})

@@ -75,3 +75,15 @@ def mixing(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.when(F.col("n_runs") >= 2, (ratio - 1) / (ratio + 1)).otherwise(zero).alias("burstiness"),
         F.when(n > 0, share).otherwise(zero).alias("first_share"),
     )
+
+
+def most_frequent(ascending: Column) -> Column:
+    """Struct(token, n) of the most frequent entry of a sorted array, the lowest of equally frequent ones, by one fold over its runs."""
+    start = F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"))
+
+    def step(s, w):
+        run = F.when(s["last"] == w, s["run"] + 1).otherwise(F.lit(1))
+        more = run > s["n"]
+        return F.struct(F.when(more, w).otherwise(s["token"]).alias("token"), F.greatest(run, s["n"]).alias("n"), w.alias("last"), run.alias("run"))
+
+    return F.aggregate(ascending, start, step, lambda s: F.struct(s["token"].alias("token"), s["n"].alias("n")))

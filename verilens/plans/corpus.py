@@ -462,10 +462,11 @@ def reportability(spark, sf):
 @query("repetition_loop", "doc_id:l token n:l share:d", f"""WITH {Q.TOK}, c AS (SELECT utt, lower(text) AS token, count(*) AS n FROM tok WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]') GROUP BY ALL),
  s AS (SELECT utt, sum(n) AS total, arg_min(token, (-n, token)) AS token, max(n) AS n FROM c GROUP BY ALL) SELECT utt AS doc_id, token, n, n / total::DOUBLE AS share FROM s WHERE total >= 12 AND n / total::DOUBLE >= 0.25""")
 def repetition_loop(spark, sf):
-    """Texts that degenerated into one token: at least 12 words, one of them a quarter or more."""
-    t = views.tokens(spark, sf).filter(F.col("text").rlike(r"[\p{L}\p{N}]")).groupBy("utt", F.lower("text").alias("token")).agg(F.count("*").alias("n"))
-    s = t.groupBy("utt").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("m"), "token")).alias("w"))
-    return s.select(F.col("utt").alias("doc_id"), F.col("w.token").alias("token"), (-F.col("w.m")).alias("n"), (-F.col("w.m") / F.col("total")).alias("share"), "total").filter("total >= 12 and share >= 0.25")
+    """Texts that degenerated into one token: at least 12 words, one of them a quarter or more. Counted inside the row."""
+    words = F.array_sort(F.transform(F.filter("toks", lambda t: t["text"].rlike(r"[\p{L}\p{N}]")), lambda t: F.lower(t["text"])))
+    t = compute_once(views.token_arrays(spark, sf), ["utt"], w=words).filter(F.size("w") >= 12)
+    s = compute_once(t, ["utt", "w"], best=T.most_frequent(F.col("w")))
+    return s.select(F.col("utt").alias("doc_id"), "best.token", "best.n", (F.col("best.n") / F.size("w")).alias("share")).filter("share >= 0.25")
 
 
 @query("dataset_counts", "speaker session:l lang n:l", f"WITH {Q.UTT} SELECT speaker, session, doc_lang AS lang, count(*) AS n FROM utt GROUP BY GROUPING SETS ((speaker), (speaker, session), (speaker, doc_lang), ())")

@@ -343,21 +343,29 @@ def score_histogram(spark, sf):
         F.sum("n_gen").alias("n_gen"), F.sum("n_imp").alias("n_imp"), F.sum(F.when(~fin, n).otherwise(0)).alias("n_vetoed"))
 
 
-@query("operating_point", "device threshold:d floor:d far_t:d frr_t:d provisional:b ready:b", f"""WITH {Q.TS}, {Q.configs(FULL_W, None)}, {Q.fused('ts')},
+_OP_FAR, _OP_FRR = Q.wilson("fa", "ni"), Q.wilson("fr", "ng")
+
+
+@query("operating_point", "device threshold:d floor:d far_t:d far_lo:d far_hi:d frr_t:d frr_lo:d frr_hi:d far_floor:d frr_floor:d provisional:b ready:b", f"""WITH {Q.TS}, {Q.configs(FULL_W, None)}, {Q.fused('ts')},
  s AS (SELECT device, count(*) FILTER (NOT is_genuine) AS ni, count(*) FILTER (is_genuine) AS ng, quantile_cont(score, 0.99) FILTER (NOT is_genuine) AS q,
   max(score) FILTER (NOT is_genuine) AS mx, quantile_cont(score, 0.01) FILTER (is_genuine) AS owner FROM fu WHERE score > '-inf' GROUP BY ALL),
  e AS (SELECT *, CASE WHEN ni * 0.01 >= 5 THEN q ELSE greatest(q, mx) END AS edge FROM s),
  t AS (SELECT *, greatest(CASE WHEN owner - edge >= 0.04 THEN edge + 0.6 * (owner - edge) ELSE edge END, 0.55) AS thr0,
   CASE WHEN owner - edge >= 0.04 THEN edge + 0.6 * (owner - edge) - greatest(0.02, 0.3 * (owner - edge)) ELSE least(owner, edge - 0.02) END AS fl0 FROM e),
- p AS (SELECT device, thr0 AS threshold, greatest(least(fl0, thr0 - 0.02), 0) AS floor, ni * 0.01 < 5 OR ng < 30 AS provisional FROM t)
- SELECT *, frr_t <= 0.05 AND NOT provisional AS ready FROM (SELECT device, threshold, floor, provisional, avg((score >= threshold)::INT) FILTER (NOT is_genuine) AS far_t,
-  avg((score < threshold)::INT) FILTER (is_genuine) AS frr_t FROM fu JOIN p USING (device) WHERE score > '-inf' GROUP BY ALL)""")
+ p AS (SELECT device, thr0 AS threshold, greatest(least(fl0, thr0 - 0.02), 0) AS floor, ni * 0.01 < 5 OR ng < 30 AS provisional FROM t),
+ r AS (SELECT device, threshold, floor, provisional, count(*) FILTER (is_genuine) AS ng, count(*) FILTER (NOT is_genuine) AS ni, count(*) FILTER (NOT is_genuine AND score >= threshold) AS fa, count(*) FILTER (is_genuine AND score < threshold) AS fr,
+  count(*) FILTER (NOT is_genuine AND score >= floor) AS fa_f, count(*) FILTER (is_genuine AND score < floor) AS fr_f FROM fu JOIN p USING (device) WHERE score > '-inf' GROUP BY ALL)
+ SELECT *, fa / ni::DOUBLE AS far_t, {_OP_FAR[0]} AS far_lo, {_OP_FAR[1]} AS far_hi, fr / ng::DOUBLE AS frr_t, {_OP_FRR[0]} AS frr_lo, {_OP_FRR[1]} AS frr_hi, fa_f / ni::DOUBLE AS far_floor, fr_f / ng::DOUBLE AS frr_floor,
+ fr / ng::DOUBLE <= 0.05 AND NOT provisional AS ready FROM r""")
 def operating_point(spark, sf):
     """Threshold between the strangers' tail and the owner's low end, with a band under it (FAR target 1%)."""
-    t = scored(spark, sf, FULL_W, None).filter(F.col("score") > C.NEG_INF).select("device", "is_genuine", "score")
-    imp = exact_quantiles(t.filter(~F.col("is_genuine")), ["device"], "score", {"q": 0.99, "mx": 1.0})
-    gen = exact_quantiles(t.filter("is_genuine"), ["device"], "score", {"owner": 0.01})
-    n = t.groupBy("device").agg(F.count_if("is_genuine").alias("ng"), F.count_if(~F.col("is_genuine")).alias("ni"))
+    # one histogram serves quantiles, counts and rates
+    t = scored(spark, sf, FULL_W, None).filter(F.col("score") > C.NEG_INF).groupBy("device", "is_genuine", "score").agg(F.count("*").alias("c")).transform(hold)
+    imp = exact_quantiles(t.filter(~F.col("is_genuine")), ["device"], "score", {"q": 0.99, "mx": 1.0}, F.col("c"))
+    gen = exact_quantiles(t.filter("is_genuine"), ["device"], "score", {"owner": 0.01}, F.col("c"))
+    some = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
+    g = F.col("is_genuine")
+    n = t.groupBy("device").agg(some(g).alias("ng"), some(~g).alias("ni"))
     e = n.join(imp, "device").join(gen, "device")
     enough = F.col("ni") * 0.01 >= 5
     e = e.withColumn("edge", F.when(enough, F.col("q")).otherwise(F.greatest("q", "mx")))
@@ -365,11 +373,14 @@ def operating_point(spark, sf):
     thr = F.when(gap >= 0.04, F.col("edge") + 0.6 * gap).otherwise(F.col("edge"))
     e = e.withColumn("fl0", F.when(gap >= 0.04, thr - F.greatest(F.lit(0.02), (thr - F.col("edge")) / 2)).otherwise(F.least(F.col("owner"), F.col("edge") - 0.02)))
     e = e.withColumn("threshold", F.greatest(thr, F.lit(0.55))).withColumn("floor", F.greatest(F.least(F.col("fl0"), F.col("threshold") - 0.02), F.lit(0.0)))
-    p = e.select("device", "threshold", "floor", (~enough | (F.col("ng") < 30)).alias("provisional"))
-    r = t.join(p, "device").groupBy("device", "threshold", "floor", "provisional").agg(
-        F.avg(F.when(~F.col("is_genuine"), (F.col("score") >= F.col("threshold")).cast("int"))).alias("far_t"),
-        F.avg(F.when(F.col("is_genuine"), (F.col("score") < F.col("threshold")).cast("int"))).alias("frr_t"))
-    return r.withColumn("ready", (F.col("frr_t") <= 0.05) & ~F.col("provisional"))
+    p = e.select("device", "threshold", "floor", "ng", "ni", (~enough | (F.col("ng") < 30)).alias("provisional"))
+    at = lambda edge: (some(~g & (F.col("score") >= F.col(edge))), some(g & (F.col("score") < F.col(edge))))
+    (fa, fr), (fa_f, fr_f) = at("threshold"), at("floor")
+    r = t.join(p, "device").groupBy("device", "threshold", "floor", "ng", "ni", "provisional").agg(fa.alias("fa"), fr.alias("fr"), fa_f.alias("fa_f"), fr_f.alias("fr_f"))
+    (far_lo, far_hi), (frr_lo, frr_hi) = wilson(F.col("fa"), F.col("ni")), wilson(F.col("fr"), F.col("ng"))
+    return r.select(
+        "device", "threshold", "floor", "provisional", (F.col("fa") / F.col("ni")).alias("far_t"), far_lo.alias("far_lo"), far_hi.alias("far_hi"), (F.col("fr") / F.col("ng")).alias("frr_t"), frr_lo.alias("frr_lo"), frr_hi.alias("frr_hi"),
+        (F.col("fa_f") / F.col("ni")).alias("far_floor"), (F.col("fr_f") / F.col("ng")).alias("frr_floor"), ((F.col("fr") / F.col("ng") <= 0.05) & ~F.col("provisional")).alias("ready"))
 
 
 @query("floor_sweep", "attack:l floor:d frr:d detection:d feasible:b", f"""WITH {Q.ATT}, grid AS (SELECT i / 100.0::DOUBLE AS floor FROM range(101) r(i)),
