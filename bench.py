@@ -13,7 +13,7 @@ HEADLINE = [
     "eer_by_label", "verification_metrics", "det_curve", "cosine_trials", "mixing_metrics", "csbg_lexical", "transition_counts",
     "llr_scores", "evaluation_run", "lexicon_build", "label_merge", "fused_scores", "configurations", "attack_cells", "fit_policy",
     "operating_point", "cluster_bootstrap", "integrity_audit", "exact_dups", "throttle_wait", "challenge_consume", "series_snr",
-    "answer_match", "repetition_loop", "stratified_split",
+    "answer_match", "repetition_loop", "stratified_split", "poc_protocol",
 ]
 
 
