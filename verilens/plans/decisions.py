@@ -109,18 +109,22 @@ def wilson_query(spark, sf):
 
 @query("attack_readiness", "attack:l problem n:l", f"""{_CELLS} SELECT attack, 'simulated' AS problem, max(n_simulated) AS n FROM ce GROUP BY ALL HAVING max(n_simulated) > 0
  UNION ALL SELECT attack, 'underpowered', min(n_trials) FROM ce GROUP BY ALL HAVING min(n_trials) < 30
- UNION ALL SELECT attack, 'low_yield', min(n_trials) FROM ce GROUP BY ALL HAVING min(n_trials / (n_trials + n_excluded)::DOUBLE) < 0.82""")
+ UNION ALL SELECT attack, 'low_yield', min(n_trials) FROM ce GROUP BY ALL HAVING min(n_trials / (n_trials + n_excluded)::DOUBLE) < 0.82
+ UNION ALL SELECT attack, 'template_only', count(*) FILTER (s_graph IS NULL) FROM att GROUP BY ALL HAVING count(*) FILTER (s_graph IS NULL) / count(*)::DOUBLE > 0.1""")
 def attack_readiness(spark, sf):
     """Problems that keep an attack row out of a report (yield floor 0.82 here, so that rows appear)."""
     c = attack_cells(spark, sf).groupBy("attack").agg(
         F.max("n_simulated").alias("sim"), F.min("n_trials").alias("low"), F.min(F.col("n_trials") / (F.col("n_trials") + F.col("n_excluded"))).alias("yield"))
 
+    # attempts that only the template judged, without the behaviour graph
+    bare = views.attack_trials(spark, sf).groupBy("attack").agg(F.count_if(F.col("s_graph").isNull()).alias("n"), F.count("*").alias("_all")).filter("n / _all > 0.1").select("attack", F.lit("template_only").alias("problem"), "n")
+
     def row(cond, name, n):
         return F.when(cond, F.struct(F.lit(name).alias("problem"), n.alias("n")))
 
     return c.select("attack", F.inline(F.array_compact(F.array(
         row(F.col("sim") > 0, "simulated", F.col("sim")), row(F.col("low") < 30, "underpowered", F.col("low")),
-        row(F.col("yield") < 0.82, "low_yield", F.col("low"))))))
+        row(F.col("yield") < 0.82, "low_yield", F.col("low")))))).unionByName(bare)
 
 
 @query("iapmr_by_speaker", "speaker:l n:l iapmr:d weighted_mean:d", f"""{_ATT}, b AS (SELECT speaker, count(*) AS n, avg((decision = 'ACCEPT')::INT) AS iapmr
@@ -520,6 +524,7 @@ def yield_summary(spark, sf):
 
 @query("blockers", "rule blocked:b n:l", f"""WITH {Q.ATT}, {Q.TS} SELECT 'simulated' AS rule, count(*) FILTER (simulated) > 0 AS blocked, count(*) FILTER (simulated) AS n FROM att
  UNION ALL SELECT 'graph_coverage', count(s_graph) / count(*)::DOUBLE < 0.5, count(*) - count(s_graph) FROM ts UNION ALL SELECT 'knowledge_coverage', count(s_know) / count(*)::DOUBLE < 0.5, count(*) - count(s_know) FROM ts
+ UNION ALL SELECT 'gold_set', count(*) FILTER (q IS NOT NULL) / count(*)::DOUBLE < 0.6, count(*) FILTER (q IS NULL) FROM documents LEFT JOIN (SELECT DISTINCT doc_id, 1 AS q FROM labels) USING (doc_id)
  UNION ALL SELECT 'within_session', (SELECT count(*) FROM (SELECT probe_speaker FROM ts GROUP BY 1 HAVING count(DISTINCT date_trunc('month', ts."at")) < 2)) > 0, (SELECT count(*) FROM (SELECT probe_speaker FROM ts GROUP BY 1 HAVING count(DISTINCT date_trunc('month', ts."at")) < 2))""")
 def blockers(spark, sf):
     """Reasons a run may not be reported, each a one-row check."""
@@ -527,5 +532,9 @@ def blockers(spark, sf):
     ts = views.trial_scores(spark, sf)
     cov = ts.agg(F.count(F.lit(1)).alias("all"), F.count("s_graph").alias("g"), F.count("s_know").alias("k")).select(F.inline(F.array(*[
         F.struct(F.lit(name).alias("rule"), (F.col(c) / F.col("all") < 0.5).alias("blocked"), (F.col("all") - F.col(c)).alias("n")) for name, c in (("graph_coverage", "g"), ("knowledge_coverage", "k"))])))
+    covered = table(spark, sf, "labels").select("doc_id", F.lit(1).alias("q")).distinct()
+    gold = table(spark, sf, "documents").select("doc_id").join(covered, "doc_id", "left").agg(F.count("*").alias("all"), F.count("q").alias("k")).select(
+        F.lit("gold_set").alias("rule"), (F.col("k") / F.col("all") < 0.6).alias("blocked"), (F.col("all") - F.col("k")).alias("n"))
+    cov = cov.unionByName(gold)
     one = ts.groupBy("probe_speaker").agg(F.count_distinct(F.date_trunc("month", "at")).alias("m")).agg(F.count_if(F.col("m") < 2).alias("n"))
     return sim.unionByName(cov).unionByName(one.select(F.lit("within_session").alias("rule"), (F.col("n") > 0).alias("blocked"), "n"))
