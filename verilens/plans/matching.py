@@ -235,7 +235,39 @@ def phrase_match(spark, sf):
     return phrase_rows(phrases(spark, sf))
 
 
-@query("phrase_match_fuzzy", "utt:l matched:l score:d missing")
+def _blocks(rounds: int) -> str:
+    """CTEs: ``nr`` (w, h) of word pairs whose matching-block ratio is at least 0.8.
+
+    A round takes the longest common block of every open segment (the first of
+    equally long ones) and opens what is left and right of it.
+    """
+    parts = ["s0 AS (SELECT w, h, 1 AS al, length(w) + 1 AS ah, 1 AS bl, length(h) + 1 AS bh FROM pr)"]
+    for r in range(rounds):
+        parts.append(f"""g{r} AS (SELECT w, h, al, ah, bl, bh, i, j, len([1 FOR k IN range(1, least(ah - i, bh - j) + 1) IF substr(w, i, k) = substr(h, j, k)]) AS k
+  FROM (SELECT *, unnest(range(bl, bh)) AS j FROM (SELECT *, unnest(range(al, ah)) AS i FROM s{r}))),
+ m{r} AS (SELECT w, h, al, ah, bl, bh, arg_max({{'i': i, 'j': j, 'k': k}}, (k, -i, -j)) AS m FROM g{r} WHERE k > 0 GROUP BY ALL),
+ s{r + 1} AS (SELECT w, h, al, m.i AS ah, bl, m.j AS bh FROM m{r} WHERE m.i > al AND m.j > bl UNION ALL SELECT w, h, m.i + m.k, ah, m.j + m.k, bh FROM m{r} WHERE ah > m.i + m.k AND bh > m.j + m.k)""")
+    found = " UNION ALL ".join(f"SELECT w, h, m.k AS k FROM m{r}" for r in range(rounds))
+    parts.append(f"nr AS (SELECT w, list(h) AS hs FROM (SELECT w, h FROM ({found}) GROUP BY w, h HAVING 2 * sum(k) / (length(w) + length(h))::DOUBLE >= 0.8) GROUP BY w)")
+    return ",\n ".join(parts)
+
+
+def _at(e: str, near: str, rest: str) -> str:
+    """SQL for the first place of a word, or one near it, in a list; 0 without."""
+    return f"coalesce(list_position([x = {e} OR coalesce(list_contains({near}, x), false) FOR x IN {rest}], true), 0)"
+
+
+_FUZ = _PHR[:_PHR.index("p1 AS (")] + f"""ef AS (SELECT utt, session, h, [CASE WHEN length(w) > 5 THEN w || 's' ELSE w END FOR w IN e] AS e FROM ex),
+ pr AS (SELECT DISTINCT w, h FROM (SELECT w, unnest(list_distinct(h)) AS h FROM (SELECT unnest(e) AS w, h FROM ef)) WHERE w <> h AND 2 * least(length(w), length(h)) / (length(w) + length(h))::DOUBLE >= 0.8),
+ {_blocks(8)},
+ ec AS (SELECT ef.*, n1.hs AS c1, n2.hs AS c2, n3.hs AS c3 FROM ef LEFT JOIN nr n1 ON n1.w = e[1] LEFT JOIN nr n2 ON n2.w = e[2] LEFT JOIN nr n3 ON n3.w = e[3]),
+ f1 AS (SELECT *, {_at('e[1]', 'c1', 'h')} AS a FROM ec), f2 AS (SELECT *, {_at('e[2]', 'c2', 'h[a + 1:]')} AS b0 FROM f1), f3 AS (SELECT *, CASE WHEN b0 > 0 THEN a + b0 ELSE a END AS b FROM f2),
+ f4 AS (SELECT *, {_at('e[3]', 'c3', 'h[b + 1:]')} AS c0 FROM f3),
+ pf AS (SELECT utt, (a > 0)::INT + (b0 > 0)::INT + (c0 > 0)::INT AS matched, ((a > 0)::INT + (b0 > 0)::INT + (c0 > 0)::INT) / 3.0::DOUBLE AS score,
+ array_to_string(list_filter([CASE WHEN a = 0 THEN e[1] END, CASE WHEN b0 = 0 THEN e[2] END, CASE WHEN c0 = 0 THEN e[3] END], lambda x: x IS NOT NULL), ',') AS missing FROM f4)"""
+
+
+@query("phrase_match_fuzzy", "utt:l matched:l score:d missing", f"WITH {_FUZ} SELECT * FROM pf")
 def phrase_match_fuzzy(spark, sf):
     """The same with close spellings accepted (matching-block ratio of at least 0.8)."""
     p = phrases(spark, sf).withColumn("expected", F.transform("expected", lambda w: F.when(F.length(w) > 5, F.concat(w, F.lit("s"))).otherwise(w)))
